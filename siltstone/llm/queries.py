@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import media, quality, simhash
 from .common import table
 
 
@@ -18,5 +18,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_simhash": op9_simhash}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.from_media(media.to_media(table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("id", "doc_id").drop("error")
+
+
+QUERIES = {"op3_quality": op3_quality, "op4_media": op4_media, "op9_simhash": op9_simhash}
 ORACLES: dict[str, str] = {}
