@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, quality, simhash
+from . import media, quality, simhash, toxicity
 from .common import table
 
 
@@ -27,5 +27,9 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").drop("error")
 
 
-QUERIES = {"op3_quality": op3_quality, "op4_media": op4_media, "op9_simhash": op9_simhash}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op3_quality": op3_quality, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op9_simhash": op9_simhash}
 ORACLES: dict[str, str] = {}
