@@ -1,6 +1,6 @@
 """Toxicity by exact nearest labelled examples under TF-IDF cosine.
 
-Terms are words and four-character word beginnings that the labelled sample ties to either
+Terms are words and word beginnings that the labelled sample ties to either
 label; their document frequencies are counted over all documents.  Labelled examples sit
 in a block-max inverted index: for each term, the largest weight in every block of
 examples.  A query takes blocks in the order of their upper bounds and stops only when no
@@ -25,7 +25,11 @@ from .labelled import held_out, labelled_sample
 
 #: Labelled documents that examples and terms are drawn from, and terms, at most.
 MAX_EXAMPLES, MAX_TERMS = 20_000, 4096
-K, BLOCK, THRESHOLD, MIN_Z, STEM = 15, 64, 0.7, 4.0, 4
+K, BLOCK, THRESHOLD = 15, 64, 0.7
+#: Lengths in bytes of the word beginnings that are terms beside whole words.
+STEMS = (4, 5, 6, 7, 8, 10)
+#: A term is kept if its rates under the two labels differ by so many deviations and so many times.
+MIN_Z, MIN_RATIO, MIN_COUNT = 3.0, 4.0, 3
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
@@ -36,17 +40,18 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-def _stem(word: bytes) -> bytes:
-    return b"^" + word[: 2 * STEM].decode("utf-8", "ignore")[:STEM].encode()
+def _stems(word: bytes) -> list[bytes]:
+    n = len(word)
+    return [word[:k] + b"~" for k in STEMS if k < n]
 
 
 def terms_of(text: bytes) -> set[bytes]:
     words = set(words_of(text))
-    return words | {_stem(w) for w in words if len(w) > STEM}
+    return words.union(*map(_stems, words))
 
 
 def select_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[bytes]:
-    """Terms whose document counts differ between labels by ``MIN_Z`` deviations or more."""
+    """Terms that are far more frequent under one label: see ``MIN_Z`` and ``MIN_RATIO``."""
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1 = sum(n for k, n in totals.items() if k)
     n0 = sum(totals.values()) - n1
@@ -69,19 +74,27 @@ def select_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[bytes]:
     gap = F.abs(F.col("pos") / n1 - F.col("neg") / n0)
     rate = (F.col("pos") + F.col("neg") + 1) / (n0 + n1)
     z = gap / F.sqrt(rate * (1 / n0 + 1 / n1))
-    best = summed.where(F.col("pos") + F.col("neg") >= 5).withColumn("z", z).where(F.col("z") >= MIN_Z)
+    ratio = (F.col("pos") + 0.5) / n1 / ((F.col("neg") + 0.5) / n0)
+    best = (
+        summed.where(F.col("pos") + F.col("neg") >= MIN_COUNT).withColumn("z", z)
+        .where((F.col("z") >= MIN_Z) & ((ratio >= MIN_RATIO) | (ratio <= 1 / MIN_RATIO)))
+    )
     return [bytes(r["term"]) for r in best.orderBy(F.desc("z"), "term").limit(max_terms).collect()]
 
 
 def counts_of(text: bytes, terms: dict[bytes, int]) -> dict[int, int]:
-    """Occurrences of the selected terms in one text."""
+    """Occurrences of the selected terms in one text; all other words count as one term,
+    whose number is ``len(terms)``, so that a stray hit weighs less in a longer text."""
     out: dict[int, int] = {}
-    for word, n in Counter(words_of(text)).items():
+    words = words_of(text)
+    if words:
+        out[len(terms)] = len(words)
+    for word, n in Counter(words).items():
         k = terms.get(word)
         if k is not None:
             out[k] = out.get(k, 0) + n
-        if len(word) > STEM:
-            k = terms.get(_stem(word))
+        for stem in _stems(word):
+            k = terms.get(stem)
             if k is not None:
                 out[k] = out.get(k, 0) + n
     return out
@@ -93,7 +106,7 @@ def document_frequency(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray,
     index = {t: i for i, t in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(index), np.int64), 0
+        df, n = np.zeros(len(index) + 1, np.int64), 0
         for b in batches:
             for text in utf8_list(b.column("text")):
                 n += 1
@@ -105,7 +118,7 @@ def document_frequency(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray,
         )
 
     rows = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    df, total = np.zeros(len(terms), np.int64), 0
+    df, total = np.zeros(len(terms) + 1, np.int64), 0
     for r in rows.collect():  # at most MAX_TERMS + 1 rows
         if r["term"] < 0:
             total = r["n"]
@@ -126,6 +139,7 @@ class BlockMaxIndex:
     empty_rate: float = 0.0
     scale: float = 1.0
     shift: float = 0.0
+    known: dict[tuple, list[tuple[float, int]]] = field(default_factory=dict)
     bounds: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float64))
     blocks: list[dict[int, tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)
 
@@ -168,6 +182,18 @@ class BlockMaxIndex:
             del best[k:]
         return best
 
+    def lookup(self, counts: dict[int, int]) -> list[tuple[float, int]]:
+        """Neighbours of a text; texts without a selected term differ in length alone,
+        which their unit vector does not hold, so they share one search."""
+        if set(counts) == {len(self.terms)}:
+            counts = {len(self.terms): 1}
+        key = tuple(sorted(counts.items()))
+        if key not in self.known:
+            if len(self.known) > 10_000:
+                self.known.clear()
+            self.known[key] = self.nearest(*self.vector(counts), self.k) if counts else []
+        return self.known[key]
+
     def vote(self, found: list[tuple[float, int]]) -> float:
         """Share of label 1 among the neighbours, weighted by cosine."""
         total = sum(s for s, _ in found)
@@ -210,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     kind = sample.schema["id"].dataType.simpleString()
     rows = sample.mapInArrow(run, f"id {kind}, label int, t array<int>, n array<int>").collect()
     full = [(r["id"], r["label"], dict(zip(r["t"], r["n"], strict=True))) for r in rows]
-    none = [x for x in full if not x[2]]
+    none = [x for x in full if set(x[2]) <= {len(terms)}]
     out = BlockMaxIndex(index, idf, [], np.zeros(0))
     out.empty_rate = (sum(1 for x in none if x[1]) + 0.05) / (len(none) + 1.0)
     made = [(i, y, out.vector(c)) for i, y, c in full if c]
@@ -218,10 +244,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     out.ids, out.labels = [x[0] for x in made], np.array([1.0 if x[1] else 0.0 for x in made])
     out.add([x[2] for x in made])
     tune = list(range(0, len(made), max(1, len(made) // 2000)))
-    votes = []
+    votes, known = [], {}
     for i in tune:
-        found = [x for x in out.nearest(*made[i][2], out.k + 1) if x[1] != i][: out.k]
-        votes.append(out.vote(found))
+        at, w = made[i][2]
+        key = at.tobytes() + w.tobytes()
+        if key not in known:
+            known[key] = out.nearest(at, w, out.k + 1)
+        votes.append(out.vote([x for x in known[key] if x[1] != i][: out.k]))
     if tune:
         out.scale, out.shift = _curve(np.array(votes), out.labels[tune])
     return out
@@ -231,8 +260,7 @@ def score(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:
     """(doc_id, score, evidence) for every row of ``docs``.
 
     ``evidence``: the neighbours' ids, cosines and labels, nearest first.  Null and empty
-    texts, and texts without a selected term, have no neighbours and get the rate of label
-    1 among such examples.
+    texts have no neighbours and get the rate of label 1 among examples without words.
     """
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
@@ -245,7 +273,7 @@ def score(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:
             scores, evidence = [], []
             for text in utf8_list(b.column("text")):
                 counts = counts_of(text, index.terms)
-                found = index.nearest(*index.vector(counts), index.k) if counts else []
+                found = index.lookup(counts)
                 scores.append(index.probability(found))
                 evidence.append([{"doc_id": index.ids[i], "cosine": s, "label": int(index.labels[i])} for s, i in found])
             yield pa.RecordBatch.from_arrays(
