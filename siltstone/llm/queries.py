@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_substring, media, ngram_lm, quality, simhash, toxicity
+from . import decontaminate, exact_substring, media, ngram_lm, quality, simhash, toxicity
 from .common import table
 
 
@@ -39,8 +39,13 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_corpus(table(spark, sf_dir, "documents"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_quality": op3_quality, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_lm": op6_lm,
     "op8_substring": op8_substring, "op9_simhash": op9_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE}
