@@ -24,7 +24,9 @@ from .common import materialize, small_batches, utf8_list
 from .labelled import held_out, labelled_sample
 
 #: Labelled documents that examples and terms are drawn from, and terms, at most.
-MAX_EXAMPLES, MAX_TERMS = 20_000, 4096
+MAX_EXAMPLES, MAX_TERMS = 10_000, 4096
+#: Different terms that one task holds before it passes their counts on.
+_HELD = 300_000
 K, BLOCK, THRESHOLD = 15, 64, 0.7
 #: Lengths in bytes of the word beginnings that are terms beside whole words.
 STEMS = (4, 5, 6, 7, 8, 10)
@@ -58,16 +60,20 @@ def select_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[bytes]:
     if not n0 or not n1:
         return []
 
+    def passed(found: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
+        for y, counts in enumerate(found):
+            n, zero = pa.array(list(counts.values()), pa.int64()), pa.array(np.zeros(len(counts), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), n if y else zero, zero if y else n], ["term", "pos", "neg"])
+            counts.clear()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: tuple[Counter, Counter] = Counter(), Counter()
         for b in batches:
-            found: dict[bytes, list[int]] = {}
             for text, y in zip(utf8_list(b.column("text")), b.column("label").to_pylist(), strict=True):
-                for t in terms_of(text):
-                    found.setdefault(t, [0, 0])[1 if y else 0] += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.binary()), pa.array([x[1] for x in found.values()], pa.int64()), pa.array([x[0] for x in found.values()], pa.int64())],
-                ["term", "pos", "neg"],
-            )
+                found[1 if y else 0].update(terms_of(text))
+                if len(found[0]) + len(found[1]) > _HELD:
+                    yield from passed(found)
+        yield from passed(found)
 
     counts = sample.select("text", "label").mapInArrow(run, "term binary, pos long, neg long")
     summed = counts.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -82,14 +88,19 @@ def select_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[bytes]:
     return [bytes(r["term"]) for r in best.orderBy(F.desc("z"), "term").limit(max_terms).collect()]
 
 
-def counts_of(text: bytes, terms: dict[bytes, int]) -> dict[int, int]:
+def heads_of(terms: dict[bytes, int]) -> set[bytes]:
+    """First four bytes of the terms: words that begin otherwise hold none."""
+    return {t.rstrip(b"~")[:4] for t in terms}
+
+
+def counts_of(text: bytes, terms: dict[bytes, int], heads: set[bytes]) -> dict[int, int]:
     """Occurrences of the selected terms in one text; all other words count as one term,
     whose number is ``len(terms)``, so that a stray hit weighs less in a longer text."""
     out: dict[int, int] = {}
     words = words_of(text)
     if words:
         out[len(terms)] = len(words)
-    for word, n in Counter(words).items():
+    for word, n in Counter([w for w in words if w[:4] in heads]).items():
         k = terms.get(word)
         if k is not None:
             out[k] = out.get(k, 0) + n
@@ -104,13 +115,14 @@ def document_frequency(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray,
     """Over all rows of ``docs``: documents with each term, and documents."""
     small_batches(docs.sparkSession)
     index = {t: i for i, t in enumerate(terms)}
+    heads = heads_of(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(len(index) + 1, np.int64), 0
         for b in batches:
             for text in utf8_list(b.column("text")):
                 n += 1
-                hit = list(counts_of(text, index))
+                hit = list(counts_of(text, index, heads))
                 df[hit] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays(
@@ -221,12 +233,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     sample = materialize(labelled_sample(docs, labels, "toxic", max_examples), "tox-sample")
     terms = select_terms(sample)
     index = {t: i for i, t in enumerate(terms)}
+    heads = heads_of(index)
     df, total = document_frequency(docs, terms)
     idf = np.log((total + 1) / (df + 1)) + 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = [counts_of(t, index) for t in utf8_list(b.column("text"))]
+            counts = [counts_of(t, index, heads) for t in utf8_list(b.column("text"))]
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("label"), pa.array([list(c) for c in counts], kind), pa.array([list(c.values()) for c in counts], kind)],
@@ -266,13 +279,14 @@ def score(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:
     rows = docs.select("doc_id", "text")
     kind = docs.sparkSession.createDataFrame([], rows.select("doc_id").schema).toArrow().schema.field(0).type
     id_name = rows.schema["doc_id"].dataType.simpleString()
+    heads = heads_of(index.terms)
     item = pa.struct([("doc_id", kind), ("cosine", pa.float64()), ("label", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             scores, evidence = [], []
             for text in utf8_list(b.column("text")):
-                counts = counts_of(text, index.terms)
+                counts = counts_of(text, index.terms, heads)
                 found = index.lookup(counts)
                 scores.append(index.probability(found))
                 evidence.append([{"doc_id": index.ids[i], "cosine": s, "label": int(index.labels[i])} for s, i in found])
