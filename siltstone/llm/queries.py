@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_substring, media, ngram_lm, quality, simhash, toxicity
+from . import decontaminate, exact_substring, licenses, media, ngram_lm, packing, quality, simhash, toxicity
 from .common import table
 
 
@@ -43,9 +43,19 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "digest", "license", F.array_join("notices", ",").alias("notices"))
+
+
 QUERIES = {
-    "op1_decontaminate": op1_decontaminate,
+    "op1_decontaminate": op1_decontaminate, "op2_packing": op2_packing,
     "op3_quality": op3_quality, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_lm": op6_lm,
     "op8_substring": op8_substring, "op9_simhash": op9_simhash,
+    "op10_licenses": op10_licenses,
 }
 ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE}
