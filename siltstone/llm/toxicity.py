@@ -14,6 +14,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -141,7 +142,11 @@ def document_frequency(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray,
 
 @dataclass
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of examples, their labels and ids, in blocks."""
+    """Unit TF-IDF vectors of examples, their labels and ids, in blocks.
+
+    Examples with the same vector are one entry: entry e stands for the positions from
+    ``begin[e]`` to ``begin[e + 1]``.
+    """
 
     terms: dict[bytes, int]
     idf: np.ndarray
@@ -154,6 +159,7 @@ class BlockMaxIndex:
     known: dict[tuple, list[tuple[float, int]]] = field(default_factory=dict)
     bounds: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float64))
     blocks: list[dict[int, tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)
+    begin: list[int] = field(default_factory=list)
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         at = np.array(sorted(counts), np.int64)
@@ -161,7 +167,11 @@ class BlockMaxIndex:
         return at, w / (np.sqrt((w * w).sum()) or 1.0)
 
     def add(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Vectors in the order of ``ids``."""
+        """Vectors in the order of ``ids``; equal ones stand together."""
+        keys = [at.tobytes() + w.tobytes() for at, w in vectors]
+        self.begin = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+        vectors = [vectors[i] for i in self.begin]
+        self.begin.append(len(keys))
         n = -(-len(vectors) // BLOCK)
         self.bounds = np.zeros((len(self.idf), n))
         for b in range(n):
@@ -192,7 +202,8 @@ class BlockMaxIndex:
             best += [(float(s), b * BLOCK + i) for s, i in zip(sums[hit].round(12).tolist(), hit.tolist(), strict=True)]
             best.sort(key=lambda x: (-x[0], x[1]))
             del best[k:]
-        return best
+        members = ((s, i) for s, e in best for i in range(self.begin[e], min(self.begin[e] + k, self.begin[e + 1])))
+        return list(islice(members, k))
 
     def lookup(self, counts: dict[int, int]) -> list[tuple[float, int]]:
         """Neighbours of a text; texts without a selected term differ in length alone,
@@ -252,8 +263,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     none = [x for x in full if set(x[2]) <= {len(terms)}]
     out = BlockMaxIndex(index, idf, [], np.zeros(0))
     out.empty_rate = (sum(1 for x in none if x[1]) + 0.05) / (len(none) + 1.0)
-    made = [(i, y, out.vector(c)) for i, y, c in full if c]
-    made.sort(key=lambda x: (int(x[2][0][np.argmax(x[2][1])]), x[0]))  # alike examples share blocks
+    alone = {len(terms): 1}  # without a selected term, length makes no difference
+    made = [(i, y, out.vector(alone if set(c) == set(alone) else c)) for i, y, c in full if c]
+    # Alike examples share blocks, equal ones an entry.
+    made.sort(key=lambda x: (int(x[2][0][np.argmax(x[2][1])]), x[2][0].tobytes(), x[2][1].tobytes(), x[0]))
     out.ids, out.labels = [x[0] for x in made], np.array([1.0 if x[1] else 0.0 for x in made])
     out.add([x[2] for x in made])
     tune = list(range(0, len(made), max(1, len(made) // 2000)))
