@@ -67,11 +67,9 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 def probes(items: DataFrame, freq: DataFrame, window: int = WINDOW, count: int = PROBES) -> DataFrame:
     """(key, start, at, term): for each window of an item, its ``count`` rarest places."""
     placed = items.select("key", F.posexplode("words").alias("at", "term")).join(freq, "term")
-    by_place = Window.partitionBy("key").orderBy("at")
     item = placed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "freq", "term"))).alias("places"))
     last = F.greatest(F.lit(0), F.size("places") - window)
     windows = item.select("key", "places", F.explode(F.sequence(F.lit(0), last)).alias("start"))
-    del by_place
     rarest = F.slice(
         F.array_sort(F.transform(F.slice("places", F.col("start") + 1, window), lambda p: F.struct(p["freq"].alias("freq"), p["at"].alias("at"), p["term"].alias("term")))),
         1, count,
@@ -127,8 +125,8 @@ def candidates(docs: DataFrame, items: DataFrame, window: int = WINDOW, count: i
     return joined.where(agree).select("doc_id", "tag", "key", "offset")
 
 
-def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs``' (doc_id, n_words) with ``found``: per matching item its id and hit runs.
+def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns (doc_id), n_words and ``found``: per matching item its id and hit runs.
 
     One row per row of ``docs``; ``found`` is null without a match.
     """
@@ -137,16 +135,20 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     placed = candidates(docs, items, window).join(_maybe_broadcast(items.select("key", "item_id", "words"), n_items), "key")
     listed = placed.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("item_id", "words", "offset")).alias("placed"))
     listed = listed.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), "placed")
-    rows = docs.select("doc_id", F.hash("text").alias("tag"), words(F.col("text")).alias("words"))
-    joined = rows.join(listed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tag") == F.col("__tag")), "left")
+    keep = ["doc_id"] if keep is None else keep
+    rows = docs.select(*keep, F.hash("text").alias("__hash"))
+    if "text" not in keep:
+        rows = docs.select(*keep, F.hash("text").alias("__hash"), "text")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__tag"))
+    joined = rows.join(listed, same, "left").withColumn("__words", words(F.col("text")))
     found = F.filter(
         F.transform("placed", lambda p: F.struct(
             p["item_id"].alias("item_id"), p["offset"].alias("offset"),
-            _runs(p["words"], F.col("words"), p["offset"], F.least(F.size(p["words"]), F.lit(window))).alias("runs"),
+            _runs(p["words"], F.col("__words"), p["offset"], F.least(F.size(p["words"]), F.lit(window))).alias("runs"),
         )),
         lambda p: F.size(p["runs"]) > 0,
     )
-    return joined.select("doc_id", F.size("words").cast("long").alias("n_words"), found.alias("found"))
+    return joined.select(*keep, F.size("__words").cast("long").alias("n_words"), found.alias("found"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_substring, licenses, media, ngram_lm, packing, quality, simhash, toxicity
+from . import decontaminate, exact_substring, licenses, media, ngram_lm, packing, quality, simhash, token_shards, toxicity
 from .common import table
 
 
@@ -52,9 +52,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "digest", "license", F.array_join("notices", ",").alias("notices"))
 
 
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.training_order(token_shards.sequences(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate, "op2_packing": op2_packing,
-    "op3_quality": op3_quality, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_lm": op6_lm,
+    "op3_quality": op3_quality, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_lm": op6_lm, "op7_token_shards": op7_token_shards,
     "op8_substring": op8_substring, "op9_simhash": op9_simhash,
     "op10_licenses": op10_licenses,
 }

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, utf8_list
@@ -59,17 +59,24 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def row_tag(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): one row per row of ``docs``; null and empty texts have fingerprint 0."""
+    """(id, tag, fp): one row per row of ``docs``; null and empty texts have fingerprint 0.
+
+    ``tag``: a hash of id and text, which tells rows with one id apart.
+    """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), row_tag(id_col, text_col).alias("tag"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t) for t in utf8_list(b.column("text"))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tag"), pa.array(fp.view(np.int64))], ["id", "tag", "fp"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, tag long, fp long")
 
 
 # -- the tree -------------------------------------------------------------------
@@ -234,19 +241,31 @@ def hamming_links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = S
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(id, fp, component): component is the smallest id reachable by links of ``radius`` bits.
+    """(id, fp, component, tag, first): component is the smallest id that links of ``radius``
+    bits reach, ``first`` says whether the row is the one that stands for its component.
 
     One row per row of ``docs``, other columns are not used, so clashing names are safe.
     Null and empty texts have fingerprint 0 and link like any other; rows with a null id
     get their component, which is null if no member has an id; an empty table gives none.
+    Rows equal in id and text are all ``first`` or none.
     """
     prints = materialize(fingerprints(docs, id_col, text_col), "simhash-fp")
-    classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("first")), "simhash-class")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag"))
+    classes = materialize(prints.groupBy("fp").agg(least.alias("least")), "simhash-class")
     links = hamming_links(classes.select("fp"), radius)
     roots = connected_components(links).withColumnRenamed("node", "fp")
     rooted = materialize(
-        classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-root"
+        classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-root"
     )
-    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = rooted.join(least, "root").select("fp", "component")
-    return prints.join(named, "fp").select("id", "fp", "component")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("top")), "root").select("fp", "top")
+    first = F.col("id").eqNullSafe(F.col("top.id")) & (F.col("tag") == F.col("top.tag"))
+    return prints.join(named, "fp").select("id", "fp", F.col("top.id").alias("component"), "tag", first.alias("first"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, nulls last."""
+    columns = list(docs.columns)
+    found = near_duplicates(docs, id_col, text_col, radius).where("first")
+    firsts = materialize(found.select(F.coalesce(F.col("id"), F.lit(0)).alias("__i"), F.col("tag").alias("__t")).distinct(), "simhash-first")
+    keyed = docs.withColumns({"__i": F.coalesce(F.col(id_col), F.lit(0)), "__t": row_tag(id_col, text_col)})
+    return keyed.join(firsts, ["__i", "__t"], "left_semi").dropDuplicates(["__i", "__t"]).select(*columns)
