@@ -74,11 +74,24 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _split(bucket: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Packed rows for each bucket that has some; ``bucket`` is sorted."""
+    """Packed rows for each bucket that has some, column by column, which compresses better;
+    ``bucket`` is sorted."""
     if not len(rows):
         return bucket, []
     cut = np.flatnonzero(np.diff(bucket)) + 1
-    return bucket[np.concatenate([[0], cut])], [x.tobytes() for x in np.split(rows, cut)]
+    packed = [b"".join(x[f].tobytes() for f in rows.dtype.names) for x in np.split(rows, cut)]
+    return bucket[np.concatenate([[0], cut])], packed
+
+
+def _joined(blocks: list[bytes], kind: np.dtype) -> dict[str, np.ndarray]:
+    """The columns of packed rows."""
+    parts: dict[str, list[np.ndarray]] = {f: [] for f in kind.names}
+    for x in blocks:
+        n, at = len(x) // kind.itemsize, 0
+        for f in kind.names:
+            parts[f].append(np.frombuffer(x, kind[f], n, at))
+            at += n * kind[f].itemsize
+    return {f: np.concatenate(x) for f, x in parts.items()}
 
 
 def _count_block(streams: list[np.ndarray], buckets: int) -> pa.RecordBatch:
@@ -181,7 +194,7 @@ def fit(texts: DataFrame) -> Model:
             yield _count_block(held, buckets)
 
     def pairs(key: tuple, rows: pa.Table) -> pa.Table:
-        a = np.concatenate([np.frombuffer(x, PAIR) for x in rows.column("block").to_pylist()])
+        a = _joined(rows.column("block").to_pylist(), PAIR)
         k = bigram_key(a["v"], a["w"])
         order = np.argsort(k)
         k = k[order]
@@ -212,7 +225,7 @@ def fit(texts: DataFrame) -> Model:
         if bucket < 0:
             total = sum((np.frombuffer(x, "<i8") for x in found), np.zeros(5, np.int64))
             return pa.table({"what": pa.array(["pairs"]), "figures": pa.array([total.tolist()], pa.list_(pa.int64()))})
-        a = np.concatenate([np.frombuffer(x, PART) for x in found])
+        a = _joined(found, PART)
         names, at = np.unique(a["word"], return_inverse=True)
         sums = {f: np.bincount(at, a[f], minlength=len(names)).astype(np.int64) for f in PART.names[1:]}
         stats = np.stack([sums[f] for f in ("n", "f1", "f2", "f3", "before")], axis=1)
