@@ -56,9 +56,9 @@ def splitlines(text: Column) -> Column:
 def suffix(path: Column) -> Column:
     """The last dotted ending of the file name, with its dot, lower-cased; '' without one.
 
-    Leading dots do not start an ending, and a final dot ends none.
+    A dot that begins the name does not start an ending, and a final dot ends none.
     """
-    return F.lower(F.regexp_extract(basename(path), r"^\.*[^.].*?(\.[^.]+)$", 1))
+    return F.lower(F.regexp_extract(basename(path), r"^.+(\.[^.]+)$", 1))
 
 
 def basename(path: Column) -> Column:
@@ -70,7 +70,7 @@ def duration(seconds: Column) -> Column:
     s = F.greatest(seconds, F.lit(0)).cast("long")
     hours, minutes, rest = F.floor(s / 3600), F.floor(s / 60) % 60, s % 60
     return (
-        F.when(s.isNull(), F.lit(None).cast("string"))
+        F.when(seconds.isNull(), F.lit(None).cast("string"))
         .when(s >= 3600, F.format_string("%dh %02dm", hours, minutes))
         .when(s >= 60, F.format_string("%dm %02ds", minutes, rest))
         .otherwise(F.format_string("%ds", rest))

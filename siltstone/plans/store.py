@@ -14,11 +14,12 @@ from pyspark.sql.window import Window
 from .files import Files
 
 META = ["type", "path", "language", "symbol", "start_line", "end_line", "repo_root", "project"]
-SCHEMA = (
-    "id string, text string, embedding array<float>, type string, path string, language string, symbol string, "
-    "start_line int, end_line int, repo_root string, project string, extra map<string,string>"
-)
-COLUMNS = [x.split()[0] for x in SCHEMA.replace("map<string,string>", "map").split(", ")]
+KINDS = {
+    "id": "string", "text": "string", "embedding": "array<float>", "type": "string", "path": "string", "language": "string", "symbol": "string",
+    "start_line": "int", "end_line": "int", "repo_root": "string", "project": "string", "extra": "map<string,string>",
+}
+SCHEMA = ", ".join(f"{c} {kind}" for c, kind in KINDS.items())
+COLUMNS = list(KINDS)
 #: Generations that stay readable after a flip, for queries that began before it.
 KEEP = 2
 
@@ -92,7 +93,7 @@ class ChunkStore:
 
     def write(self, collection: str, rows: DataFrame) -> int:
         """The collection is these rows and no others."""
-        return self._commit(collection, rows)
+        return self._commit(collection, conform(rows))
 
     def upsert(self, collection: str, items: DataFrame, replace: bool = False, paths: DataFrame | None = None) -> int:
         items = conform(items)
@@ -123,10 +124,9 @@ class ChunkStore:
 
 def conform(items: DataFrame) -> DataFrame:
     """Items with the store's columns; what it has no column for goes to ``extra``."""
-    known = {x.split()[0]: x.split(None, 1)[1] for x in SCHEMA.replace(", embedding", "|embedding").replace("array<float>, ", "array<float>|").replace("map<string,string>", "map<string,string>").replace(", ", "|").split("|")}
     have = set(items.columns)
-    out = [(F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in known.items() if c != "extra"]
-    more = sorted(have - set(known))
+    out = [(F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in KINDS.items() if c != "extra"]
+    more = sorted(have - set(KINDS))
     extra = F.map_filter(F.create_map(*[x for c in more for x in (F.lit(c), F.col(c).cast("string"))]), lambda k, v: v.isNotNull()) if more else F.lit(None)
     if "extra" in have:
         extra = F.map_concat(F.coalesce("extra", F.create_map().cast("map<string,string>")), extra) if more else F.col("extra")

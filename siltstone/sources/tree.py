@@ -228,6 +228,8 @@ class TreeChanges(SourceTree):
 
 
 def register(spark: SparkSession) -> None:
+    # The reader takes path and size filters; Spark refuses such readers while this is off.
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SourceTree)
     spark.dataSource.register(TreeChanges)
 
