@@ -151,7 +151,8 @@ class Engine:
         if hybrid:
             found = S.rrf_fuse(found, S.bm25_topk(rows.select("id", "text"), queries, 3 * k), k)
         meta = rows.select("id", F.col("text").alias("doc"), F.struct(*K.META).alias("meta"))
-        found = S.maybe_broadcast(found, S.BROADCAST_QUERIES).join(meta, "id")
+        hits = k * S.bounded(queries, S.BROADCAST_QUERIES)
+        found = S.maybe_broadcast(found, hits, S.BROADCAST_QUERIES).join(meta, "id")
         if rerank:
             found = S.rerank(queries, found, self.reranker).withColumn("rank", F.col("new_rank")).drop("new_rank")
         return found.orderBy("qid", "rank")

@@ -22,6 +22,7 @@ from .operators.embed import HashingEmbedder, embed, truncate
 from .plans import jobs as J
 from .plans import store as K
 from .plans import sync as Y
+from .plans.layout import spread
 from .sources.tree import EXTENSIONS
 from .streaming import watch as R
 
@@ -61,7 +62,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +285,8 @@ SELECT qid, id, CAST(overlap AS INT) AS overlap, CAST(row_number() OVER (PARTITI
 def rerank_lexical(spark, sf_dir):
     asked, docs = query_batch(spark, sf_dir), corpus(spark, sf_dir)
     found = S.bm25_topk(docs, asked, 10)
-    matches = S.maybe_broadcast(found, S.BROADCAST_QUERIES).join(docs.withColumnRenamed("text", "doc"), "id")
+    hits = 10 * S.bounded(asked, S.BROADCAST_QUERIES)
+    matches = S.maybe_broadcast(found, hits, S.BROADCAST_QUERIES).join(docs.withColumnRenamed("text", "doc"), "id")
     return S.rerank_lexical(asked, matches).select("qid", "id", "overlap", "new_rank")
 
 
