@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.layout import spread
+
 #: Used only where the session names no folder, as in tests on one machine.
 DEFAULT_SHARED = "/tmp/checkpoints"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -17,7 +19,7 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
