@@ -75,3 +75,12 @@ def duration(seconds: Column) -> Column:
         .when(s >= 60, F.format_string("%dm %02ds", minutes, rest))
         .otherwise(F.format_string("%ds", rest))
     )
+
+
+def each(array: Column) -> Column:
+    """One row an element, and one null row for an empty array, to be filtered out.
+
+    For arrays that cost something to make: a plain ``explode`` lets the optimizer add a
+    test of the array's size below it, which makes the array two more times a row.
+    """
+    return F.explode_outer(array)

@@ -157,6 +157,8 @@ def chunk_files(files: DataFrame) -> DataFrame:
     from .code import code_chunks
 
     ending = T.suffix(F.col("path"))
-    plain = files.where(~ending.isin(CODE)).select("path", F.posexplode(_native(F.col("path"), F.col("content"))).alias("ord", "c"))
+    # The outer form keeps the optimizer from testing, and so making, the chunks beforehand.
+    made = F.posexplode_outer(_native(F.col("path"), F.col("content"))).alias("ord", "c")
+    plain = files.where(~ending.isin(CODE)).select("path", made).where("c IS NOT NULL")
     code = code_chunks(files.where(ending.isin(CODE)).select("path", "content"))
     return plain.select("path", "ord", "c.*").unionByName(code)

@@ -162,7 +162,7 @@ def tokenize_counts(spark, sf_dir):
 
 @query("doc_freq", f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({tokens_sql('text')}) AS term FROM documents) GROUP BY term")
 def doc_freq(spark, sf_dir):
-    terms = corpus(spark, sf_dir).select(F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("term"))
+    terms = corpus(spark, sf_dir).select(T.each(F.array_distinct(T.tokenize(F.col("text")))).alias("term")).where("term IS NOT NULL")
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
