@@ -43,7 +43,9 @@ def postings(docs: DataFrame, terms: DataFrame | None = None, n_terms: int = 0)
 
     ``tag`` is a hash of the text: rows that share an id but not their text keep apart.
     """
-    rows = docs.select("doc_id", F.hash("text").alias("tag"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    # The outer form keeps the optimizer from splitting every text again to test its size.
+    rows = docs.select("doc_id", F.hash("text").alias("tag"), F.posexplode_outer(words(F.col("text"))).alias("pos", "term"))
+    rows = rows.where("term IS NOT NULL")
     if terms is not None:
         rows = rows.join(_maybe_broadcast(terms, n_terms), "term", "left_semi")
     return rows.select("term", "doc_id", "tag", "pos")
@@ -51,7 +53,7 @@ def postings(docs: DataFrame, terms: DataFrame | None = None, n_terms: int = 0)
 
 def term_frequency(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     """(term, freq) over the whole corpus for each of the distinct ``terms``."""
-    seen = docs.select(F.explode(words(F.col("text"))).alias("term")).join(_maybe_broadcast(terms, n_terms), "term", "left_semi")
+    seen = docs.select(F.explode_outer(words(F.col("text"))).alias("term")).join(_maybe_broadcast(terms, n_terms), "term", "left_semi")
     counted = seen.groupBy("term").agg(F.count("*").alias("freq"))
     return terms.join(counted, "term", "left").select("term", F.coalesce("freq", F.lit(0)).alias("freq"))
 
