@@ -41,7 +41,9 @@ SEED = 1
 START = np.uint64(xxhash.xxh64_intdigest(b"<s> ", SEED))
 END = np.uint64(xxhash.xxh64_intdigest(b"</s> ", SEED))
 #: Tokens of one counting block, and of one scoring batch.
-BLOCK_TOKENS, BATCH_TOKENS = 3 << 20, 1 << 20
+BLOCK_TOKENS, BATCH_TOKENS = 4 << 20, 1 << 20
+#: Counts from here on are kept in arrays of their own, the others in one byte.
+LARGE = 255
 PAIR = np.dtype([("v", "<u8"), ("w", "<u8"), ("n", "<u4")])
 PART = np.dtype([("word", "<u8"), ("n", "<i8"), ("f1", "<u4"), ("f2", "<u4"), ("f3", "<u4"), ("before", "<u4")])
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -200,7 +202,9 @@ def fit(texts: DataFrame) -> Model:
         k = k[order]
         new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         n = np.add.reduceat(a["n"][order].astype(np.int64), new)
-        _write(folder, f"pair-{key[0].as_py()}", {"key": k[new], "n": n.astype("<u4")})
+        large = n >= LARGE
+        _write(folder, f"pair-{key[0].as_py()}", {"key": k[new], "n": np.minimum(n, LARGE).astype("u1")})
+        _write(folder, f"large-{key[0].as_py()}", {"key": k[new][large], "n": n[large].astype("<u8")})
         v, w = a["v"][order[new]], a["w"][order[new]]
         del a, order, k
         firsts, at = np.unique(v, return_inverse=True)
@@ -228,8 +232,8 @@ def fit(texts: DataFrame) -> Model:
         a = _joined(found, PART)
         names, at = np.unique(a["word"], return_inverse=True)
         sums = {f: np.bincount(at, a[f], minlength=len(names)).astype(np.int64) for f in PART.names[1:]}
-        stats = np.stack([sums[f] for f in ("n", "f1", "f2", "f3", "before")], axis=1)
-        _write(folder, f"word-{bucket}", {"key": names, "stats": stats.astype("<i8")})
+        kinds = np.stack([sums[f] for f in ("f1", "f2", "f3", "before")], axis=1)
+        _write(folder, f"word-{bucket}", {"key": names, "n": sums["n"].astype("<u8"), "kinds": kinds.astype("<u4")})
         b = sums["before"]
         figures = [sums["n"].sum(), (sums["n"] > 0).sum(), *[(b == i).sum() for i in range(1, 5)], (b >= 3).sum()]
         return pa.table({"what": pa.array(["words"]), "figures": pa.array([[int(x) for x in figures]], pa.list_(pa.int64()))})
@@ -296,8 +300,8 @@ class Reader:
         v[1:] = w[:-1]
         v[begin] = START
         names, at = np.unique(np.append(w, START), return_inverse=True)
-        stats = self.find("word", names, "stats", "<i8", 5).astype(np.float64)
-        n, f1, f2, f3, before = stats.T
+        n = self.find("word", names, "n", "<u8", 1)[:, 0].astype(np.float64)
+        f1, f2, f3, before = self.find("word", names, "kinds", "<u4", 4).astype(np.float64).T
         with np.errstate(divide="ignore", invalid="ignore"):
             d1, d2, d3 = m.word_discount
             cut = np.select([before == 1, before == 2, before >= 3], [d1, d2, d3], 0.0)
@@ -312,7 +316,9 @@ class Reader:
         iv[1:] = iw[:-1]
         iv[begin] = at[-1]
         key, back = np.unique(bigram_key(v, w), return_inverse=True)
-        pair = self.find("pair", key, "n", "<u4", 1)[:, 0].astype(np.float64)
+        pair = self.find("pair", key, "n", "u1", 1)[:, 0].astype(np.float64)
+        large = np.flatnonzero(pair == LARGE)
+        pair[large] = self.find("large", key[large], "n", "<u8", 1)[:, 0]
         pair = (pair - np.select([pair == 1, pair == 2, pair >= 3], [e1, e2, e3], 0.0))[back]
         c = follow[iv]
         p = np.where(c > 0, pair / np.maximum(c, 1), 0.0) + left[iv] * alone[iw]
@@ -323,7 +329,7 @@ class Reader:
     def _ends(self) -> float:
         """Texts that were counted: each has one END."""
         if not hasattr(self, "_texts"):
-            self._texts = float(self.find("word", np.array([END]), "stats", "<i8", 5)[0, 0])
+            self._texts = float(self.find("word", np.array([END]), "n", "<u8", 1)[0, 0])
         return self._texts
 
 

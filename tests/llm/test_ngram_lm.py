@@ -81,3 +81,11 @@ def test_probabilities_sum_to_one(spark):
         two = [reader.scores([ngram_lm.tokens(ctx + b" " + w)[:2]])[3][0] - reader.scores([ngram_lm.tokens(ctx)[:1]])[3][0] for w in words]
         end = reader.scores([ngram_lm.tokens(ctx)])[3][0] - reader.scores([ngram_lm.tokens(ctx)[:1]])[3][0]
         assert sum(10**x for x in [*two, end]) == pytest.approx(1.0)
+
+
+def test_large_counts(spark):
+    rows = [(i, "go go stop " * 300) for i in range(4)] + [(9, "go stop")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in ngram_lm.score(docs, ngram_lm.fit(docs)).collect()}
+    for (i, _), want in zip(rows, brute([t for _, t in rows], [t for _, t in rows]), strict=True):
+        assert got[i].score == pytest.approx(want[4], rel=1e-9)
