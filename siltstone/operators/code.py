@@ -132,3 +132,21 @@ def code_chunks(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     return files.select("path", "content").mapInArrow(run, _SCHEMA)
+
+
+def code_errors(files: DataFrame) -> DataFrame:
+    """(path, stage, exc_type, message) of Python ``files`` (path, content) that do not parse:
+    the quarantine beside :func:`code_chunks`, which keeps them whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, source in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                try:
+                    ast.parse(source or "")
+                except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+                    rows.append((path, "parse", type(e).__name__, str(e)[:500]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["path", "stage", "exc_type", "message"])
+
+    python = files.where("lower(path) LIKE '%.py'").select("path", "content")
+    return python.mapInArrow(run, "path string, stage string, exc_type string, message string")

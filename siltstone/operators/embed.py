@@ -43,11 +43,13 @@ class OnnxEmbedder:
     """An exported encoder: first-token pooling, unit length.  Needs onnxruntime, tokenizers,
     and the two files."""
 
-    def __init__(self, model_path: str, tokenizer_path: str, max_tokens: int = 512) -> None:
+    def __init__(self, model_path: str, tokenizer_path: str, max_tokens: int = 512, providers: list[str] | None = None) -> None:
         import onnxruntime
         from tokenizers import Tokenizer
 
-        self.session = onnxruntime.InferenceSession(model_path, providers=["CPUExecutionProvider"])
+        have = set(onnxruntime.get_available_providers())
+        picked = [x for x in providers or () if x in have] or ["CPUExecutionProvider"]
+        self.session = onnxruntime.InferenceSession(model_path, providers=picked)
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.enable_truncation(max_tokens)
         self.tokenizer.enable_padding()
@@ -87,3 +89,35 @@ def truncate(text: Column) -> Column:
 
 def with_embedding(items: DataFrame, make=HashingEmbedder) -> DataFrame:
     return items.withColumn("embedding", embed(F.col("text"), make))
+
+
+#: Execution providers by backend name; ``auto`` takes the first that exists.
+PROVIDERS = {
+    "onnx-cpu": ["CPUExecutionProvider"], "onnx-cuda": ["CUDAExecutionProvider"], "onnx-rocm": ["ROCMExecutionProvider"],
+    "auto": ["CUDAExecutionProvider", "ROCMExecutionProvider", "CPUExecutionProvider"],
+}
+
+
+def backend(name: str, model: str = "", tokenizer: str = ""):
+    """A builder for :func:`embed`: ``hashing``, or ONNX with a model folder or file.  Unknown
+    names mean ONNX on the CPU; a quantised model beside the full one is preferred."""
+    if name == "hashing":
+        return HashingEmbedder
+
+    def build() -> Embedder:
+        import os
+
+        path = model
+        if os.path.isdir(model):
+            found = [os.path.join(model, x) for x in ("model_quantized.onnx", "model.onnx")]
+            path = next((x for x in found if os.path.exists(x)), found[-1])
+        words = tokenizer or os.path.join(os.path.dirname(path), "tokenizer.json")
+        return OnnxEmbedder(path, words, providers=PROVIDERS.get(name, PROVIDERS["onnx-cpu"]))
+
+    return build
+
+
+def info(make=HashingEmbedder) -> dict:
+    """What a backend is: its class, width and unit length of a probe."""
+    probe = make().encode(["probe text"])
+    return {"backend": type(make()).__name__, "dimension": int(probe.shape[1]), "norm": round(float(np.linalg.norm(probe[0])), 6), "max_chars": MAX_CHARS}
