@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from urllib.parse import urlparse
 
@@ -80,8 +79,3 @@ def utf8_list(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
         column = column.cast(pa.large_binary())
     return [x or b"" for x in column.to_pylist()]
 
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of frames that are no longer reachable."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -60,33 +60,30 @@ KNOWN: list[tuple[str, str]] = [
         "USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
 ]
-#: Spellings that mean the same, as (pattern, unified form), on canonical words.
+#: Spellings that mean the same, as (plain text, unified form), on words with
+#: a space at either side; then the forms of version numbers, as patterns.
 SPELLINGS: list[tuple[str, str]] = [
-    (r"\blicence", "license"),
-    (r"\bsub license", "sublicense"),
-    (r"\bnon infringement", "noninfringement"),
-    (r"\bversion ([0-9])", "v$1"),
-    (r"\bv ([0-9])", "v$1"),
-    (r"\bcreative commons attribution\b", "cc by"),
-    (r"\bgpl\b", "gnu general public license"),
+    (" licence", " license"),
+    (" sub license", " sublicense"),
+    (" non infringement ", " noninfringement "),
+    (" creative commons attribution ", " cc by "),
+    (" gpl ", " gnu general public license "),
 ]
-_COPYRIGHT = r"^\W*(copyright\b|\(c\)|©).*$"
-
-
-_ANY_SPELLING = "licence|sub license|non infringement|version [0-9]|v [0-9]|creative commons|gpl"
+VERSION = r" (?:version|v) ([0-9])"
+_COPYRIGHT = r"(?s)^[^\p{L}\p{N}(©]*(copyright([^\p{L}\p{N}].*)?|\(c\).*|©.*)$"
+_GAP = r"[^\p{L}\p{N}]+"
 
 
 def _words(line: Column) -> Column:
     """One line without its copyright notice, as lower-case words with one space between."""
-    out = F.regexp_replace(F.lower(line), _COPYRIGHT, " ")
-    return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), _COPYRIGHT, " "), _GAP, " "))
 
 
 def _unified(words: Column) -> Column:
-    out = words
-    for pattern, to in SPELLINGS:
-        out = F.regexp_replace(out, pattern, to)
-    return F.when(words.rlike(_ANY_SPELLING), out).otherwise(words)
+    out = F.concat(F.lit(" "), words, F.lit(" "))
+    for one, other in SPELLINGS:
+        out = F.replace(out, F.lit(one), F.lit(other))
+    return F.trim(F.regexp_replace(out, VERSION, " v$1"))
 
 
 def _lines(text: Column) -> Column:
@@ -124,3 +121,29 @@ def scan(docs: DataFrame) -> DataFrame:
     licences = F.transform("lines", lambda x: F.try_element_at(listed, _digest(_unified(x))))
     notices = F.array_sort(F.array_distinct(F.filter(licences, lambda x: x.isNotNull())))
     return rows.join(F.broadcast(known), "digest", "left").select("doc_id", "digest", "license", notices.alias("notices"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _unified_sql(words: str) -> str:
+    out = f"concat(' ', {words}, ' ')"
+    for one, other in SPELLINGS:
+        out = f"replace({out}, {_quoted(one)}, {_quoted(other)})"
+    return f"trim(regexp_replace({out}, {_quoted(VERSION)}, ' v\\1', 'g'))"
+
+
+_LINES_SQL = f"""list_filter(list_transform(string_split(coalesce(text, ''), chr(10)),
+  lambda x: trim(regexp_replace(regexp_replace(lower(x), {_quoted(_COPYRIGHT)}, ' '), {_quoted(_GAP)}, ' ', 'g'))), lambda x: x <> '')"""
+ORACLE = f"""
+WITH k AS (SELECT * FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN)}) t(license, text)),
+known AS (SELECT sha256({_unified_sql(f"array_to_string({_LINES_SQL}, ' ')")}) AS digest, min(license) AS license FROM k GROUP BY 1),
+d AS (SELECT doc_id, {_LINES_SQL} AS lines FROM documents),
+w AS (SELECT doc_id, lines, sha256({_unified_sql("array_to_string(lines, ' ')")}) AS digest FROM d),
+n AS (
+  SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
+  FROM (SELECT doc_id, sha256({_unified_sql("line")}) AS digest FROM (SELECT doc_id, unnest(lines) AS line FROM d)) JOIN known USING (digest) GROUP BY doc_id)
+SELECT w.doc_id, w.digest, known.license, coalesce(n.notices, '') AS notices
+FROM w LEFT JOIN known USING (digest) LEFT JOIN n ON n.doc_id = w.doc_id
+"""
