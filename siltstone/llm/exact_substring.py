@@ -378,3 +378,27 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = _apply(docs, id_col, text_col, length, keep, "__left string", one)
     left = F.when(F.col(text_col).isNotNull(), F.col("__left")).alias(text_col)
     return found.select(*[left if c == text_col else F.col(c) for c in keep])
+
+
+#: The same report from the hashes of all windows, which are built up by doubling.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x1 AS (SELECT doc_id, unnest(range(0, length(h) // 2)) AS p, unnest(regexp_extract_all(h, '..')) AS k1, length(h) // 2 AS n FROM d),
+LADDER
+w AS (SELECT doc_id, p, hash(k128, q64, q8) AS k
+      FROM (SELECT doc_id, p, n, k128, lead(k64, 128) OVER z AS q64, lead(k8, 192) OVER z AS q8 FROM x128 WINDOW z AS (PARTITION BY doc_id ORDER BY p)) WHERE p <= n - 200),
+r AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+m AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w WHERE k IN (SELECT k FROM r)),
+g AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM m),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS b FROM g GROUP BY doc_id, run),
+t AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id),
+e AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM s
+  UNION ALL SELECT doc_id, coalesce(max(b), 0), max(length(h) // 2) FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(substr(h, CAST(2 * x + 1 AS BIGINT), CAST(2 * (y - x) AS BIGINT)), '' ORDER BY x) AS kept FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)
+""".replace("LADDER", "\n".join(
+    f"x{2 * k} AS (SELECT *, hash(k{k}, lead(k{k}, {k}) OVER (PARTITION BY doc_id ORDER BY p)) AS k{2 * k} FROM x{k})," for k in (1, 2, 4, 8, 16, 32, 64)
+))

@@ -62,4 +62,4 @@ QUERIES = {
     "op8_substring": op8_substring, "op9_simhash": op9_simhash,
     "op10_licenses": op10_licenses,
 }
-ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op10_licenses": licenses.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op8_substring": exact_substring.ORACLE, "op10_licenses": licenses.ORACLE}
