@@ -63,6 +63,20 @@ def test_copies_with_edits(spark):
     check(spark, rows)
 
 
+def test_wide_names_agree(spark):
+    rng = random.Random(6)
+    line = "".join(rng.choice("abcdef ") for _ in range(150))
+    prose = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    ends = [prose(120) for _ in range(6)]
+    rows = [(i, prose(100) + rng.choice(ends) + line + rng.choice(ends) + prose(50)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = [
+        {(r.id, r.tag): X._merge([s.asDict() for s in r.spans], 200) for r in X.repeated_spans(docs, wide=wide).collect()} for wide in (3, X.WIDE)
+    ]
+    assert spans[0] == spans[1] and spans[0]
+    check(spark, rows, docs)
+
+
 def test_pieces_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(X, "PIECE", 700)
     rng = random.Random(4)
