@@ -105,6 +105,10 @@ def _runs(item: Column, doc: Column, offset: Column, need: Column) -> Column:
     return F.aggregate(step, zero, walk, lambda acc: acc["runs"])
 
 
+def _bit(place: str) -> Column:
+    return F.expr(f"shiftleft(1L, {place} % 64)")
+
+
 def candidates(docs: DataFrame, items: DataFrame, window: int = WINDOW, count: int = PROBES) -> DataFrame:
     """(doc_id, tag, key, offset): item placements on which some window's rarest terms agree."""
     terms = materialize(items.select(F.explode("words").alias("term")).distinct(), "idx-terms")
@@ -119,11 +123,13 @@ def candidates(docs: DataFrame, items: DataFrame, window: int = WINDOW, count: i
     hits = listed.join(_maybe_broadcast(places, n_places), "term").select(
         "doc_id", "tag", "key", (F.col("pos") - F.col("at")).alias("offset"), "at"
     )
-    met = hits.groupBy("doc_id", "tag", "key", "offset").agg(F.collect_set("at").alias("met"))
-    per_item = wanted.groupBy("key", "start").agg(F.sort_array(F.collect_list("at")).alias("need"))
+    # Which places met is one bit each, modulo 64: places of one window never share a bit, and
+    # places further apart that do are told apart when the words are compared.
+    met = hits.groupBy("doc_id", "tag", "key", "offset").agg(F.bit_or(_bit("at")).alias("met"))
+    per_item = wanted.groupBy("key", "start").agg(F.bit_or(_bit("at")).alias("need"))
     per_item = per_item.groupBy("key").agg(F.collect_set("need").alias("needs"))
     joined = met.join(_maybe_broadcast(per_item, n_places), "key")
-    agree = F.exists("needs", lambda need: F.size(F.array_except(need, F.col("met"))) == 0)
+    agree = F.exists("needs", lambda need: need.bitwiseAND(F.col("met")) == need)
     return joined.where(agree).select("doc_id", "tag", "key", "offset")
 
 
