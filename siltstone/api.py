@@ -32,6 +32,10 @@ class Engine:
         self.catalog, self.jobs = Catalog(spark, base), Jobs(spark)
         self.cache: dict[str, dict[str, Any]] = {}
 
+    def _pool(self, name: str) -> None:
+        """Searches and ingests run in pools of their own, where the session has fair ones."""
+        self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+
     # -- projects
 
     def register_project(self, root: str, key: str | None = None) -> Project:
@@ -58,6 +62,7 @@ class Engine:
         return project, K.ChunkStore(self.spark, project.store_path, project.key)
 
     def _sync(self, key: str, job: str | None = None) -> Y.Sync:
+        self._pool("ingest")
         project, store = self._store(key)
         more = {"progress": self.jobs.progress(job), "should_stop": self.jobs.stopping(job)} if job else {}
         return Y.Sync(self.spark, store, project.project_root, self.embedder, **more)
@@ -159,6 +164,7 @@ class Engine:
 
     def search(self, key: str, query: str, top_k: int = 6, collection: str = "code", hybrid: bool = False, rerank_results: bool = False) -> list[dict[str, Any]]:
         """Matches of one query with 400-character previews; whole chunks stay in the cache."""
+        self._pool("search")
         one = self.spark.createDataFrame([(0, query)], "qid int, text string")
         out = []
         for r in self.search_frame(key, one, top_k, collection, hybrid, rerank_results).collect():
