@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 from urllib.parse import urlparse
 
@@ -27,7 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A new path in the shared folder.  In the default folder it goes when Python ends; a
+    cluster's folder is left to whoever set it, since lazy results may still read it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    if path.startswith(DEFAULT_SHARED):
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def local_form(path: str) -> str | None:
