@@ -66,7 +66,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
             spark.conf.unset(_CLEAN)
         else:
             spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete a :func:`materialize` table once all that reads it has been written."""
+    jvm, conf = stored.sparkSession.sparkContext._jvm, stored.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(stored._stored_at)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_parts, small_batches, utf8_list
+from .common import discard, materialize, shuffle_parts, small_batches, utf8_list
 
 LENGTH = 200
 GRAM, WINDOW, CORE = 16, 128, 64
@@ -135,7 +135,7 @@ _FULL, _SHIP, _BOTH = 0, 1, 2
 
 
 def repeated_names(parsed: DataFrame, wide: int = WIDE) -> DataFrame:
-    """Boundaries whose name is repeated: id, tag, at, lo, hi, kind and wide.
+    """Of boundaries whose names are repeated: id, tag, at, lo, hi, kind and wide.
 
     kind 0: the phrase is repeated as a whole; 1: it occurs once, look closer; 2: as 0, and
     this occurrence stands for its phrase where others of its name occur once.
@@ -143,8 +143,8 @@ def repeated_names(parsed: DataFrame, wide: int = WIDE) -> DataFrame:
     phrases = parsed.groupBy("name", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("id", "tag", "at")).alias("one"))
     # Asking for ``one`` makes both uses of the phrases the same plan, which runs once.
     once = (F.col("n") == 1) & (F.col("one.at") >= 0)
-    names = phrases.groupBy("name").agg(F.sum("n").alias("all"), F.count("*").alias("phrases"), F.count_if(once).alias("single"))
-    classes = phrases.join(names.where(F.col("all") > 1), "name").select(
+    names = phrases.groupBy("name").agg(F.count("*").alias("phrases"), F.count_if(once).alias("single"))
+    classes = phrases.join(names, "name").select(
         "name", "phrase", once.alias("once"), "one", (F.col("single") > 0).alias("mixed"), (F.col("phrases") > wide).alias("wide")
     )
     stands = F.col("mixed") & (F.struct("id", "tag", "at") == F.col("one"))
@@ -311,7 +311,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(spark, 256)
     keyed = _keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     buckets = 2 * shuffle_parts(spark)
-    flagged = materialize(repeated_names(materialize(parse(keyed, length), "pfp-parse"), wide), "pfp-names")
+    parsed = materialize(parse(keyed, length), "pfp-parse")
+    names = parsed.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    twice = materialize(parsed.join(names, "name", "left_semi"), "pfp-twice")
+    discard(parsed)
+    flagged = materialize(repeated_names(twice, wide), "pfp-names")
+    discard(twice)
 
     def marked(which: DataFrame) -> DataFrame:
         marks = which.where(F.col("kind") != _FULL).groupBy("id", "tag").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("marks"))
