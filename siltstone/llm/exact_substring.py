@@ -10,9 +10,9 @@ bounds phrases even in periodic text.
 For a boundary b the *phrase* is the stretch of window starts whose next boundary is b,
 together with the rest of their windows.  Three rounds settle every window start:
 
-1. the *parse*: one row a boundary, with its name (hash of the ``CORE`` bytes after it) and
-   its phrase's name.  A boundary whose name is unique has no repeated window.  A phrase that
-   occurs twice is repeated as a whole.
+1. the *parse*: each boundary's name (hash of the ``CORE`` bytes after it) and phrase name
+   go to one bucket in packed blocks.  A boundary whose name is unique has no repeated
+   window.  A phrase that occurs twice is repeated as a whole.
 2. the *dictionary*: phrases that occur once but share their boundary's name with another
    go, once each, with one copy of each repeated phrase of that name, to a bucket.  There
    the suffix array of what follows the boundaries, and that of the reversed stretches
@@ -21,10 +21,10 @@ together with the rest of their windows.  Three rounds settle every window start
    other; windows of equal class pairs are adjacent in corpus order and equal.
 3. spans are joined back to their documents, merged and cut out.
 
-Hot text: occurrences are counted with partial aggregation and flagged by joins that AQE can
-split, so a passage in a third of all documents meets in no one task.  A boundary with more
-than ``WIDE`` different phrases - one common line in very many different surroundings - does
-not go to a bucket: its windows are counted one by one, again with partial aggregation.
+Hot text: an occurrence of a boundary is 34 packed bytes in its bucket, sorted there with
+numpy, and goes no further if its phrase is repeated as a whole.  A boundary with more than
+``WIDE`` different phrases - one common line in very many different surroundings - does not
+go to a dictionary bucket: its windows are counted one by one, with partial aggregation.
 Groups never expand into pairs.
 """
 
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, shuffle_parts, small_batches, utf8_list
+from .common import materialize, shuffle_parts, small_batches, utf8_list
 
 LENGTH = 200
 GRAM, WINDOW, CORE = 16, 128, 64
@@ -47,6 +47,7 @@ PIECE = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(2024).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _ODD = [np.uint64(int(x) | 1) for x in np.random.default_rng(77).integers(2**32, 2**63, 16, dtype=np.uint64)]
+ANCHOR = np.dtype([("name", "<u8"), ("phrase", "<u8"), ("id", "<i8"), ("tag", "<i4"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1")])
 #: Different phrases of one boundary name that are sorted in one task at most.
 WIDE = 20_000
 
@@ -107,49 +108,79 @@ def _bucket(name: np.ndarray, buckets: int) -> np.ndarray:
     return ((name >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
-def parse(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(name, phrase, id, tag, at, lo, hi): the boundaries of (id, tag, text) rows.
+def _blocks(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    bucket = _bucket(rows["name"], buckets)
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order]
+    cut = np.flatnonzero(np.diff(bucket)) + 1
+    parts = np.split(rows, cut)
+    heads = bucket[np.concatenate([[0], cut])] if len(rows) else bucket
+    return pa.RecordBatch.from_arrays(
+        [pa.array(heads, pa.int32()), pa.array([x.tobytes() for x in parts] if len(rows) else [], pa.binary())],
+        ["bucket", "block"],
+    )
 
-    ``lo`` and ``hi`` are the most and the least bytes from a window's start to the boundary.
-    """
+
+def parse(docs: DataFrame, buckets: int, length: int = LENGTH, flush: int = 1 << 19) -> DataFrame:
+    """(bucket, block) of packed boundaries of (id, tag, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        count = 0
         for b in batches:
-            found = [anchors(text, length) for text in utf8_list(b.column("text"))]
-            if not found:
-                continue
-            owner = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
-            at, lo, hi, name, phrase = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(name.view(np.int64)), pa.array(phrase.view(np.int64)), b.column("id").take(owner), b.column("tag").take(owner),
-                    pa.array(at), pa.array((at - lo).astype(np.int32)), pa.array((at - hi).astype(np.int32)),
-                ],
-                ["name", "phrase", "id", "tag", "at", "lo", "hi"],
-            )
-
-    return docs.mapInArrow(run, "name long, phrase long, id long, tag int, at long, lo int, hi int")
+            ids = b.column("id").to_numpy(zero_copy_only=False)
+            tags = b.column("tag").to_numpy()
+            for text, i, tag in zip(utf8_list(b.column("text")), ids, tags, strict=True):
+                at, lo, hi, name, phrase = anchors(text, length)
+                rows = np.empty(len(at), ANCHOR)
+                rows["name"], rows["phrase"], rows["id"], rows["tag"] = name, phrase, i, tag
+                rows["at"], rows["lo"], rows["hi"] = at, at - lo, at - hi
+                held.append(rows)
+                count += len(rows)
+                if count >= flush:
+                    yield _blocks(np.concatenate(held), buckets)
+                    held, count = [], 0
+        if count:
+            yield _blocks(np.concatenate(held), buckets)
+
+    return docs.mapInArrow(run, "bucket int, block binary")
 
 
 _FULL, _SHIP, _BOTH = 0, 1, 2
+_FLAGGED = "id long, tag int, at long, lo int, hi int, kind int, wide boolean"
 
 
-def repeated_names(parsed: DataFrame, wide: int = WIDE) -> DataFrame:
-    """Of boundaries whose names are repeated: id, tag, at, lo, hi, kind and wide.
+def repeated_names(blocks: DataFrame, wide: int = WIDE) -> DataFrame:
+    """Boundaries whose name is repeated: id, tag, at, lo, hi, kind and wide.
 
     kind 0: the phrase is repeated as a whole; 1: it occurs once, look closer; 2: as 0, and
     this occurrence stands for its phrase where others of its name occur once.
     """
-    phrases = parsed.groupBy("name", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("id", "tag", "at")).alias("one"))
-    # Asking for ``one`` makes both uses of the phrases the same plan, which runs once.
-    once = (F.col("n") == 1) & (F.col("one.at") >= 0)
-    names = phrases.groupBy("name").agg(F.count("*").alias("phrases"), F.count_if(once).alias("single"))
-    classes = phrases.join(names, "name").select(
-        "name", "phrase", once.alias("once"), "one", (F.col("single") > 0).alias("mixed"), (F.col("phrases") > wide).alias("wide")
-    )
-    stands = F.col("mixed") & (F.struct("id", "tag", "at") == F.col("one"))
-    kind = F.when(F.col("once"), _SHIP).when(stands, _BOTH).otherwise(_FULL)
-    return parsed.join(classes, ["name", "phrase"]).select("id", "tag", "at", "lo", "hi", kind.alias("kind"), "wide")
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        a = np.concatenate([np.frombuffer(x, ANCHOR) for x in rows.column("block").to_pylist()])
+        a = a[np.argsort(a["name"], kind="stable")]
+        new = np.concatenate([[True], a["name"][1:] != a["name"][:-1]])
+        count = np.diff(np.append(np.flatnonzero(new), len(a)))
+        a = a[np.repeat(count > 1, count)]
+        if len(a):
+            a = a[np.lexsort((a["at"], a["id"], a["phrase"], a["name"]))]
+            group = np.concatenate([[True], a["name"][1:] != a["name"][:-1]])
+            sub = group | np.concatenate([[True], a["phrase"][1:] != a["phrase"][:-1]])
+            size = np.diff(np.append(np.flatnonzero(sub), len(a)))
+            once = np.repeat(size == 1, size)
+            which = np.cumsum(group) - 1
+            mixed = (np.bincount(which, once) > 0)[which]
+            kind = np.where(once, _SHIP, np.where(mixed & sub, _BOTH, _FULL))
+            many = np.bincount(which, sub)[which] > wide
+        else:
+            kind, many = np.zeros(0, np.int64), np.zeros(0, bool)
+        return pa.table({
+            "id": pa.array(a["id"], pa.int64()), "tag": pa.array(a["tag"], pa.int32()), "at": pa.array(a["at"], pa.int64()),
+            "lo": pa.array(a["lo"], pa.int32()), "hi": pa.array(a["hi"], pa.int32()), "kind": pa.array(kind, pa.int32()), "wide": pa.array(many),
+        })
+
+    return blocks.groupBy("bucket").applyInArrow(run, _FLAGGED)
 
 
 def dictionary(rows: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
@@ -311,12 +342,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(spark, 256)
     keyed = _keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     buckets = 2 * shuffle_parts(spark)
-    parsed = materialize(parse(keyed, length), "pfp-parse")
-    names = parsed.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    twice = materialize(parsed.join(names, "name", "left_semi"), "pfp-twice")
-    discard(parsed)
-    flagged = materialize(repeated_names(twice, wide), "pfp-names")
-    discard(twice)
+    flagged = materialize(repeated_names(parse(keyed, buckets, length), wide), "pfp-names")
 
     def marked(which: DataFrame) -> DataFrame:
         marks = which.where(F.col("kind") != _FULL).groupBy("id", "tag").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("marks"))
