@@ -17,6 +17,7 @@ from .operators.embed import HashingEmbedder, embed, with_embedding
 from .plans import store as K
 from .plans import sync as Y
 from .plans.catalog import Catalog, Project
+from .plans.deploy import ship
 from .plans.jobs import Jobs
 from .sources import tree
 
@@ -28,6 +29,7 @@ class Engine:
     """The engine of one project; ``key`` is checked on every call."""
 
     def __init__(self, spark: SparkSession, base: str, embedder=HashingEmbedder, reranker=None) -> None:
+        ship(spark)
         self.spark, self.embedder, self.reranker = spark, embedder, reranker
         self.catalog, self.jobs = Catalog(spark, base), Jobs(spark)
         self.cache: dict[str, dict[str, Any]] = {}

@@ -22,6 +22,7 @@ from .operators.embed import HashingEmbedder, embed, truncate
 from .plans import jobs as J
 from .plans import store as K
 from .plans import sync as Y
+from .plans.deploy import ship
 from .plans.layout import spread
 from .sources.tree import EXTENSIONS
 from .streaming import watch as R
@@ -62,6 +63,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 

@@ -17,6 +17,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, LessThanOrEqual, SimpleDataSourceStreamReader
 
+from ..plans.deploy import ship
 from .ignore import IgnoreRules
 
 #: Suffixes and names of files to list, directories never to enter, size cap.
@@ -228,6 +229,7 @@ class TreeChanges(SourceTree):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     # The reader takes path and size filters; Spark refuses such readers while this is off.
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SourceTree)
