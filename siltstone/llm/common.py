@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.deploy import ship
 from ..plans.layout import spread
 
 #: Used only where the session names no folder, as in tests on one machine.
@@ -20,6 +21,7 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
@@ -44,7 +46,9 @@ def local_form(path: str) -> str | None:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch of whole texts holds; a smaller setting stays."""
+    """Get ready for Python over whole texts: the code is on the workers, and one Arrow batch
+    holds ``rows`` texts at most.  A smaller setting stays."""
+    ship(spark)
     if int(spark.conf.get(_BATCH, "10000")) > rows:
         spark.conf.set(_BATCH, str(rows))
 
@@ -56,6 +60,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     shuffle files behind the write are released as soon as it is done.
     """
     spark = df.sparkSession
+    ship(spark)
     path = shared_path(spark, tag)
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
