@@ -53,7 +53,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_shards.training_order(token_shards.sequences(table(spark, sf_dir, "documents")))
+    return token_shards.through_shards(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {

@@ -20,11 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import local_form, materialize, small_batches, utf8_list
+from .common import local_form, materialize, shared_path, small_batches, utf8_list
 
 #: Where the vocabulary files are; a parameter of every function that reads one.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -33,6 +34,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 END, PAD = 50256, 65535
 SEQUENCE, SHARD_RECORDS, KEY = 256, 16_384, 0x5EED_2024_0B5E_55ED
 ROUNDS = 6
+#: Passes in which shards are written: only one pass's shuffle is on disk at a time.
+PASSES = 2
 #: Characters that the tokenizer takes at once; cut where white space begins.
 _PART = 1 << 16
 
@@ -182,10 +185,9 @@ def training_order(stored: DataFrame, length: int = SEQUENCE, shard_records: int
 def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     """Write each shard of :func:`training_order` as ``shard-NNNNN.bin`` and return
     (shard, first_slot, records, bytes, sha256).  Files are renamed into place, so a retried
-    task leaves whole files only.  ``folder`` is a path that every executor can open."""
+    task leaves whole files only.  ``folder`` is one that every executor reaches: a path, or
+    a store that ``pyarrow.fs`` opens."""
     here = local_form(folder)
-    if here is None:
-        raise ValueError("shards are written with open(); name a mounted folder")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -196,19 +198,26 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
             shard, first, n, digest, f, name = open_
             size = f.tell()
             f.close()
-            os.replace(name, f"{here}/shard-{shard:05d}.bin")
+            if here is not None:
+                os.replace(name, f"{here}/shard-{shard:05d}.bin")
+            else:
+                fs.move(name, f"{at}/shard-{shard:05d}.bin")
             open_.clear()
             return pa.RecordBatch.from_pylist([{"shard": shard, "first_slot": first, "records": n, "bytes": size, "sha256": digest.hexdigest()}], schema)
 
         schema = pa.schema([("shard", pa.int32()), ("first_slot", pa.int64()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
-        os.makedirs(here, exist_ok=True)
+        if here is not None:
+            os.makedirs(here, exist_ok=True)
+        else:
+            fs, at = pafs.FileSystem.from_uri(folder)
+            fs.create_dir(at)
         for b in batches:
             for slot, shard, record in zip(*(b.column(c).to_pylist() for c in ("slot", "shard", "record")), strict=True):
                 if open_ and open_[0] != shard:
                     yield close()
                 if not open_:
-                    name = f"{here}/.shard-{shard:05d}.{TaskContext.get().taskAttemptId()}"
-                    open_[:] = [shard, slot, 0, hashlib.sha256(), open(name, "wb"), name]
+                    name = f"{at if here is None else here}/.shard-{shard:05d}.{TaskContext.get().taskAttemptId()}"
+                    open_[:] = [shard, slot, 0, hashlib.sha256(), fs.open_output_stream(name) if here is None else open(name, "wb"), name]
                 open_[4].write(record)
                 open_[3].update(record)
                 open_[2] += 1
@@ -218,12 +227,64 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     return ordered.select("slot", "shard", "record").mapInArrow(run, "shard int, first_slot long, records long, bytes long, sha256 string")
 
 
+def open_shard(folder: str, shard: int):
+    """A shard's file, to read and seek in."""
+    name, here = f"shard-{shard:05d}.bin", local_form(folder)
+    if here is not None:
+        return open(f"{here}/{name}", "rb")
+    fs, at = pafs.FileSystem.from_uri(folder)
+    return fs.open_input_file(f"{at}/{name}")
+
+
+def from_shards(stored: DataFrame, folder: str, length: int = SEQUENCE, shard_records: int = SHARD_RECORDS, key: int = KEY) -> DataFrame:
+    """The rows of :func:`training_order`, with every record read from the written shards.
+
+    Only names and sizes are dealt again, not tokens; each shard is one sequential read.
+    """
+    stride = 2 * length
+    bare = stored.withColumn("ids", F.lit(b""))
+    placed = training_order(bare, length, shard_records, key).drop("record")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, f = None, None
+        try:
+            for b in batches:
+                records = []
+                for shard, at in zip(b.column("shard").to_pylist(), b.column("offset").to_pylist(), strict=True):
+                    if shard != now:
+                        if f is not None:
+                            f.close()
+                        now, f = shard, open_shard(folder, shard)
+                    if f.tell() != at:
+                        f.seek(at)
+                    records.append(f.read(stride))
+                    if len(records[-1]) != stride:
+                        raise OSError(f"shard {shard} ends before {at + stride}")
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(records, pa.binary())], [*b.schema.names, "record"])
+        finally:
+            if f is not None:
+                f.close()
+
+    kind = stored.schema["doc_id"].dataType.simpleString()
+    return placed.mapInArrow(run, f"slot long, shard int, offset long, doc_id {kind}, seq_no int, n_tokens int, record binary")
+
+
+def through_shards(docs: DataFrame) -> DataFrame:
+    """Write the shards of ``docs`` to the shared folder, and give their rows as read from there."""
+    stored = sequences(docs)
+    folder = shared_path(docs.sparkSession, "shards")
+    ordered = training_order(stored)
+    for k in range(PASSES):  # every shard is written in one of them
+        materialize(write_shards(ordered.where(F.col("shard") % PASSES == k), folder), "shard-list")
+    return from_shards(stored, folder)
+
+
 def read_records(folder: str, slot: int, count: int, length: int = SEQUENCE, shard_records: int = SHARD_RECORDS) -> Iterator[np.ndarray]:
     """``count`` token sequences from ``slot`` on, without padding: how training resumes."""
     stride = 2 * length
     while count > 0:
         shard, at = divmod(slot, shard_records)
-        with open(f"{local_form(folder)}/shard-{shard:05d}.bin", "rb") as f:
+        with open_shard(folder, shard) as f:
             f.seek(at * stride)
             data = f.read(min(count, shard_records - at) * stride)
         if not data:
