@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import uuid
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -12,12 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.deploy import ship
+from ..plans.files import Files
 from ..plans.layout import spread
 
 #: Used only where the session names no folder, as in tests on one machine.
 DEFAULT_SHARED = "/tmp/checkpoints"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,15 +27,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or DEFAULT_SHARED
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a session on one machine may leave it unset; on a cluster a local folder would put
+    each executor's tables on its own disk.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return found or DEFAULT_SHARED
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder.  In the default folder it goes when Python ends; a
-    cluster's folder is left to whoever set it, since lazy results may still read it."""
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    if path.startswith(DEFAULT_SHARED):
+    configured folder is left to whoever set it, since lazy results may still read it."""
+    folder = shared_dir(spark).rstrip("/")
+    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
+    if folder == DEFAULT_SHARED:
         atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
 
@@ -45,15 +54,15 @@ def local_form(path: str) -> str | None:
     return url.path if url.scheme in ("", "file") else None
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Get ready for Python over whole texts: the code is on the workers, and one Arrow batch
-    holds ``rows`` texts at most.  A smaller setting stays."""
-    ship(spark)
-    if int(spark.conf.get(_BATCH, "10000")) > rows:
-        spark.conf.set(_BATCH, str(rows))
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``rows`` texts at most, so that what Python makes of them at
+    once stays small.  Spark's own bound on the bytes of a batch (64 MB) holds before that."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and read it back.
 
     Unlike an in-memory or machine-local copy this survives lost executors.  The
@@ -65,13 +74,59 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         if before is None:
             spark.conf.unset(_CLEAN)
         else:
             spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote, once nothing lazy reads it any more."""
+    for df in tables:
+        if getattr(df, "stored_at", None):
+            Files(df.sparkSession).delete(df.stored_at)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that none of ``taken`` has, in any case."""
+    have = {c.lower() for c in taken}
+    while name in have:
+        name += "_"
+    return name
+
+
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """Bytes of all texts: what the number of buckets and partitions follows."""
+    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
+def parts_for(spark: SparkSession, size: int, each: int = 32 << 20) -> int:
+    """Partitions of about ``each`` bytes, and not fewer than the session's own number."""
+    return max(shuffle_parts(spark), -(-size // each))
+
+
+#: What a broadcast may hold at most, in bytes of its columns; larger sides are shuffled.
+BROADCAST_BYTES = 32 << 20
+
+
+def fits(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether all rows of the stored table ``df`` are small enough to be broadcast."""
+    limit = BROADCAST_BYTES if limit is None else limit
+    if limit <= 0:
+        return False
+    size = [F.octet_length(F.col(f"`{f.name}`").cast("string")) if f.dataType.simpleString() in ("string", "binary") else F.length(F.to_json(F.struct(f"`{f.name}`"))) if f.dataType.simpleString().startswith(("array", "struct", "map")) else F.lit(8) for f in df.schema.fields]
+    total = df.agg(F.sum(sum((F.coalesce(x, F.lit(0)) + 16 for x in size), F.lit(0)).cast("long"))).first()[0] or 0
+    return total <= limit
+
+
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it fits, else as it is."""
+    return F.broadcast(df) if fits(df, limit) else df
 
 
 def shuffle_parts(spark: SparkSession) -> int:

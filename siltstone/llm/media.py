@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8_list
+from .common import ship, slices, utf8_list
 
 WIDTH = 64
 LEVEL = 1
@@ -146,11 +146,11 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     A null text is stored like an empty one: a single row of zero samples.
     """
-    small_batches(docs.sparkSession, 256)
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = utf8_list(b.column("text"))
             media = pa.array((encode_png(payload_of(t)) for t in texts), pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -167,7 +167,7 @@ def from_media(media: DataFrame) -> DataFrame:
     media_sha256 and feature.  A null or damaged image gives nulls and its reason in
     ``error`` instead of failing the job.
     """
-    small_batches(media.sparkSession, 256)
+    ship(media.sparkSession)
     extra = (
         "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
         "media_sha256 string, feature string, error string"
@@ -188,7 +188,7 @@ def from_media(media: DataFrame) -> DataFrame:
         return len(back), digest, zlib.crc32(back[-WIDTH:]), *own, perceptual_hash(samples), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [one(x) for x in b.column("media").to_pylist()]
             columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), *columns], ["id", "n_bytes", *names])

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, local_form, shared_path, shuffle_parts, small_batches, utf8_list
+from .common import crc_mod, local_form, shared_path, ship, shuffle_parts, slices, utf8_list
 
 SEED = 1
 #: Hashes of the marks before the first and after the last word; no word has white space.
@@ -178,14 +178,14 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
 def fit(texts: DataFrame) -> Model:
     """Count the ``text`` column of ``texts``; null is an empty text, which is one END."""
     spark = texts.sparkSession
-    small_batches(spark)
+    ship(spark)
     buckets = 2 * shuffle_parts(spark)
     folder = shared_path(spark, "lm")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         n = 0
-        for b in batches:
+        for b in slices(batches):
             for text in utf8_list(b.column("text")):
                 held.append(tokens(text))
                 n += len(held[-1])
@@ -339,12 +339,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Scores are log10 probabilities; a null text is an empty one.  Perplexity is
     10 ** (-score / n_tokens).
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     rows = docs.select(id_col, F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
-        for b in batches:
+        for b in slices(batches):
             texts = utf8_list(b.column(1))
             done, held, n = [], [], 0
             for text in texts:

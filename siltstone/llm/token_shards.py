@@ -7,8 +7,10 @@ permutation of the ordinals themselves: the sequence's slot.  Slots are cut into
 a shard; a shard is records of equal size in slot order, so reading a stretch of training
 steps is one sequential read and a run resumes at ``slot * stride`` without an index.
 
-Ordinals need no sort: sequences are written once with their task's number and their place
-in it, and a task's first ordinal is the number of sequences of the tasks before.
+Ordinals follow from the data alone: documents are dealt by ranges of a hash of id and text
+and sorted by it, sequences are stored with their range and their place in it, and a range's
+first ordinal is the number of sequences of the ranges before.  How many ranges, partitions or
+cores there are changes nothing.  Rows equal in id and text are interchangeable.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import local_form, materialize, shared_path, small_batches, utf8_list
+from .common import local_form, materialize, shared_path, ship, shuffle_parts, slices, utf8_list
 
 #: Where the vocabulary files are; a parameter of every function that reads one.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -36,8 +38,8 @@ SEQUENCE, SHARD_RECORDS, KEY = 256, 16_384, 0x5EED_2024_0B5E_55ED
 ROUNDS = 6
 #: Passes in which shards are written: only one pass's shuffle is on disk at a time.
 PASSES = 2
-#: Characters that the tokenizer takes at once; cut where white space begins.
-_PART = 1 << 16
+#: The same pieces for texts on which the tokenizer's own pattern gives up (runs of a million spaces).
+_PIECES = PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
 
 
 @dataclass(frozen=True)
@@ -99,69 +101,91 @@ def _encoder(ranks: bytes):
 
 
 def encode(text: str, encoder) -> np.ndarray:
-    """Token ids and END.  Very long texts go in parts that end before a run of spaces."""
-    parts, at = [], 0
-    while len(text) - at > _PART:
-        cut = text.rfind(" ", at + 1, at + _PART)
-        while cut > at and text[cut - 1].isspace():
-            cut -= 1
-        if cut <= at:
-            cut = at + _PART
-        parts.append(encoder.encode_to_numpy(text[at:cut], disallowed_special=()))
-        at = cut
-    parts.append(encoder.encode_to_numpy(text[at:], disallowed_special=()))
-    return np.append(np.concatenate(parts), END).astype("<u2")
+    """Token ids of the whole text, and END."""
+    try:
+        ids = encoder.encode_to_numpy(text, disallowed_special=())
+    except ValueError:  # its pattern ran out of stack: the pieces are found here, and merged there
+        import regex
+
+        found = (encoder._encode_single_piece(m.group().encode()) for m in regex.finditer(_PIECES, text))
+        ids = np.fromiter((i for piece in found for i in piece), np.uint32)
+    return np.append(ids, END).astype("<u2")
+
+
+def tokenized(batches: Iterator[pa.RecordBatch], ranks: bytes) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of batches with a ``text`` column, and the ids of their texts."""
+    encoder = _encoder(ranks)
+    for b in slices(batches):
+        yield b, [encode(t.decode(), encoder) for t in utf8_list(b.column("text"))]
+
+
+def in_key_order(docs: DataFrame) -> DataFrame:
+    """(part, doc_id, text) sorted by a hash of id and text; parts are ranges of it."""
+    spark = docs.sparkSession
+    parts = max(shuffle_parts(spark), docs.rdd.getNumPartitions())
+    text = F.coalesce("text", F.lit(""))
+    key = F.xxhash64(F.col("doc_id").cast("string"), text)
+    rows = docs.select(key.alias("key"), "doc_id", text.alias("text"))
+    part = F.shiftright((F.shiftrightunsigned(F.col("key"), 33)) * parts, 31).cast("int")
+    dealt = rows.select(part.alias("part"), "*").repartitionById(parts, "part")
+    return dealt.sortWithinPartitions(F.shiftrightunsigned("key", 1), "key", "doc_id", "text").drop("key")
 
 
 def sequences(docs: DataFrame, length: int = SEQUENCE, ranks_path: str = RANKS) -> DataFrame:
     """(part, place, doc_id, seq_no, n_tokens, ids) stored in the shared folder.
 
-    A text's last sequence may be short; null and empty texts are one END.
+    A text's last sequence may be short; null and empty texts are one END, however long a text
+    is its ids are those of one call.  Ids may be null, repeated or strings; other columns are
+    not used, so their names may clash.  An empty table gives none.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(spark, ranks_path))  # one vocabulary file
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = in_key_order(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, place = _encoder(ranks.value), TaskContext.get().partitionId(), 0
-        for b in batches:
-            whose, numbers, sizes, ids = [], [], [], []
-            for i, text in enumerate(utf8_list(b.column("text"))):
-                all_ids = encode(text.decode(), encoder)
+        now, place = None, 0
+        for b, texts in tokenized(batches, ranks.value):
+            whose, numbers, sizes, ids, places = [], [], [], [], []
+            for i, (part, all_ids) in enumerate(zip(b.column("part").to_pylist(), texts, strict=True)):
+                if part != now:
+                    now, place = part, 0
                 for k in range(0, len(all_ids), length):
                     one = all_ids[k : k + length]
                     whose.append(i)
                     numbers.append(k // length)
                     sizes.append(len(one))
                     ids.append(one.tobytes())
-            n = len(ids)
+                    places.append(place)
+                    place += 1
+            whose = pa.array(whose, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(n, part, np.int64)), pa.array(np.arange(place, place + n, dtype=np.int64)), b.column("doc_id").take(pa.array(whose, pa.int64())),
+                    b.column("part").take(whose), pa.array(places, pa.int64()), b.column("doc_id").take(whose),
                     pa.array(numbers, pa.int32()), pa.array(sizes, pa.int32()), pa.array(ids, pa.binary()),
                 ],
                 ["part", "place", "doc_id", "seq_no", "n_tokens", "ids"],
             )
-            place += n
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    made = rows.mapInArrow(run, f"part long, place long, doc_id {kind}, seq_no int, n_tokens int, ids binary")
-    return materialize(made, "tokens")
+    made = rows.mapInArrow(run, f"part int, place long, doc_id {kind}, seq_no int, n_tokens int, ids binary")
+    return materialize(made, "tokens", "zstd")
 
 
 def training_order(stored: DataFrame, length: int = SEQUENCE, shard_records: int = SHARD_RECORDS, key: int = KEY) -> DataFrame:
     """(slot, shard, offset, doc_id, seq_no, n_tokens, record) of stored :func:`sequences`.
 
     ``record`` is ``length`` little-endian 16-bit ids, PAD after the last; ``offset`` its
-    place in the shard's bytes.  Partitions are slot ranges, sorted by slot.
+    place in the shard's bytes.  Partitions are slot ranges of whole shards, as many as the
+    stored table has splits, sorted by slot.
     """
-    sizes = {r["part"]: r["n"] for r in stored.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row a task
+    sizes = {r["part"]: r["n"] for r in stored.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row a split of the input
     parts = sorted(sizes)
     starts = np.cumsum([0, *[sizes[p] for p in parts]])
     order = Order(int(starts[-1]), key)
     names = np.array(parts, np.int64)
     shards = max(1, -(-order.n // shard_records))
+    ranges = min(shards, max(shuffle_parts(stored.sparkSession), stored.rdd.getNumPartitions()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,7 +199,7 @@ def training_order(stored: DataFrame, length: int = SEQUENCE, shard_records: int
     kind = stored.schema["doc_id"].dataType.simpleString()
     placed = stored.mapInArrow(run, f"slot long, shard int, doc_id {kind}, seq_no int, n_tokens int, ids binary")
     stride = 2 * length
-    dealt = placed.repartitionById(shards, "shard").sortWithinPartitions("slot")
+    dealt = placed.repartitionById(ranges, F.floor(F.col("shard") * ranges / shards).cast("int")).sortWithinPartitions("slot")
     return dealt.select(
         "slot", "shard", ((F.col("slot") % shard_records) * stride).alias("offset"), "doc_id", "seq_no", "n_tokens",
         F.rpad("ids", stride, F.lit(b"\xff\xff")).alias("record"),
