@@ -6,7 +6,11 @@ one group with a count, and items of one length move through groups by the thous
 histogram, the groups and the slots they offer are bounded by the largest capacity, not by
 the corpus.  Each item's rank among items of its length then picks its slot, so every item
 is placed by arithmetic; ranks come from salted counts, so a very common length is not
-ranked in one task.
+ranked in one task.  Salts follow from the number of items, so placing depends on the data
+alone, not on partitions or cores.
+
+Lengths are those of real token ids.  Texts are tokenised once; their ids travel with the
+ranking, and each bin's ids are then laid one after the other into a sequence of its capacity.
 
 Opening: a new bin takes the permitted capacity with the least cost for each token that it
 can expect to hold.  At the end each bin shrinks to the smallest capacity that holds it.
@@ -24,11 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, shuffle_parts
+from .common import discard, materialize, parts_for, ship
+from .token_shards import PAD, RANKS, read_ranks, tokenized
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Cost of a sequence in token equivalents: a fixed part, its tokens, and attention.
 FIXED_COST, ATTENTION = 64, 16_384
+#: Items of one length that are ranked together, about.
+SALTED = 4096
+#: Both bytes of the padding id are the same.
+_PAD = PAD.to_bytes(2, "little")[:1]
 
 
 def cost(capacity: int) -> float:
@@ -137,36 +146,46 @@ def pack(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES) ->
     return plan
 
 
-def lengths(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, n_tokens): words split at ASCII white space, and one end mark."""
-    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")) + 1
-    return docs.select("doc_id", F.xxhash64("text").alias("tag"), n.alias("n_tokens"))
-
+def tokens(docs: DataFrame, most: int, ranks_path: str = RANKS) -> DataFrame:
+    """(doc_id, tag, piece, n_tokens, ids) stored: each text's token ids and END, cut at ``most``.
 
-def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
-    """(doc_id, piece, n_tokens, bin, offset, capacity) for every piece of every document.
-
-    A document longer than the largest capacity is cut into pieces of that size and a rest;
-    nothing is dropped.  Null and empty texts are one end mark.  Rows that share an id are
-    packed one by one.
+    ``tag`` is a hash of the text: rows that share an id but not their text keep apart.
     """
     spark = docs.sparkSession
-    most = max(capacities)
-    sized = materialize(lengths(docs), "pack-len")
-    pieces = sized.select(
-        "doc_id", "tag", F.posexplode(F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / most))).alias("piece", "k"), "n_tokens"
-    ).select("doc_id", "tag", "piece", F.least(F.lit(most), F.col("n_tokens") - F.col("piece") * most).cast("int").alias("n_tokens"))
-    salts = 4 * shuffle_parts(spark)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tag", "piece"), F.lit(salts)).cast("int"))
-    counts = materialize(salted.groupBy("n_tokens", "salt").agg(F.count("*").alias("n")), "pack-counts")
-    histogram = {r["n_tokens"]: r["n"] for r in counts.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}
+    ship(spark)
+    ranks = spark.sparkContext.broadcast(read_ranks(spark, ranks_path))  # one vocabulary file
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, found in tokenized(batches, ranks.value):
+            cut = [(i, k // most, ids[k : k + most]) for i, ids in enumerate(found) for k in range(0, len(ids), most)]
+            whose = pa.array([i for i, _, _ in cut], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id").take(whose), b.column("tag").take(whose), pa.array([k for _, k, _ in cut], pa.int32()),
+                    pa.array([len(x) for _, _, x in cut], pa.int32()), pa.array([x.tobytes() for _, _, x in cut], pa.binary()),
+                ],
+                ["doc_id", "tag", "piece", "n_tokens", "ids"],
+            )
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    made = rows.mapInArrow(run, f"doc_id {kind}, tag long, piece int, n_tokens int, ids binary")
+    return materialize(made, "pack-tokens", "zstd")
+
+
+def place_pieces(pieces: DataFrame, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
+    """``pieces`` (doc_id, tag, piece, n_tokens, ids), stored, with their bin, offset and capacity."""
+    histogram = {r["n_tokens"]: r["n"] for r in pieces.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}  # max(capacities) rows
     plan = pack(histogram, capacities)
+    salts = 1 << max(0, -(-sum(histogram.values()) // SALTED) - 1).bit_length()
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tag", "piece"), F.lit(salts)).cast("int"))
+    counts = salted.groupBy("n_tokens", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("n_tokens", "salt", F.coalesce(before, F.lit(0)).alias("start"))
     order = Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "tag", "piece")
     ranked = (
         salted.withColumn("at", F.row_number().over(order)).join(starts, ["n_tokens", "salt"])
-        .select("doc_id", "piece", "n_tokens", (F.col("start") + F.col("at") - 1).alias("rank"))
+        .select("doc_id", "piece", "n_tokens", (F.col("start") + F.col("at") - 1).alias("rank"), "ids")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,9 +197,65 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES) ->
                 if len(at):
                     out[:, at] = plan.place(int(n[at[0]]), rank[at])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("piece"), b.column("n_tokens"), *map(pa.array, out)],
-                ["doc_id", "piece", "n_tokens", "bin", "offset", "capacity"],
+                [b.column("doc_id"), b.column("piece"), b.column("n_tokens"), *map(pa.array, out), b.column("ids")],
+                ["doc_id", "piece", "n_tokens", "bin", "offset", "capacity", "ids"],
             )
 
     kind = ranked.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(run, f"doc_id {kind}, piece int, n_tokens int, bin long, offset long, capacity long")
+    return ranked.mapInArrow(run, f"doc_id {kind}, piece int, n_tokens int, bin long, offset long, capacity long, ids binary")
+
+
+def assemble(placed: DataFrame, bins: int, parts: int) -> DataFrame:
+    """One row a bin of placed pieces: (bin, capacity, n_tokens, doc_ids, pieces, offsets, tokens).
+
+    ``tokens``: ``capacity`` little-endian 16-bit ids, PAD after the last; the lists say which
+    document's piece begins at which offset.  Partitions are ranges of ``bins``.
+    """
+    parts = max(1, min(parts, bins))
+    rows = placed.repartitionById(parts, F.floor(F.col("bin") * parts / max(1, bins)).cast("int")).sortWithinPartitions("bin", "offset")
+    id_kind = placed.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            bin_ = held.column("bin").to_numpy()
+            whole = int(np.searchsorted(bin_, bin_[-1])) if len(bin_) else 0  # the last bin may go on in the next batch
+            if whole:
+                yield from laid(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield from laid(held)
+
+    def laid(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        bin_, size = t.column("bin").to_numpy(), t.column("n_tokens").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], np.diff(bin_) != 0]))
+        edge = pa.array(np.append(first, len(bin_)), pa.int32())
+        capacity = t.column("capacity").to_numpy()[first]
+        used = np.add.reduceat(size, first)
+        ids = t.column("ids").to_pylist()
+        records = [b"".join(ids[a:z]).ljust(2 * int(c), _PAD) for a, z, c in zip(first.tolist(), [*first[1:].tolist(), len(ids)], capacity.tolist(), strict=True)]
+        listed = [pa.ListArray.from_arrays(edge, t.column(c).combine_chunks()) for c in ("doc_id", "piece", "offset")]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bin_[first]), pa.array(capacity), pa.array(used.astype(np.int64)), *listed, pa.array(records, pa.binary())],
+            ["bin", "capacity", "n_tokens", "doc_ids", "pieces", "offsets", "tokens"],
+        )
+
+    shape = f"bin long, capacity long, n_tokens long, doc_ids array<{id_kind}>, pieces array<int>, offsets array<long>, tokens binary"
+    return rows.select("bin", "capacity", "n_tokens", "doc_id", "piece", "offset", "ids").mapInArrow(run, shape)
+
+
+def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, ranks_path: str = RANKS) -> DataFrame:
+    """Training sequences of all ``docs``: see :func:`assemble`.
+
+    A document longer than the largest capacity is cut into pieces of that size and a rest;
+    nothing is dropped, however long a text is.  Null and empty texts are one end mark.  Rows
+    that share an id, also a null one, are packed one by one; ids may be strings.  Other
+    columns are not used, so their names may clash.  An empty table gives no sequence.
+    """
+    pieces = tokens(docs, max(capacities), ranks_path)
+    placed = materialize(place_pieces(pieces, capacities), "pack-placed", "zstd")
+    discard(pieces)
+    figures = placed.agg(F.max("bin").alias("last"), F.sum("n_tokens").alias("n")).first()
+    return assemble(placed, (figures["last"] or 0) + 1, parts_for(docs.sparkSession, 2 * (figures["n"] or 0)))
