@@ -4,6 +4,10 @@ Every line gets features of its own and of its neighbours; a two-state chain (ba
 is fitted by conditional likelihood on lines that inherit their document's label.
 Scoring runs forward-backward and averages the marginals of "good", weighted by line
 length; a logistic curve fitted on the same sample turns the mean into a probability.
+
+Labels are those of whole documents, so no fitted chain steps from bad to good: transitions
+are learned as far as they smooth, and it is the neighbours' features and marginals that tell
+a bad line among good ones.
 """
 
 from __future__ import annotations
@@ -15,12 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import small_batches, utf8_list
+from .common import materialize, ship, slices, utf8_list
 from .labelled import held_out, labelled_sample
 
-#: Labelled documents, and lines of one of them, that fitting reads at most.
-MAX_DOCS, MAX_LINES = 4000, 400
+#: Labelled documents that fitting reads at most, and lines of all of them together: documents
+#: are taken whole, or passed over where they would go beyond it.
+MAX_DOCS, MAX_LINES = 4000, 200_000
 #: Documents that one forward-backward pass holds together.
 _TOGETHER = 512
 _LOWER = bytes(range(97, 123))
@@ -177,24 +183,41 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, round
     return field
 
 
+def whole_within(sizes: list[tuple], limit: int) -> list:
+    """Of (size, key) in a fixed order the keys that fit ``limit`` together."""
+    out, held = [], 0
+    for n, key in sizes:
+        if held + n <= limit:
+            out.append(key)
+            held += n
+    return out
+
+
 def fit_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> LineField:
-    """Fit on ``labels.quality`` of at most ``max_docs`` documents outside the held-out third.
+    """Fit on ``labels.quality`` of at most ``max_docs`` documents outside the held-out third,
+    with ``max_lines`` lines in all.  Every document taken is taken whole.
 
-    Features, not texts, come to the driver: of one document ``max_lines`` lines at most.
+    Features, not texts, come to the driver.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    sample = labelled_sample(docs, labels, "quality", max_docs)
+    sample = materialize(sample.withColumns({"key": F.xxhash64("id", "text"), "lines": n_lines}), "quality-sample")
+    sizes = sample.select("lines", "key").orderBy("key", "lines").collect()  # max_docs rows, about
+    taken = set(whole_within([(r["lines"], r["key"]) for r in sizes], max_lines))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [tuple(x[:max_lines] for x in line_features(t)) for t in utf8_list(b.column("text"))]
+        for b in slices(batches, 64):
+            keep = pa.array([k in taken for k in b.column("key").to_pylist()], pa.bool_())
+            b = b.filter(keep)
+            found = [line_features(t) for t in utf8_list(b.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("label"), pa.array([x.astype("<f4").tobytes() for x, _ in found]), pa.array([n.astype("<f4").tobytes() for _, n in found])],
-                ["id", "label", "x", "n"],
+                [b.column("key"), b.column("label"), pa.array([x.astype("<f4").tobytes() for x, _ in found], pa.binary()), pa.array([n.astype("<f4").tobytes() for _, n in found], pa.binary())],
+                ["key", "label", "x", "n"],
             )
 
-    sample = labelled_sample(docs, labels, "quality", max_docs)
-    kind = sample.schema["id"].dataType.simpleString()
-    rows = sample.mapInArrow(run, f"id {kind}, label int, x binary, n binary").toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
+    rows = sample.mapInArrow(run, "key long, label int, x binary, n binary").toArrow().sort_by([("key", "ascending"), ("x", "ascending")])
     features = [
         (np.frombuffer(x, "<f4").reshape(-1, N_FEATURES).astype(np.float64), np.frombuffer(n, "<f4").astype(np.float64))
         for x, n in zip(rows["x"].to_pylist(), rows["n"].to_pylist(), strict=True)
@@ -202,19 +225,24 @@ def fit_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max
     return fit(features, np.array(rows["label"].to_pylist(), np.int64))
 
 
-def score(docs: DataFrame, field: LineField, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its ``keep`` columns) with ``quality_score``; null texts count as empty."""
-    small_batches(docs.sparkSession)
-    keep = list(docs.columns) if keep is None else keep
-    rows = docs.select(*keep, F.col("text").alias("__text"))
+def score(docs: DataFrame, field: LineField, keep: list[str] | None = None, name: str = "quality_score") -> DataFrame:
+    """``docs`` (or its ``keep`` columns) with the score in a new last column ``name``.
+
+    A column of that name in ``docs`` gives way to the score, other names are safe.  Null and
+    empty texts are one empty line; a text is read whole, however many lines it has.  Rows
+    that share an id, or repeat, are scored one by one; an empty table gives no rows.
+    """
+    ship(docs.sparkSession)
+    keep = [c for c in (docs.columns if keep is None else keep) if c != name]
+    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = field.scores(utf8_list(b.column(b.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found)], [*keep, "quality_score"])
+        for b in slices(batches):
+            found = field.scores(utf8_list(b.column("text")))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(found, pa.float64())], ["row", "score"])
 
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}, quality_score double")
+    made = rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
+    return made.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("score").alias(name))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
