@@ -12,7 +12,8 @@ together with the rest of their windows.  Three rounds settle every window start
 
 1. the *parse*: each boundary's name (hash of the ``CORE`` bytes after it) and phrase name
    go to one bucket in packed blocks.  A boundary whose name is unique has no repeated
-   window.  A phrase that occurs twice is repeated as a whole.
+   window.  A phrase that occurs twice is repeated as a whole: the parse is grouped by 64-bit
+   names and not sorted as a suffix array, since no repeat needs more than two phrases of it.
 2. the *dictionary*: phrases that occur once but share their boundary's name with another
    go, once each, with one copy of each repeated phrase of that name, to a bucket.  There
    the suffix array of what follows the boundaries, and that of the reversed stretches
@@ -21,11 +22,13 @@ together with the rest of their windows.  Three rounds settle every window start
    other; windows of equal class pairs are adjacent in corpus order and equal.
 3. spans are joined back to their documents, merged and cut out.
 
-Hot text: an occurrence of a boundary is 34 packed bytes in its bucket, sorted there with
-numpy, and goes no further if its phrase is repeated as a whole.  A boundary with more than
-``WIDE`` different phrases - one common line in very many different surroundings - does not
-go to a dictionary bucket: its windows are counted one by one, with partial aggregation.
-Groups never expand into pairs.
+Hot text: a sample of documents names the boundaries and phrases that are frequent.  It is
+only about where they go: phrases of a frequent boundary are dealt by phrase, occurrences of a
+frequent phrase by document, over the more buckets the more frequent it is; both are known to
+be repeated.  In the dictionary, phrases of a boundary that is frequent or has very many of them
+are dealt by ``STEP`` starts at a time, under the name of the bytes that all windows of these
+starts share, ``length`` - ``STEP`` + 1 of them, instead of ``CORE``.  Groups never expand into
+pairs, and the number of buckets follows the bytes of the input.
 """
 
 from __future__ import annotations
@@ -35,10 +38,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import materialize, shuffle_parts, small_batches, utf8_list
+from .common import discard, fresh, materialize, parts_for, ship, slices, text_bytes, utf8_list
 
 LENGTH = 200
 GRAM, WINDOW, CORE = 16, 128, 64
@@ -47,9 +51,13 @@ PIECE = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(2024).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _ODD = [np.uint64(int(x) | 1) for x in np.random.default_rng(77).integers(2**32, 2**63, 16, dtype=np.uint64)]
-ANCHOR = np.dtype([("name", "<u8"), ("phrase", "<u8"), ("id", "<i8"), ("tag", "<i4"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1")])
-#: Different phrases of one boundary name that are sorted in one task at most.
-WIDE = 20_000
+ANCHOR = np.dtype([("name", "<u8"), ("phrase", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1"), ("hot", "u1")])
+#: Different phrases of one boundary name beyond which they are dealt by ``STEP`` starts.
+WIDE, STEP = 4096, 16
+#: Bytes of text for one bucket.
+BUCKET = 16 << 20
+#: Documents in which frequent names are looked for, about, and appearances that make one frequent.
+HOT_SAMPLE, HOT_COUNT = 8192, 8
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
@@ -108,8 +116,7 @@ def _bucket(name: np.ndarray, buckets: int) -> np.ndarray:
     return ((name >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
-def _blocks(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
-    bucket = _bucket(rows["name"], buckets)
+def _blocks(rows: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
     cut = np.flatnonzero(np.diff(bucket)) + 1
@@ -121,37 +128,88 @@ def _blocks(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
     )
 
 
-def parse(docs: DataFrame, buckets: int, length: int = LENGTH, flush: int = 1 << 19) -> DataFrame:
-    """(bucket, block) of packed boundaries of (id, tag, text) rows."""
+def _rows(text: bytes, k1: int, k2: int, length: int) -> np.ndarray:
+    at, lo, hi, name, phrase = anchors(text, length)
+    rows = np.zeros(len(at), ANCHOR)
+    rows["name"], rows["phrase"], rows["k1"], rows["k2"] = name, phrase, k1, k2
+    rows["at"], rows["lo"], rows["hi"] = at, at - lo, at - hi
+    return rows
+
+
+def frequent(docs: DataFrame, n_docs: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frequent names, frequent phrases and over how many buckets each phrase goes, sorted.
+
+    All of them occur twice at least.  What is missing here costs balance, never a repeat.
+    """
+    cut = max(1, int(min(1.0, HOT_SAMPLE / max(1, n_docs)) * (1 << 30)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            for text, k1, k2 in zip(utf8_list(b.column("text")), b.column("k1").to_pylist(), b.column("k2").to_pylist(), strict=True):
+                rows = _rows(text, k1, k2, length)
+                both = np.concatenate([rows["name"], rows["phrase"]]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(np.repeat([False, True], len(rows)))], ["h", "phrase"])
+
+    sampled = docs.where(F.pmod("k1", F.lit(1 << 30)) < cut).mapInArrow(run, "h long, phrase boolean")
+    found = sampled.groupBy("h", "phrase").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_COUNT).toArrow()  # the sample's anchors / HOT_COUNT
+    h, n, phrase = found["h"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy(), found["phrase"].to_numpy()
+    phrases, order = h[phrase], np.argsort(h[phrase])
+    return np.sort(h[~phrase]), phrases[order], (n[phrase][order] // HOT_COUNT).astype(np.uint64)
+
+
+def _among(x: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of ``x`` is in the sorted ``listed``, and where."""
+    if not len(listed):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(listed, x), len(listed) - 1)
+    return listed[at] == x, at
+
+
+def deal(rows: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray], buckets: int) -> np.ndarray:
+    """The bucket of each boundary; marks ``hot`` of it: 1 by name, 2 by phrase."""
+    names, phrases, spread = hot
+    to = rows["name"].copy()
+    by_name, _ = _among(rows["name"], names)
+    to[by_name] = _stir(rows["name"][by_name] ^ rows["phrase"][by_name] * _ODD[5])
+    by_phrase, at = _among(rows["phrase"], phrases)
+    by_phrase &= by_name
+    if by_phrase.any():
+        own = rows[by_phrase]
+        salt = _stir(own["k1"].view(np.uint64) + own["at"].astype(np.uint64) * _ODD[6]) % np.maximum(spread[at[by_phrase]], np.uint64(1))
+        to[by_phrase] = _stir(to[by_phrase] + salt * _ODD[7])
+    rows["hot"] = by_name + by_phrase.astype(np.uint8)
+    return _bucket(to, buckets)
+
+
+def parse(docs: DataFrame, buckets: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray], length: int = LENGTH, flush: int = 1 << 19) -> DataFrame:
+    """(bucket, block) of packed boundaries of (k1, k2, text) rows."""
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        return _blocks(rows, deal(rows, hot, buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         count = 0
-        for b in batches:
-            ids = b.column("id").to_numpy(zero_copy_only=False)
-            tags = b.column("tag").to_numpy()
-            for text, i, tag in zip(utf8_list(b.column("text")), ids, tags, strict=True):
-                at, lo, hi, name, phrase = anchors(text, length)
-                rows = np.empty(len(at), ANCHOR)
-                rows["name"], rows["phrase"], rows["id"], rows["tag"] = name, phrase, i, tag
-                rows["at"], rows["lo"], rows["hi"] = at, at - lo, at - hi
-                held.append(rows)
-                count += len(rows)
+        for b in slices(batches):
+            for text, k1, k2 in zip(utf8_list(b.column("text")), b.column("k1").to_pylist(), b.column("k2").to_pylist(), strict=True):
+                held.append(_rows(text, k1, k2, length))
+                count += len(held[-1])
                 if count >= flush:
-                    yield _blocks(np.concatenate(held), buckets)
+                    yield packed(held)
                     held, count = [], 0
         if count:
-            yield _blocks(np.concatenate(held), buckets)
+            yield packed(held)
 
     return docs.mapInArrow(run, "bucket int, block binary")
 
 
 _FULL, _SHIP, _BOTH = 0, 1, 2
-_FLAGGED = "id long, tag int, at long, lo int, hi int, kind int, wide boolean"
+_FLAGGED = "k1 long, k2 long, at long, lo int, hi int, kind int, wide boolean"
 
 
-def repeated_names(blocks: DataFrame, wide: int = WIDE) -> DataFrame:
-    """Boundaries whose name is repeated: id, tag, at, lo, hi, kind and wide.
+def repeated_names(blocks: DataFrame, parts: int, wide: int = WIDE) -> DataFrame:
+    """Boundaries whose name is repeated: k1, k2, at, lo, hi, kind and wide.
 
     kind 0: the phrase is repeated as a whole; 1: it occurs once, look closer; 2: as 0, and
     this occurrence stands for its phrase where others of its name occur once.
@@ -162,58 +220,66 @@ def repeated_names(blocks: DataFrame, wide: int = WIDE) -> DataFrame:
         a = a[np.argsort(a["name"], kind="stable")]
         new = np.concatenate([[True], a["name"][1:] != a["name"][:-1]])
         count = np.diff(np.append(np.flatnonzero(new), len(a)))
-        a = a[np.repeat(count > 1, count)]
+        a = a[np.repeat(count > 1, count) | (a["hot"] > 0)]
         if len(a):
-            a = a[np.lexsort((a["at"], a["id"], a["phrase"], a["name"]))]
+            a = a[np.lexsort((a["at"], a["k2"], a["k1"], a["phrase"], a["name"]))]
             group = np.concatenate([[True], a["name"][1:] != a["name"][:-1]])
             sub = group | np.concatenate([[True], a["phrase"][1:] != a["phrase"][:-1]])
             size = np.diff(np.append(np.flatnonzero(sub), len(a)))
-            once = np.repeat(size == 1, size)
+            once = np.repeat(size == 1, size) & (a["hot"] < 2)
             which = np.cumsum(group) - 1
-            mixed = (np.bincount(which, once) > 0)[which]
+            mixed = (np.bincount(which, once) > 0)[which] | (a["hot"] > 0)
             kind = np.where(once, _SHIP, np.where(mixed & sub, _BOTH, _FULL))
-            many = np.bincount(which, sub)[which] > wide
+            many = (np.bincount(which, sub)[which] > wide) | (a["hot"] > 0)
         else:
             kind, many = np.zeros(0, np.int64), np.zeros(0, bool)
         return pa.table({
-            "id": pa.array(a["id"], pa.int64()), "tag": pa.array(a["tag"], pa.int32()), "at": pa.array(a["at"], pa.int64()),
+            "k1": pa.array(a["k1"], pa.int64()), "k2": pa.array(a["k2"], pa.int64()), "at": pa.array(a["at"], pa.int64()),
             "lo": pa.array(a["lo"], pa.int32()), "hi": pa.array(a["hi"], pa.int32()), "kind": pa.array(kind, pa.int32()), "wide": pa.array(many),
         })
 
-    return blocks.groupBy("bucket").applyInArrow(run, _FLAGGED)
+    return blocks.repartition(parts, "bucket").groupBy("bucket").applyInArrow(run, _FLAGGED)
 
 
 def dictionary(rows: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
-    """(id, tag, text, marks) -> the flagged phrases' bytes, dealt by boundary name.
+    """(k1, k2, text, marks) -> the flagged phrases' bytes, dealt by what their windows share.
 
-    ``back`` bytes of a phrase stand before its boundary.
+    ``lo`` bytes of a phrase stand before its boundary.
     """
 
+    def entries(text: bytes, m: dict) -> Iterator[tuple]:
+        at, lo, hi = m["at"], m["lo"], m["hi"]
+        if not m["wide"]:
+            yield hashlib.blake2b(text[at : at + CORE], digest_size=8).digest(), lo, hi
+            return
+        for a in range(hi // STEP * STEP, lo + 1, STEP):
+            shared = text[at - a : at + length - (a + STEP - 1)]
+            name = hashlib.blake2b(shared, digest_size=8, person=a.to_bytes(2, "little")).digest()
+            yield name, min(lo, a + STEP - 1), max(hi, a)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
             marks = b.column("marks").to_pylist()
-            for text, i, tag, found in zip(utf8_list(b.column("text")), b.column("id").to_pylist(), b.column("tag").to_pylist(), marks, strict=True):
+            for text, k1, k2, found in zip(utf8_list(b.column("text")), b.column("k1").to_pylist(), b.column("k2").to_pylist(), marks, strict=True):
                 for m in found:
                     at = m["at"]
-                    body = text[at - m["lo"] : at - m["hi"] + length]
-                    core = hashlib.blake2b(text[at : at + CORE], digest_size=8).digest()
-                    out.append((core, i, tag, at, m["lo"], m["hi"], body))
+                    out += [(name, k1, k2, at, lo, hi, text[at - lo : at - hi + length]) for name, lo, hi in entries(text, m)]
                     if len(out) >= 4096:
                         yield _dealt(out, buckets)
                         out = []
             if out:
                 yield _dealt(out, buckets)
 
-    return rows.mapInArrow(run, "bucket int, name long, id long, tag int, at long, lo int, hi int, body binary")
+    return rows.mapInArrow(run, "bucket int, name long, k1 long, k2 long, at long, lo int, hi int, body binary")
 
 
 def _dealt(out: list[tuple], buckets: int) -> pa.RecordBatch:
     name = np.frombuffer(b"".join(x[0] for x in out), "<u8")
     columns = [pa.array(_bucket(name, buckets), pa.int32()), pa.array(name.view(np.int64))]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     columns += [pa.array([x[i + 1] for x in out], kind) for i, kind in enumerate(kinds)]
-    return pa.RecordBatch.from_arrays(columns, ["bucket", "name", "id", "tag", "at", "lo", "hi", "body"])
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "name", "k1", "k2", "at", "lo", "hi", "body"])
 
 
 def suffix_order(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +328,7 @@ def repeated_windows(bodies: list[bytes], lo: np.ndarray, hi: np.ndarray, length
     return np.concatenate(who), np.concatenate(where)
 
 
-def settle(entries: DataFrame, length: int = LENGTH) -> DataFrame:
+def settle(entries: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
     """Start spans (first and last start, both repeated with all between) of the dictionary."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -292,31 +358,11 @@ def settle(entries: DataFrame, length: int = LENGTH) -> DataFrame:
             begin = stop
         pick = np.concatenate(who) if who else np.zeros(0, np.int64)
         return pa.table({
-            "id": rows.column("id").take(pa.array(pick)), "tag": rows.column("tag").take(pa.array(pick)),
+            "k1": rows.column("k1").take(pa.array(pick)), "k2": rows.column("k2").take(pa.array(pick)),
             "first": pa.array(np.concatenate(first) if first else pick, pa.int64()), "last": pa.array(np.concatenate(last) if last else pick, pa.int64()),
-        }).cast(pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("first", pa.int64()), ("last", pa.int64())]))
-
-    return entries.groupBy("bucket").applyInArrow(run, "id long, tag int, first long, last long")
-
-
-def settle_wide(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(id, tag, text, marks) -> start spans of windows that occur twice, window by window."""
+        }).cast(pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64()), ("last", pa.int64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for text, i, tag, found in zip(*(utf8_list(b.column(0)), *(b.column(k).to_pylist() for k in (1, 2, 3))), strict=True):
-                for m in found:
-                    starts = np.arange(m["at"] - m["lo"], m["at"] - m["hi"] + 1)
-                    names = b"".join(hashlib.blake2b(text[p : p + length], digest_size=16).digest() for p in starts.tolist())
-                    pair = np.frombuffer(names, "<i8").reshape(-1, 2)
-                    n = len(starts)
-                    columns = [pair[:, 0].copy(), pair[:, 1].copy(), np.full(n, i, np.int64), np.full(n, tag, np.int32), starts]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "id", "tag", "first"])
-
-    windows = rows.select("text", "id", "tag", "marks").mapInArrow(run, "a long, b long, id long, tag int, first long")
-    windows = materialize(windows, "pfp-windows")
-    twice = windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    return windows.join(twice, ["a", "b"]).select("id", "tag", "first", F.col("first").alias("last"))
+    return entries.repartition(parts, "bucket").groupBy("bucket").applyInArrow(run, "k1 long, k2 long, first long, last long")
 
 
 def _merge(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -332,53 +378,52 @@ def _merge(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, wide: int = WIDE) -> DataFrame:
-    """(id, tag, spans): start spans of repeated strings for every text that has some.
+    """(k1, k2, spans): start spans of repeated strings for every text that has some.
 
-    ``id`` is the id, or 0 for a null one; ``tag`` a hash of the text, so that rows that
-    share an id but not their text keep apart (rows equal in both share their spans, and
-    each counts as an occurrence).
+    ``k1`` and ``k2`` are 128 bits of hash of id and text, of any kind and also null, so rows
+    that share an id but not their text keep apart; rows equal in both share their spans, and
+    each counts as an occurrence.
     """
     spark = docs.sparkSession
-    small_batches(spark, 256)
-    keyed = _keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    buckets = 2 * shuffle_parts(spark)
-    flagged = materialize(repeated_names(parse(keyed, buckets, length), wide), "pfp-names")
-
-    def marked(which: DataFrame) -> DataFrame:
-        marks = which.where(F.col("kind") != _FULL).groupBy("id", "tag").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("marks"))
-        return keyed.join(marks, ["id", "tag"])
-
-    near = materialize(settle(dictionary(marked(flagged.where("NOT wide")), buckets, length), length), "pfp-dict")
-    if not flagged.where("wide").isEmpty():
-        near = near.unionByName(settle_wide(marked(flagged.where("wide")), length))
-    whole = flagged.where(F.col("kind") != _SHIP).select("id", "tag", (F.col("at") - F.col("lo")).alias("first"), (F.col("at") - F.col("hi")).alias("last"))
-    return whole.unionByName(near).groupBy("id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-
-
-def _keyed(rows: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return rows.select(F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("id"), F.hash(text).alias("tag"), text.alias("text"))
+    ship(spark)
+    keyed = docs.select(*_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    size = text_bytes(docs, text_col)
+    parts = parts_for(spark, size, BUCKET)
+    buckets = 2 * parts
+    hot = frequent(keyed, docs.count(), length)
+    flagged = materialize(repeated_names(parse(keyed, buckets, hot, length), parts, wide), "pfp-names")
+    marks = flagged.where(F.col("kind") != _FULL).groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "lo", "hi", "wide")).alias("marks"))
+    near = materialize(settle(dictionary(keyed.join(marks, ["k1", "k2"]), buckets, length), parts, length), "pfp-dict")
+    whole = flagged.where(F.col("kind") != _SHIP).select("k1", "k2", (F.col("at") - F.col("lo")).alias("first"), (F.col("at") - F.col("hi")).alias("last"))
+    spans = whole.unionByName(near).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = materialize(spans, "pfp-spans")
+    discard(flagged, near)
+    return spans
+
+
+def _key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """128 bits of a row's id and text; a null id differs from every id."""
+    i, text = F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))
+    return F.xxhash64(i, text).alias("k1"), F.xxhash64(text, i, i.isNull()).alias("k2")
 
 
 def _apply(docs: DataFrame, id_col: str, text_col: str, length: int, keep: list[str], fields: str, one: Callable[[bytes, list[tuple[int, int]]], tuple]) -> DataFrame:
     spans = repeated_spans(docs, id_col, text_col, length)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.struct(*keep).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.hash(text).alias("tag"), text.alias("text")
-    )
-    joined = rows.join(spans, ["id", "tag"], "left").select("row", "text", "spans")
+    rows = docs.select(F.struct(*keep).alias("row"), *_key(id_col, text_col), text.alias("text"))
+    joined = rows.join(spans, ["k1", "k2"], "left").select("row", "text", "spans")
     names = [x.split()[0] for x in fields.split(", ")]
     arrow = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     kinds = [arrow[x.split()[1]] for x in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [one(t, _merge(s, length)) for t, s in zip(utf8_list(b.column("text")), b.column("spans").to_pylist(), strict=True)]
             columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column("row"), *columns], ["row", *names])
 
-    shape = f"row {joined.schema['row'].dataType.simpleString()}, {fields}"
-    return joined.mapInArrow(run, shape).select("row.*", *names)
+    shape = StructType([joined.schema["row"], *StructType.fromDDL(fields).fields])
+    return joined.mapInArrow(run, shape).select(*[F.col("row").getField(c).alias(c) for c in keep], *names)
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -387,7 +432,13 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id column, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``."""
+    """(id column, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``.
+
+    Ids may be null, repeated or strings: each row is judged by itself, and rows that repeat
+    remove each other's text whole.  A null text is an empty one; texts are read whole,
+    however long.  Other columns are not used, so their names may clash.  An empty table gives
+    no rows.
+    """
 
     def one(text: bytes, spans: list[tuple[int, int]]) -> tuple:
         removed = sum(b - a for a, b in spans)
@@ -400,15 +451,17 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with the text that is left; characters cut in two are dropped whole.
 
-    A null text stays null.  The other columns are kept as they are.
+    A null text stays null.  The other columns are kept as they are, whatever their names.
+    Ids and repeated rows are taken as in :func:`report`; an empty table gives no rows.
     """
     keep = list(docs.columns)
 
     def one(text: bytes, spans: list[tuple[int, int]]) -> tuple:
         return (_kept(text, spans).decode("utf-8", "ignore"),)
 
-    found = _apply(docs, id_col, text_col, length, keep, "__left string", one)
-    left = F.when(F.col(text_col).isNotNull(), F.col("__left")).alias(text_col)
+    name = fresh("left", keep)
+    found = _apply(docs, id_col, text_col, length, keep, f"{name} string", one)
+    left = F.when(F.col(text_col).isNotNull(), F.col(name)).alias(text_col)
     return found.select(*[left if c == text_col else F.col(c) for c in keep])
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, utf8_list
+from .common import fresh, materialize, ship, slices, utf8_list
 from .components import connected_components
 
 RADIUS = 3
@@ -68,11 +68,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``tag``: a hash of id and text, which tells rows with one id apart.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), row_tag(id_col, text_col).alias("tag"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.fromiter((fingerprint(t) for t in utf8_list(b.column("text"))), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tag"), pa.array(fp.view(np.int64))], ["id", "tag", "fp"])
 
@@ -263,9 +263,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id, nulls last."""
-    columns = list(docs.columns)
+    """``docs`` with one row of each component: that of the smallest id, nulls last.
+
+    Ids may be strings or null; of rows equal in id and text one stays.
+    """
     found = near_duplicates(docs, id_col, text_col, radius).where("first")
-    firsts = materialize(found.select(F.coalesce(F.col("id"), F.lit(0)).alias("__i"), F.col("tag").alias("__t")).distinct(), "simhash-first")
-    keyed = docs.withColumns({"__i": F.coalesce(F.col(id_col), F.lit(0)), "__t": row_tag(id_col, text_col)})
-    return keyed.join(firsts, ["__i", "__t"], "left_semi").dropDuplicates(["__i", "__t"]).select(*columns)
+    return only_rows(docs, materialize(found.select("id", "tag").distinct(), "simhash-first"), id_col, text_col)
+
+
+def only_rows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of ``docs`` one row for each of the distinct ``wanted`` (id, tag), ids of any kind or null."""
+    columns = list(docs.columns)
+    tag = fresh("tag", columns)
+    keyed = docs.withColumn(tag, row_tag(id_col, text_col))
+    wanted = wanted.select(F.col("id").alias("wanted_id"), F.col("tag").alias("wanted_tag"))
+    same = keyed[id_col].eqNullSafe(wanted["wanted_id"]) & (keyed[tag] == wanted["wanted_tag"])
+    return keyed.join(wanted, same, "left_semi").dropDuplicates([id_col, tag]).select(*columns)

@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import defaultdict
 
+import pytest
+
 from siltstone.llm import exact_substring as X
 
 
@@ -71,12 +73,34 @@ def test_wide_names_agree(spark):
     rows = [(i, prose(100) + rng.choice(ends) + line + rng.choice(ends) + prose(50)) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     spans = [
-        {(r.id, r.tag): X._merge([s.asDict() for s in r.spans], 200) for r in X.repeated_spans(docs, wide=wide).collect()} for wide in (3, X.WIDE)
+        {(r.k1, r.k2): X._merge([s.asDict() for s in r.spans], 200) for r in X.repeated_spans(docs, wide=wide).collect()} for wide in (3, X.WIDE)
     ]
     assert spans[0] == spans[1] and spans[0]
     check(spark, rows, docs)
 
 
+@pytest.mark.parametrize("count", [2, 5])
+def test_frequent_names_are_dealt_and_nothing_is_lost(spark, monkeypatch, count):
+    monkeypatch.setattr(X, "HOT_COUNT", count)
+    rng = random.Random(8)
+    prose = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    line, ends = prose(190), [prose(150) for _ in range(4)]
+    rows = [(i, prose(rng.randint(0, 150)) + rng.choice(ends) + line + rng.choice(ends) + prose(rng.randint(0, 90))) for i in range(50)]
+    rows += [(100 + i, rows[0][1]) for i in range(12)] + [(200 + i, line * 3 + prose(i)) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names, phrases, _ = X.frequent(docs.select(*X._key("doc_id", "text"), "text"), len(rows))
+    assert len(names) > 3 and len(phrases) > 3
+    check(spark, rows, docs)
+
+
+def test_ids_of_other_kinds(spark):
+    rng = random.Random(3)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = [prose(300) + " " + prose(40) for _ in range(8)]
+    rows = [(f"d-{i}", t) for i, t in enumerate(texts)] + [(None, t + prose(9)) for t in texts[:4]] + [(None, texts[5]), ("d-5", texts[5]), ("d-1", "other text")]
+    check(spark, rows, spark.createDataFrame(rows, "doc_id string, text string"))
+
+
 def test_pieces_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(X, "PIECE", 700)
     rng = random.Random(4)
