@@ -4,13 +4,19 @@ Counting: tasks hash words to 64 bits and send, for every bucket of bigram keys,
 block of the distinct bigrams they saw with their counts.  A bucket sums its blocks and
 writes one *sorted hash array* (key, count); what it knows of the two words goes on to a
 bucket of word hashes, which writes sorted arrays of the words' statistics.  A bigram's key
-starts with bits that depend on its first word and on an eighth of the second word's hash
-space, so buckets are key ranges, the arrays together are sorted as a whole, and even the
-commonest word is spread over several buckets.
+starts with bits that depend on its first word and on a part of the second word's hash space,
+an eighth of it, or a 256th where a sample shows the first word to be common.  So buckets are
+key ranges, the arrays together are sorted as a whole, and a common word is spread over many
+buckets.  Their number follows the bytes of the input.
 
-Scoring: each worker maps the arrays into memory read-only, from the shared folder or from a
-copy that is unlinked as soon as it is mapped, and looks up the distinct words and bigrams
-of a batch of documents.  Nothing is shuffled, and pages that no text needs are not read.
+Scoring: each worker maps the arrays into memory read-only from the shared folder and looks up
+the distinct words and bigrams of a batch of documents.  Nothing is shuffled, and pages that no
+text needs are not read.  Where the folder is no mounted path, ranges of keys are read from the
+store as they are asked for, a bounded amount at a time, and no local copy is made.
+
+Words and bigrams are known by 64-bit hashes; two that share one would count as one, which at
+10^9 different bigrams is expected for less than one in 10^10.  Counts that a result carries
+(tokens, known tokens) rest on the words' hashes.
 
 With c the count of a bigram v w, D1, D2, D3 the discounts for counts 1, 2 and more, and
 N1(v), N2(v), N3(v) the numbers of words that follow v so often:
@@ -22,10 +28,9 @@ interpolated with the uniform distribution over the vocabulary and one unknown w
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, local_form, shared_path, ship, shuffle_parts, slices, utf8_list
+from .common import crc_mod, local_form, parts_for, shared_path, ship, slices, text_bytes, utf8_list
 
 SEED = 1
 #: Hashes of the marks before the first and after the last word; no word has white space.
@@ -44,6 +49,12 @@ END = np.uint64(xxhash.xxh64_intdigest(b"</s> ", SEED))
 BLOCK_TOKENS, BATCH_TOKENS = 4 << 20, 1 << 20
 #: Counts from here on are kept in arrays of their own, the others in one byte.
 LARGE = 255
+#: Bytes of text for one bucket, and for one task of counting.
+BUCKET, TASK = 4 << 20, 16 << 20
+#: Texts in which common first words are looked for, about, and the share that makes one common.
+HOT_SAMPLE, HOT_SHARE = 2000, 0.0005
+#: Files that a worker maps at once, and bytes that it holds where files cannot be mapped.
+MAPPED, HELD = 8192, 256 << 20
 PAIR = np.dtype([("v", "<u8"), ("w", "<u8"), ("n", "<u4")])
 PART = np.dtype([("word", "<u8"), ("n", "<i8"), ("f1", "<u4"), ("f2", "<u4"), ("f3", "<u4"), ("before", "<u4")])
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -64,15 +75,18 @@ def _stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def bigram_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """16 bits of (v, w's eighth), then 48 bits of (v, w)."""
-    head = _stir(v * _M1 + (w >> np.uint64(61)))
+def bigram_key(v: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """24 bits of v and a part of w, then 40 bits of v and w; ``hot``: sorted common words."""
+    part = np.full(len(v), 61, np.uint64)
+    if len(hot):
+        part[hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v] = 56
+    head = _stir(v * _M1 + (w >> part))
     tail = _stir(_stir(v + _M2) * _M1 + w)
-    return (head & np.uint64(0xFFFF << 48)) | (tail >> np.uint64(16))
+    return (head & np.uint64(0xFFFFFF << 40)) | (tail >> np.uint64(24))
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
-    return (((key >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)).astype(np.int64)
+    return (((key >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)).astype(np.int64)
 
 
 def _split(bucket: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
@@ -96,13 +110,13 @@ def _joined(blocks: list[bytes], kind: np.dtype) -> dict[str, np.ndarray]:
     return {f: np.concatenate(x) for f, x in parts.items()}
 
 
-def _count_block(streams: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+def _count_block(streams: list[np.ndarray], buckets: int, hot: np.ndarray) -> pa.RecordBatch:
     w = np.concatenate(streams)
     v = np.empty_like(w)
     v[1:] = w[:-1]
     v[0] = START
     v[1:][w[:-1] == END] = START
-    key = bigram_key(v, w)
+    key = bigram_key(v, w, hot)
     order = np.argsort(key)
     key = key[order]
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -131,24 +145,15 @@ def _write(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
             fs.move(at + tail, at)
 
 
-def _map(folder: str, file: str, kind: str) -> np.ndarray:
-    """A file of the folder as a read-only memory map."""
+def _open(folder: str, file: str, kind: str) -> np.ndarray:
+    """A file of the folder as a read-only memory map, or its bytes where it cannot be mapped."""
     here = local_form(folder)
-    if here is not None:
-        path = f"{here}/{file}"
-    else:
-        fs, at = pafs.FileSystem.from_uri(f"{folder}/{file}")
-        handle, path = tempfile.mkstemp()
-        with os.fdopen(handle, "wb") as f, fs.open_input_stream(at) as source:
-            while part := source.read(8 << 20):
-                f.write(part)
-    if os.path.getsize(path) == 0:
-        out = np.zeros(0, kind)
-    else:
-        out = np.memmap(path, kind, "r")
     if here is None:
-        os.unlink(path)  # the map keeps the pages; nothing is left behind
-    return out
+        fs, at = pafs.FileSystem.from_uri(f"{folder}/{file}")
+        with fs.open_input_file(at) as f:
+            return np.frombuffer(f.read(), kind)
+    path = f"{here}/{file}"
+    return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
 
 
 @dataclass
@@ -163,6 +168,7 @@ class Model:
     discount: tuple[float, ...] = (0.5, 1.0, 1.5)
     word_discount: tuple[float, ...] = (0.5, 1.0, 1.5)
     word_kinds: tuple[int, ...] = (0, 0, 0)
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float]:
@@ -175,11 +181,31 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k - 0.05) for k, x in enumerate(raw, 1))
 
 
+def common_words(texts: DataFrame) -> np.ndarray:
+    """Sorted hashes of words that are common in a sample.  They are only about how bigrams
+    are spread over buckets, and no figure depends on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            for text in utf8_list(b.column("text")):
+                w, n = np.unique(tokens(text)[:-1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], ["w", "n"])
+
+    share = min(1.0, HOT_SAMPLE / max(1, texts.count()))
+    summed = texts.select("text").sample(share, 5).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    total = summed.agg(F.sum("n")).first()[0] or 0
+    found = summed.where(F.col("n") >= HOT_SHARE * total).toArrow()  # 1 / HOT_SHARE words at most
+    return np.sort(np.append(found["w"].to_numpy().astype(np.int64).view(np.uint64), START))
+
+
 def fit(texts: DataFrame) -> Model:
     """Count the ``text`` column of ``texts``; null is an empty text, which is one END."""
     spark = texts.sparkSession
     ship(spark)
-    buckets = 2 * shuffle_parts(spark)
+    size = text_bytes(texts)
+    tasks = parts_for(spark, size, TASK)
+    buckets = max(2 * tasks, -(-size // BUCKET))
+    hot = common_words(texts)
     folder = shared_path(spark, "lm")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,14 +216,14 @@ def fit(texts: DataFrame) -> Model:
                 held.append(tokens(text))
                 n += len(held[-1])
                 if n >= BLOCK_TOKENS:
-                    yield _count_block(held, buckets)
+                    yield _count_block(held, buckets, hot)
                     held, n = [], 0
         if n:
-            yield _count_block(held, buckets)
+            yield _count_block(held, buckets, hot)
 
     def pairs(key: tuple, rows: pa.Table) -> pa.Table:
         a = _joined(rows.column("block").to_pylist(), PAIR)
-        k = bigram_key(a["v"], a["w"])
+        k = bigram_key(a["v"], a["w"], hot)
         order = np.argsort(k)
         k = k[order]
         new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -239,9 +265,9 @@ def fit(texts: DataFrame) -> Model:
         return pa.table({"what": pa.array(["words"]), "figures": pa.array([[int(x) for x in figures]], pa.list_(pa.int64()))})
 
     counted = texts.select("text").mapInArrow(count, "bucket int, block binary")
-    parts = counted.groupBy("bucket").applyInArrow(pairs, "bucket int, block binary")
-    made = parts.groupBy("bucket").applyInArrow(words, "what string, figures array<long>")
-    model = Model(folder, buckets)
+    parts = counted.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(pairs, "bucket int, block binary")
+    made = parts.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(words, "what string, figures array<long>")
+    model = Model(folder, buckets, hot=hot)
     total = np.zeros(7, np.int64)
     for r in made.collect():  # a few numbers for each bucket
         if r["what"] == "pairs":
@@ -270,7 +296,10 @@ class Reader:
 
     def _file(self, name: str, kind: str) -> np.ndarray:
         if name not in self.maps:
-            self.maps[name] = _map(self.model.folder, name, kind) if name in self.files else np.zeros(0, kind)
+            mapped = local_form(self.model.folder) is not None
+            if len(self.maps) >= MAPPED or (not mapped and sum(x.nbytes for x in self.maps.values()) > HELD):
+                self.maps.clear()
+            self.maps[name] = _open(self.model.folder, name, kind) if name in self.files else np.zeros(0, kind)
         return self.maps[name]
 
     def find(self, what: str, keys: np.ndarray, value: str, kind: str, width: int) -> np.ndarray:
@@ -315,7 +344,7 @@ class Reader:
         iw, iv = at[:-1], np.empty(len(w), np.int64)
         iv[1:] = iw[:-1]
         iv[begin] = at[-1]
-        key, back = np.unique(bigram_key(v, w), return_inverse=True)
+        key, back = np.unique(bigram_key(v, w, m.hot), return_inverse=True)
         pair = self.find("pair", key, "n", "u1", 1)[:, 0].astype(np.float64)
         large = np.flatnonzero(pair == LARGE)
         pair[large] = self.find("large", key[large], "n", "<u8", 1)[:, 0]
@@ -336,8 +365,10 @@ class Reader:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id column, n_tokens, n_known, base_score, score) for every row of ``docs``.
 
-    Scores are log10 probabilities; a null text is an empty one.  Perplexity is
-    10 ** (-score / n_tokens).
+    Scores are log10 probabilities; a null text is an empty one, which is one end.  Perplexity
+    is 10 ** (-score / n_tokens).  Texts are scored whole, however long; ids may be null,
+    strings or repeated, rows that repeat get equal scores.  Other columns are not used, so
+    their names may clash.  An empty table gives no rows, a model of no texts equal odds.
     """
     ship(docs.sparkSession)
     rows = docs.select(id_col, F.col(text_col).alias("__text"))

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import ngram_lm
 
@@ -89,3 +90,32 @@ def test_large_counts(spark):
     got = {r.doc_id: r for r in ngram_lm.score(docs, ngram_lm.fit(docs)).collect()}
     for (i, _), want in zip(rows, brute([t for _, t in rows], [t for _, t in rows]), strict=True):
         assert got[i].score == pytest.approx(want[4], rel=1e-9)
+
+
+def test_odd_documents(spark, odd_docs, no_docs):
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    got = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in ngram_lm.score_corpus(odd_docs).collect())
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
+    want = brute([t for (_, t), h in zip(rows, held, strict=True) if not h], [t for _, t in rows])
+    assert got == sorted((str(i), n, known, train, round(base, 6), round(total, 6)) for (i, _), (n, known, train, base, total) in zip(rows, want, strict=True))
+    assert ngram_lm.score_corpus(no_docs).count() == 0
+    named = odd_docs.withColumn("doc_id", F.concat(F.lit("d-"), "doc_id"))
+    assert ngram_lm.score_corpus(named).count() == len(rows)
+
+
+def test_stores_that_cannot_be_mapped(spark, odd_docs, monkeypatch):
+    model = ngram_lm.fit(odd_docs)
+    streams = [ngram_lm.tokens((r.text or "").encode()) for r in odd_docs.collect()]
+    mapped = ngram_lm.Reader(model).scores(streams)
+    model.folder = "file://" + model.folder
+    monkeypatch.setattr(ngram_lm, "local_form", lambda path: None)
+    monkeypatch.setattr(ngram_lm, "HELD", 1000)
+    for a, b in zip(mapped, ngram_lm.Reader(model).scores(streams), strict=True):
+        assert (a == b).all()
+
+
+def test_common_words_change_only_where_bigrams_lie(spark, odd_docs, monkeypatch):
+    want = sorted(map(tuple, ngram_lm.score_corpus(odd_docs).drop("doc_id").collect()))
+    monkeypatch.setattr(ngram_lm, "HOT_SHARE", 10.0)
+    got = sorted(map(tuple, ngram_lm.score_corpus(odd_docs).drop("doc_id").collect()))
+    assert got == [pytest.approx(x) for x in want]
