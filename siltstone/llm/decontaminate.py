@@ -1,14 +1,18 @@
 """Benchmark decontamination over a positional inverted index, in DataFrame functions only.
 
-The index stores postings (term, row key, position) of corpus tokens.  A query phrase is
-searched from its rarest terms: their positions, less each term's offset in the item, give
-the place where the item would have to start, and only starts on which the lists of one
-window's rarest terms agree go on.  There the item's words are laid along the document and
-runs of equal words are read off, so matches are exact.
-
-Rows of documents are never paired with each other, a start is one row however many windows
-it carries, and the terms that are posted are the rarest of each window: common words are
-posted only where a window has nothing rarer.
+The index stores a posting (term, doc_id, tag, pos) for every word of the corpus.  It is built
+in one pass without a shuffle: each task's documents are a shard whose postings are sorted by
+term, so a term's list lies in as many places as there are shards and no common word is in one
+task, while a shard's pages of a term stand together.  How frequent terms are is read from it.
+
+A phrase is searched from its rarest terms: their positions, less each term's offset in the
+item, give the place where the item would have to start.  Places on which the two rarest terms
+of a window agree are few; for them the lists of all other terms of these windows are read and
+intersected in the same way, and windows all of whose terms agree are exact occurrences.  Texts
+are not looked at again.
+
+Rows of documents are never paired with each other, and a placement is one row however many
+windows it carries.
 """
 
 from __future__ import annotations
@@ -17,47 +21,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import fits, fresh, materialize, small
 
 WINDOW = 10
-#: Rarest terms of a window whose lists must agree before the words are compared.
+#: Rarest terms of a window whose lists must agree before the others are read.
 PROBES = 2
-#: Rows of query terms up to which they are broadcast; beyond it the joins shuffle.
-BROADCAST_ROWS = 200_000
+#: Query sides beyond the broadcast bound are dealt over so many salts, and common terms with them.
+SALTS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words: all of ASCII but digits and letters.
-_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN_CHARS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+
+
+def _split(text: Column) -> Column:
+    """Words as they stand, '' after a last separator, and [''] without words."""
+    return F.split(F.ltrim(F.coalesce(text, F.lit("")), F.lit(_BETWEEN_CHARS)), _BETWEEN)
+
+
+def _lowered(word: Column) -> Column:
+    """A-Z in lower case; ``lower`` alone is quick, but right for ASCII words only."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, _UPPER, _LOWER))
 
 
 def words(text: Column) -> Column:
     """Array of lower-cased (A-Z) words of digits, letters and characters from U+0080."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _BETWEEN), lambda w: w != "")
-
+    return F.transform(F.filter(_split(text), lambda w: w != ""), _lowered)
 
-def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
+def _tag(text: str = "text") -> Column:
+    """Tells rows with one id, or none, apart by their text; rows equal in both are one document."""
+    return F.xxhash64(text)
 
-def postings(docs: DataFrame, terms: DataFrame | None = None, n_terms: int = 0) -> DataFrame:
-    """The index: (term, doc_id, tag, pos) of every word, or of the distinct ``terms`` only.
 
-    ``tag`` is a hash of the text: rows that share an id but not their text keep apart.
-    """
+def build_index(docs: DataFrame) -> DataFrame:
+    """The stored index of all words: (term, doc_id, tag, pos), sorted by term within shards."""
     # The outer form keeps the optimizer from splitting every text again to test its size.
-    rows = docs.select("doc_id", F.hash("text").alias("tag"), F.posexplode_outer(words(F.col("text"))).alias("pos", "term"))
-    rows = rows.where("term IS NOT NULL")
-    if terms is not None:
-        rows = rows.join(_maybe_broadcast(terms, n_terms), "term", "left_semi")
-    return rows.select("term", "doc_id", "tag", "pos")
+    rows = docs.select("doc_id", _tag().alias("tag"), F.posexplode_outer(_split(F.col("text"))).alias("pos", "word")).where("word <> ''")
+    rows = rows.select(_lowered(F.col("word")).alias("term"), "doc_id", "tag", "pos")
+    return materialize(rows.sortWithinPartitions("term", "doc_id", "tag", "pos"), "idx-postings")
+
+
+def document_lengths(index: DataFrame) -> DataFrame:
+    """(doc_id, tag, n_words) of documents that have words."""
+    return index.groupBy("doc_id", "tag").agg((F.max("pos") + 1).cast("long").alias("n_words"))
 
 
-def term_frequency(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """(term, freq) over the whole corpus for each of the distinct ``terms``."""
-    seen = docs.select(F.explode_outer(words(F.col("text"))).alias("term")).join(_maybe_broadcast(terms, n_terms), "term", "left_semi")
-    counted = seen.groupBy("term").agg(F.count("*").alias("freq"))
+def term_frequency(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, freq) over the whole corpus for each of the distinct stored ``terms``."""
+    counted = index.select("term").join(small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("freq"))
     return terms.join(counted, "term", "left").select("term", F.coalesce("freq", F.lit(0)).alias("freq"))
 
 
+def lists_of(index: DataFrame, places: DataFrame, limit: int | None = None) -> DataFrame:
+    """Postings joined with the stored ``places`` by term.  Where these are too large for a
+    broadcast, a common term's list is dealt over ``SALTS`` tasks."""
+    if fits(places, limit):
+        return index.join(F.broadcast(places), "term")
+    salt = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(SALTS)).cast("int")
+    every = places.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return index.withColumn("salt", salt).join(every, ["term", "salt"]).drop("salt")
+
+
 def items_of(benchmark: DataFrame) -> DataFrame:
     """(key, item_id, words, n): items that have words; ``key`` tells equal ids apart."""
     listed = benchmark.select("item_id", words(F.col("text")).alias("words"))
@@ -79,94 +104,106 @@ def probes(items: DataFrame, freq: DataFrame, window: int = WINDOW, count: int =
     return windows.select("key", "start", F.explode(rarest).alias("p")).select("key", "start", "p.at", "p.term")
 
 
-def _runs(item: Column, doc: Column, offset: Column, need: Column) -> Column:
-    """Runs of at least ``need`` equal words, as structs (first, length) of item positions.
-
-    ``offset``: document position of the item's word 0, possibly before the document.
-    """
-    n = F.size(item)
-    step = F.transform(
-        F.sequence(F.lit(0), n),
-        lambda i: F.when((i < n) & (offset + i >= 0) & (offset + i < F.size(doc)), F.get(item, i) == F.get(doc, offset + i)).otherwise(F.lit(False)),
-    )
-    zero = F.struct(
-        F.lit(0).alias("at"), F.lit(0).alias("run"),
-        F.expr("cast(array() as array<struct<first:int,size:int>>)").alias("runs"),
-    )
-
-    def walk(acc: Column, same: Column) -> Column:
-        ended = ~same & (acc["run"] >= need)
-        add = F.array(F.struct((acc["at"] - acc["run"]).alias("first"), acc["run"].alias("size")))
-        return F.struct(
-            (acc["at"] + 1).alias("at"), F.when(same, acc["run"] + 1).otherwise(F.lit(0)).alias("run"),
-            F.when(ended, F.concat(acc["runs"], add)).otherwise(acc["runs"]).alias("runs"),
-        )
-
-    return F.aggregate(step, zero, walk, lambda acc: acc["runs"])
-
-
 def _bit(place: str) -> Column:
     return F.expr(f"shiftleft(1L, {place} % 64)")
 
 
-def candidates(docs: DataFrame, items: DataFrame, window: int = WINDOW, count: int = PROBES) -> DataFrame:
-    """(doc_id, tag, key, offset): item placements on which some window's rarest terms agree."""
+def candidates(index: DataFrame, items: DataFrame, window: int = WINDOW, count: int = PROBES, limit: int | None = None) -> DataFrame:
+    """(doc_id, tag, key, offset, starts): item placements, and their windows on whose rarest
+    terms the lists agree."""
     terms = materialize(items.select(F.explode("words").alias("term")).distinct(), "idx-terms")
-    n_terms = terms.count()
-    freq = materialize(term_frequency(docs, terms, n_terms), "idx-freq")
+    freq = materialize(term_frequency(index, terms), "idx-freq")
     wanted = materialize(probes(items, freq, window, count), "idx-probes")
-    places = wanted.groupBy("term", "key", "at").agg(F.count("*").alias("windows")).drop("windows")
-    n_places = places.count()
-    asked = wanted.select("term").distinct()
-    listed = postings(docs, asked, n_places)
+    places = materialize(wanted.select("term", "key", "at").distinct(), "idx-places")
     # Offset-adjusted lists: equal offsets are the same placement of the item.
-    hits = listed.join(_maybe_broadcast(places, n_places), "term").select(
-        "doc_id", "tag", "key", (F.col("pos") - F.col("at")).alias("offset"), "at"
-    )
+    hits = lists_of(index, places, limit).select("doc_id", "tag", "key", (F.col("pos") - F.col("at")).alias("offset"), "at")
     # Which places met is one bit each, modulo 64: places of one window never share a bit, and
-    # places further apart that do are told apart when the words are compared.
+    # places further apart that do are told apart when all lists are read.
     met = hits.groupBy("doc_id", "tag", "key", "offset").agg(F.bit_or(_bit("at")).alias("met"))
     per_item = wanted.groupBy("key", "start").agg(F.bit_or(_bit("at")).alias("need"))
-    per_item = per_item.groupBy("key").agg(F.collect_set("need").alias("needs"))
-    joined = met.join(_maybe_broadcast(per_item, n_places), "key")
-    agree = F.exists("needs", lambda need: need.bitwiseAND(F.col("met")) == need)
-    return joined.where(agree).select("doc_id", "tag", "key", "offset")
+    per_item = materialize(per_item.groupBy("key").agg(F.collect_list(F.struct("start", "need")).alias("needs")), "idx-needs")
+    agree = F.filter("needs", lambda x: x["need"].bitwiseAND(F.col("met")) == x["need"])
+    joined = met.join(small(per_item, limit), "key").withColumn("agree", agree).where(F.size("agree") > 0)
+    return joined.select("doc_id", "tag", "key", "offset", F.transform("agree", lambda x: x["start"]).alias("starts"))
 
 
-def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (doc_id), n_words and ``found``: per matching item its id and hit runs.
-
-    One row per row of ``docs``; ``found`` is null without a match.
-    """
-    items = materialize(items_of(benchmark), "idx-items")
-    n_items = items.count()
-    placed = candidates(docs, items, window).join(_maybe_broadcast(items.select("key", "item_id", "words"), n_items), "key")
-    listed = placed.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("item_id", "words", "offset")).alias("placed"))
-    listed = listed.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), "placed")
-    keep = ["doc_id"] if keep is None else keep
-    rows = docs.select(*keep, F.hash("text").alias("__hash"))
-    if "text" not in keep:
-        rows = docs.select(*keep, F.hash("text").alias("__hash"), "text")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__tag"))
-    joined = rows.join(listed, same, "left").withColumn("__words", words(F.col("text")))
-    found = F.filter(
-        F.transform("placed", lambda p: F.struct(
-            p["item_id"].alias("item_id"), p["offset"].alias("offset"),
-            _runs(p["words"], F.col("__words"), p["offset"], F.least(F.size(p["words"]), F.lit(window))).alias("runs"),
-        )),
-        lambda p: F.size(p["runs"]) > 0,
+def _runs(places: Column, need: Column) -> Column:
+    """Runs of at least ``need`` consecutive numbers among the sorted ``places``, as structs
+    (first, size)."""
+    zero = F.struct(
+        F.lit(-2).alias("last"), F.lit(0).alias("run"),
+        F.expr("cast(array() as array<struct<first:int,size:int>>)").alias("runs"),
     )
-    return joined.select(*keep, F.size("__words").cast("long").alias("n_words"), found.alias("found"))
+    ended = lambda acc: F.when(
+        acc["run"] >= need, F.concat(acc["runs"], F.array(F.struct((acc["last"] - acc["run"] + 1).alias("first"), acc["run"].alias("size"))))
+    ).otherwise(acc["runs"])
 
+    def walk(acc: Column, at: Column) -> Column:
+        on = at == acc["last"] + 1
+        return F.struct(
+            at.alias("last"), F.when(on, acc["run"] + 1).otherwise(F.lit(1)).alias("run"),
+            F.when(on, acc["runs"]).otherwise(ended(acc)).alias("runs"),
+        )
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    return F.aggregate(places, zero, walk, ended)
+
+
+def occurrences(index: DataFrame, items: DataFrame, window: int = WINDOW, limit: int | None = None) -> DataFrame:
+    """(doc_id, tag, item_id, offset, runs) of every item placement with an exact hit: runs of
+    ``window`` words of the item or more, or all words of a shorter item, as structs (first,
+    size) of item positions, ``offset`` being where its word 0 would stand."""
+    placed = materialize(candidates(index, items, window, limit=limit), "idx-placed")
+    n = F.least(F.col("n"), F.lit(window))
+    spread = placed.join(small(materialize(items.select("key", "n"), "idx-sizes"), limit), "key")
+    asked = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + n - 1))))
+    asked = spread.select("doc_id", "tag", "key", "offset", F.explode(asked).alias("at"))
+    terms = materialize(items.select("key", F.posexplode("words").alias("at", "term")), "idx-words")
+    asked = asked.join(small(terms, limit), ["key", "at"]).withColumn("pos", F.col("offset") + F.col("at"))
+    asked = asked.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "key", "offset", "at", F.col("term").alias("w"), F.col("pos").alias("p"))
+    # All lists of these documents, met on term and adjusted position at once.
+    where = materialize(placed.select(F.col("doc_id").alias("d"), F.col("tag").alias("t")).distinct(), "idx-docs")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t"))
+    lists = index.join(small(where, limit), same, "left_semi")
+    met = lists.join(asked, same & (F.col("term") == F.col("w")) & (F.col("pos") == F.col("p")))
+    met = met.groupBy("doc_id", "tag", "key", "offset").agg(F.array_sort(F.collect_set("at")).alias("places"))
+    named = met.join(small(materialize(items.select("key", "item_id", "n"), "idx-names"), limit), "key")
+    return named.select("doc_id", "tag", "item_id", "offset", _runs(F.col("places"), n).alias("runs")).where(F.size("runs") > 0)
+
+
+def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """``keep`` columns (doc_id) with n_words and ``found``: per matching placement of an item
+    its id, offset and hit runs.
+
+    One row per row of ``docs``; ``found`` is null without a match, ``n_words`` without words.
+    Kept columns of these two names give way; other names, also of ``benchmark``, are safe.
+    """
+    index = build_index(docs)
+    items = materialize(items_of(benchmark), "idx-items")
+    hits = occurrences(index, items, window, limit)
+    listed = hits.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("item_id", "offset", "runs")).alias("found"))
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c not in ("n_words", "found")]
+    i, t = fresh("row_id", keep), fresh("row_tag", keep)
+    rows = docs.select(*keep, F.col("doc_id").alias(i), _tag().alias(t))
+    for side in (document_lengths(index), materialize(listed, "idx-found")):
+        side = side.withColumnsRenamed({"doc_id": "side_id", "tag": "side_tag"})
+        same = F.col(i).eqNullSafe(F.col("side_id")) & (F.col(t) == F.col("side_tag"))
+        value = side.columns[-1]
+        joined = rows.join(small(side, limit) if value == "found" else side, same, "left")
+        rows = joined.select(*rows.columns, value)
+    return rows.select(*keep, "n_words", "found")
+
+
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
 
     A word is hit if it lies in an occurrence of ``window`` consecutive words of an item, or
     of a whole shorter item.  Items without words match nothing; an item with a null id hits
-    words but is not listed; null and empty texts have no words.
+    words but is not listed; equal items count once.  Null and empty texts have no words,
+    texts are read whole, however long.  Ids of documents may be null, strings or repeated:
+    rows of one id are told apart by their texts.  Other columns are not used, so their names
+    may clash.  An empty table of documents gives no rows, one of items no hits.
     """
-    hits = phrase_hits(docs, benchmark, window)
+    hits = phrase_hits(docs, benchmark, window, limit=limit)
     spans = F.flatten(F.transform("found", lambda p: F.transform(
         p["runs"], lambda r: F.struct((p["offset"] + r["first"]).alias("a"), (p["offset"] + r["first"] + r["size"]).alias("b")))))
     union = F.aggregate(
@@ -178,44 +215,60 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
         lambda acc: acc["n"],
     )
     ids = F.array_sort(F.array_distinct(F.filter(F.transform("found", lambda p: p["item_id"].cast("string")), lambda x: x.isNotNull())))
-    named = hits.select("doc_id", "n_words", F.coalesce(union, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(ids, F.array()).alias("ids"))
+    named = hits.select(
+        "doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce(union, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(ids, F.array()).alias("ids")
+    )
     return named.select(
         "doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
-def proximity_hits(docs: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
+def proximity_hits(index: DataFrame, phrases: DataFrame, slop: int, limit: int | None = None) -> DataFrame:
     """(doc_id, tag, phrase_id, pos): where all words of a phrase stand within a short stretch.
 
-    ``phrases``: (phrase_id, text).  ``pos`` is each position of a phrase's rarest word for
-    which every other word of it occurs at most ``slop`` words away, in any order.  Lists are
-    intersected from the rarest word on, so a common word's list meets only places that the
-    rarer ones left.  A repeated word of a phrase counts once.
+    ``index``: of :func:`build_index`; ``phrases``: (phrase_id, text).  ``pos`` is each position
+    of a phrase's rarest word for which every other word of it occurs at most ``slop`` words
+    away, in any order.  Lists are intersected from the rarest word on, so a common word's list
+    meets only documents that the rarest one left.  A repeated word of a phrase counts once.
     """
     listed = phrases.select("phrase_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     listed = materialize(listed, "near-terms")
-    terms = listed.select("term").distinct()
-    n_terms = terms.count()
-    freq = term_frequency(docs, terms, n_terms)
+    freq = term_frequency(index, materialize(listed.select("term").distinct(), "near-distinct"))
     rank = F.row_number().over(Window.partitionBy("phrase_id").orderBy("freq", "term"))
     ranked = materialize(listed.join(freq, "term").withColumn("rank", rank), "near-rank")
-    index = materialize(postings(docs, terms, n_terms), "near-index")
     key = ["doc_id", "tag", "phrase_id"]
-    places = index.join(ranked.where("rank = 1").select("term", "phrase_id"), "term").select(*key, "pos")
+    rarest = materialize(ranked.where("rank = 1").select("term", "phrase_id"), "near-rarest")
+    places = materialize(lists_of(index, rarest, limit).select(*key, "pos"), "near-places")
     lengths = ranked.groupBy("phrase_id").agg(F.max("rank").alias("n"))
-    other = index.join(ranked.where("rank > 1").select("term", "phrase_id", "rank"), "term")
+    others = materialize(ranked.where("rank > 1").select("term", "phrase_id", "rank"), "near-others")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")) & (F.col("phrase_id") == F.col("p"))
+    left = small(materialize(places.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), F.col("phrase_id").alias("p")).distinct(), "near-docs"), limit)
+    other = lists_of(index, others, limit).join(left, same, "left_semi")
     near = other.select(
         F.col("doc_id").alias("d"), F.col("tag").alias("t"), F.col("phrase_id").alias("p"), "rank", F.col("pos").alias("q"),
         F.explode(F.sequence(F.floor(F.col("pos") / (slop + 1)) - 1, F.floor(F.col("pos") / (slop + 1)) + 1)).alias("cell"),
     )
-    mine = places.withColumn("cell", F.floor(F.col("pos") / (slop + 1)))
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")) & (F.col("phrase_id") == F.col("p"))
+    mine = places.distinct().withColumn("cell", F.floor(F.col("pos") / (slop + 1)))
     met = mine.join(near, same & (mine["cell"] == near["cell"]) & (F.abs(F.col("pos") - F.col("q")) <= slop), "left")
     counted = met.groupBy(*key, "pos").agg(F.count_distinct("rank").alias("others")).join(lengths, "phrase_id")
     return counted.where(F.col("others") == F.col("n") - 1).select(*key, "pos")
 
 
+#: Of the registered proximity query: words of an item that are looked for, and their stretch.
+OPENING, SLOP = 3, 20
+
+
+def loose_openings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(item_id, doc_id, n_places): documents in which the first ``OPENING`` words of an item
+    stand within ``SLOP`` words of the rarest of them, in any order.  Items and documents are
+    taken by id; nulls are left out."""
+    opening = F.array_join(F.slice(words(F.col("text")), 1, OPENING), " ")
+    asked = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").alias("phrase_id"), opening.alias("text"))
+    found = proximity_hits(build_index(docs.where("doc_id IS NOT NULL")), asked, SLOP)
+    return found.groupBy(F.col("phrase_id").alias("item_id"), "doc_id").agg(F.count("*").alias("n_places"))
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -239,3 +292,19 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
+
+PROXIMITY_ORACLE = r"""
+WITH d AS (SELECT doc_id, LISTS AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM d),
+f AS (SELECT term, count(*) AS freq FROM t GROUP BY term),
+p AS (SELECT DISTINCT item_id, unnest(list_distinct((LISTS)[1:3])) AS term FROM benchmark),
+r AS (SELECT item_id, p.term, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(freq, 0), p.term) AS rank FROM p LEFT JOIN f USING (term)),
+n AS (SELECT item_id, count(*) AS n FROM r GROUP BY item_id),
+a AS (SELECT item_id, doc_id, pos FROM r JOIN t USING (term) WHERE rank = 1),
+o AS (SELECT item_id, doc_id, rank, pos FROM r JOIN t USING (term) WHERE rank > 1 AND (item_id, doc_id) IN (SELECT (item_id, doc_id) FROM a)),
+m AS (
+  SELECT a.item_id, a.doc_id, a.pos, count(DISTINCT o.rank) AS others
+  FROM a LEFT JOIN o ON o.item_id = a.item_id AND o.doc_id = a.doc_id AND abs(o.pos - a.pos) <= 20 GROUP BY ALL)
+SELECT m.item_id, m.doc_id, count(*) AS n_places FROM m JOIN n USING (item_id) WHERE others = n - 1 GROUP BY m.item_id, m.doc_id
+""".replace("LISTS", """list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')""")

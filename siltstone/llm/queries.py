@@ -43,6 +43,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def decontaminate_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.loose_openings(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,9 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate, "op2_packing": op2_packing,
     "op3_quality": op3_quality, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_lm": op6_lm, "op7_token_shards": op7_token_shards,
     "op8_substring": op8_substring, "op9_simhash": op9_simhash,
-    "op10_licenses": op10_licenses,
+    "op10_licenses": op10_licenses, "decontaminate_proximity": decontaminate_proximity,
+}
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": decontaminate.ORACLE, "op8_substring": exact_substring.ORACLE, "op10_licenses": licenses.ORACLE,
+    "decontaminate_proximity": decontaminate.PROXIMITY_ORACLE,
 }
-ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op8_substring": exact_substring.ORACLE, "op10_licenses": licenses.ORACLE}
