@@ -2,18 +2,23 @@
 
 A text is brought to a canonical form - lower case, copyright lines out, equivalent spellings
 unified, everything but letters and digits collapsed to single spaces - and its digest is
-joined with those of known licences.  The same is done for each line as a text of its own,
-since documents carry one-line notices; lines look their digests up in a literal map.  Everything runs in DataFrame functions; the known
-digests are a fixed list, which is what bounds the broadcast.
+joined with those of known licences.  Each line is a unit of the same join, as a text of its
+own, since documents carry one-line notices.  Everything runs in DataFrame functions.  Known are
+the whole texts in ``spdx/`` and a list of notices, or a table that the caller gives.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Notices and licence texts with their SPDX names.
-KNOWN: list[tuple[str, str]] = [
+from .common import materialize, ship, small
+
+#: One-line notices with their SPDX names.
+NOTICES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
@@ -33,33 +38,21 @@ KNOWN: list[tuple[str, str]] = [
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
     ("ISC", "SPDX-License-Identifier: ISC"),
-    (
-        "MIT",
-        "MIT License\n\n"
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
-        "to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\n"
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
-        "the Software.\n\n"
-        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO '
-        "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
-        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
-        "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS "
-        "IN THE SOFTWARE.",
-    ),
-    (
-        "ISC",
-        "ISC License\n\n"
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-        "granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n"
-        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING '
-        "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
-        "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
-        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE "
-        "USE OR PERFORMANCE OF THIS SOFTWARE.",
-    ),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-only"),
+    ("LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-only"),
 ]
+#: The first lines that whole texts are known to have instead of the stored one.
+TITLES: dict[str, list[str]] = {
+    "MIT": ["", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"],
+    "BSD-2-Clause": ["", "The BSD 2-Clause License", "BSD License"],
+    "BSD-3-Clause": ["", "The BSD 3-Clause License", "BSD License", "New BSD License"],
+    "Zlib": ["", "The zlib License", "zlib/libpng License"],
+}
 #: Spellings that mean the same, as (plain text, unified form), on words with
 #: a space at either side; then the forms of version numbers, as patterns.
 SPELLINGS: list[tuple[str, str]] = [
@@ -70,7 +63,8 @@ SPELLINGS: list[tuple[str, str]] = [
     (" gpl ", " gnu general public license "),
 ]
 VERSION = r" (?:version|v) ([0-9])"
-_COPYRIGHT = r"(?s)^[^\p{L}\p{N}(©]*(copyright([^\p{L}\p{N}].*)?|\(c\).*|©.*)$"
+#: A line that is a copyright notice: it says (c) or a year, or has a place for one.
+_COPYRIGHT = r"(?s)^[^\p{L}\p{N}(©]*(copyright([^\p{L}\p{N}]|[^\p{L}\p{N}].*[^\p{L}\p{N}])((c|19[0-9][0-9]|20[0-9][0-9])([^\p{L}\p{N}].*)?|[©<\[].*)|copyright[^\p{L}\p{N}]*[©<\[].*|\(c\).*|©.*|all rights reserved[^\p{L}\p{N}]*)$"
 _GAP = r"[^\p{L}\p{N}]+"
 
 
@@ -99,28 +93,59 @@ def _digest(x: Column) -> Column:
     return F.sha2(x.cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """(digest, license) of the fixed list, one row a digest."""
-    rows = spark.createDataFrame(KNOWN, "license string, text string")
+def known_texts() -> list[tuple[str, str]]:
+    """(SPDX name, text) of the whole licences in ``spdx/``, under each of their titles, and of
+    the one-line notices."""
+    out = list(NOTICES)
+    for path in sorted((Path(__file__).parent / "spdx").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        first, _, rest = text.partition("\n")
+        out += [(path.stem, text), *((path.stem, f"{title}\n{rest}") for title in TITLES.get(path.stem, ()))]
+    return out
+
+
+def known_digests(known: DataFrame) -> DataFrame:
+    """(digest, license) of ``known`` (license, text), one row a digest; nulls are left out."""
+    rows = known.where("license IS NOT NULL AND text IS NOT NULL")
     return rows.select(_digest(canonical(F.col("text"))).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, digest, license, notices) for every row of ``docs``.
 
-    ``digest``: of the whole canonical text; ``license``: the known licence that the whole
-    text is, else null; ``notices``: sorted distinct licences that single lines are.  Null and
-    empty texts have the digest of the empty form.  Rows that share an id stay apart.
+    ``known``: (license, text) of whole licences and notices; :func:`known_texts` if not given.
+    ``digest``: of the whole canonical text; ``license``: the known licence that the whole text
+    is, else null; ``notices``: sorted distinct licences that single lines are.  Whole texts
+    and lines are units of one join on the digest.  Null and empty texts have the digest of the
+    empty form; texts are read whole, however long.  Ids may be null, strings or repeated: rows
+    that share an id are told apart by their texts.  Other columns are not used, so their names
+    may clash.  An empty table gives no rows.
     """
-    known = known_digests(docs.sparkSession)
-    pairs = [x for r in known.collect() for x in (F.lit(r["digest"]), F.lit(r["license"]))]  # the fixed list
-    listed = F.create_map(*pairs)
-    rows = docs.select("doc_id", _lines(F.col("text")).alias("lines")).select(
-        "doc_id", "lines", _digest(_unified(F.array_join("lines", " "))).alias("digest")
-    )
-    licences = F.transform("lines", lambda x: F.try_element_at(listed, _digest(_unified(x))))
-    notices = F.array_sort(F.array_distinct(F.filter(licences, lambda x: x.isNotNull())))
-    return rows.join(F.broadcast(known), "digest", "left").select("doc_id", "digest", "license", notices.alias("notices"))
+    spark = docs.sparkSession
+    ship(spark)
+    known = spark.createDataFrame(known_texts(), "license string, text string") if known is None else known
+    known = materialize(known_digests(known), "lic-known")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), _lines(F.col("text")).alias("lines"))
+    # The outer form keeps the optimizer from making the lines twice more to test their number.
+    units = rows.select("doc_id", "tag", F.posexplode_outer(F.concat(F.array(F.array_join("lines", " ")), F.col("lines"))).alias("unit", "form"))
+    units = units.select("doc_id", "tag", "unit", _digest(_unified(F.col("form"))).alias("digest"))
+    met = materialize(units.join(small(known), "digest", "left").where("unit = 0 OR license IS NOT NULL"), "lic-met")
+    notices = met.where("unit > 0").groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set("license")).alias("notices"))
+    notices = notices.withColumnsRenamed({"doc_id": "d", "tag": "t"})
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t"))
+    none = F.expr("cast(array() as array<string>)")
+    return met.where("unit = 0").join(notices, same, "left").select("doc_id", "digest", "license", F.coalesce("notices", none).alias("notices"))
+
+
+def canonical_text(text: str) -> str:
+    """The canonical form in plain Python, for the SQL's digests and for tests."""
+    import regex
+
+    lines = [regex.sub(_GAP, " ", regex.sub(_COPYRIGHT, " ", x.lower())).strip(" ") for x in text.split("\n")]
+    out = f" {' '.join(x for x in lines if x)} "
+    for one, other in SPELLINGS:
+        out = out.replace(one, other)
+    return regex.sub(VERSION, r" v\1", out).strip(" ")
 
 
 def _quoted(text: str) -> str:
@@ -136,9 +161,9 @@ def _unified_sql(words: str) -> str:
 
 _LINES_SQL = f"""list_filter(list_transform(string_split(coalesce(text, ''), chr(10)),
   lambda x: trim(regexp_replace(regexp_replace(lower(x), {_quoted(_COPYRIGHT)}, ' '), {_quoted(_GAP)}, ' ', 'g'))), lambda x: x <> '')"""
+_KNOWN = {hashlib.sha256(canonical_text(text).encode()).hexdigest(): name for name, text in sorted(known_texts(), reverse=True)}
 ORACLE = f"""
-WITH k AS (SELECT * FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN)}) t(license, text)),
-known AS (SELECT sha256({_unified_sql(f"array_to_string({_LINES_SQL}, ' ')")}) AS digest, min(license) AS license FROM k GROUP BY 1),
+WITH known AS (SELECT * FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in sorted(_KNOWN.items()))}) t(digest, license)),
 d AS (SELECT doc_id, {_LINES_SQL} AS lines FROM documents),
 w AS (SELECT doc_id, lines, sha256({_unified_sql("array_to_string(lines, ' ')")}) AS digest FROM d),
 n AS (
