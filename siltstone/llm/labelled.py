@@ -17,14 +17,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
     """(id, text, label) of at most ``limit`` labelled ids outside the held-out third.
 
     The ids with the smallest hashes are taken, so the same table gives the same sample.
-    Null labels and ids are left out; of several labels for one id the largest counts.
+    Null labels and ids are left out; of several labels for one id the largest counts.  Ids are
+    compared as text, so the two tables may hold them in different types.
     The labels side is ``limit`` rows at most, hence the broadcast.
     """
     picked = (
-        labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label"))
-        .where(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-        .groupBy("id").agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("id"), "id").limit(limit)
+        labels.select(F.col("doc_id").cast("string").alias("key"), F.col(label).cast("int").alias("label"))
+        .where(F.col("label").isNotNull() & F.col("key").isNotNull() & ~held_out(F.col("key")))
+        .groupBy("key").agg(F.max("label").alias("label"))
+        .orderBy(F.xxhash64("key"), "key").limit(limit)
     )
-    rows = docs.select(F.col("doc_id").alias("id"), "text")
-    return rows.join(F.broadcast(picked), "id").select("id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.join(F.broadcast(picked), F.col("id").cast("string") == F.col("key")).select("id", "text", "label")

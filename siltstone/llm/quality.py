@@ -74,10 +74,11 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
-def forward_backward(unary: list[np.ndarray], trans: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, float]:
+def forward_backward(unary: list[np.ndarray], trans: np.ndarray, weight: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, float]:
     """Marginals (lines x 2) of each chain, expected transitions and the log partition sum.
 
-    ``unary``: one (lines x 2) array a chain.  Chains advance together, longest first.
+    ``unary``: one (lines x 2) array a chain; ``weight``: what each chain's transitions count.
+    Chains advance together, longest first.
     """
     order = sorted(range(len(unary)), key=lambda i: -len(unary[i]))
     size = np.array([len(unary[i]) for i in order])
@@ -102,11 +103,12 @@ def forward_backward(unary: list[np.ndarray], trans: np.ndarray) -> tuple[list[n
     owner = np.concatenate([np.arange(k) for k in active])
     marginal = np.exp(alpha + beta - logz[owner][:, None])
     expected = np.zeros((2, 2))
+    share = np.ones(len(order)) if weight is None else weight[order]
     for t in range(1, longest):
         k = active[t]
         at = slice(start[t], start[t] + k)
         pair = alpha[start[t - 1] : start[t - 1] + k][:, :, None] + trans + (flat[at] + beta[at])[:, None, :]
-        expected += np.exp(pair - logz[:k, None, None]).sum(axis=0)
+        expected += (np.exp(pair - logz[:k, None, None]) * share[:k, None, None]).sum(axis=0)
     out: list[np.ndarray] = [np.empty(0)] * len(unary)
     for i, at in zip(order, rank, strict=True):
         out[i] = marginal[at]
@@ -156,25 +158,26 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 120) -> LineField:
-    """Adam on the conditional log likelihood; without both labels a neutral model."""
+    """Adam on the conditional log likelihood, in which each document counts alike however many
+    lines it has; without both labels a neutral model."""
     field = LineField(np.zeros(N_FEATURES), np.zeros((2, 2)))
     if len(set(labels.tolist())) < 2:
         field.shift = 4.0 if len(labels) and labels[0] else -4.0 if len(labels) else 0.0
         return field
-    # Lines are weighted so that each document counts alike.
     xs = [x for x, _ in features]
+    weight = 10.0 / np.array([len(x) for x in xs])
     owner = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
     every, truth = np.concatenate(xs), labels[owner].astype(np.float64)
     pairs = np.zeros((2, 2))
     for x, y in zip(xs, labels, strict=True):
-        pairs[y, y] += len(x) - 1
+        pairs[y, y] += 10.0 * (len(x) - 1) / len(x)
     theta = np.zeros(N_FEATURES + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
         field.weights, field.trans = theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2)
-        marginals, expected, _ = forward_backward([field._unary(x) for x in xs], field.trans)
+        marginals, expected, _ = forward_backward([field._unary(x) for x in xs], field.trans, weight)
         good = np.concatenate([p[:, 1] for p in marginals])
-        grad = np.concatenate([every.T @ (good - truth), (expected - pairs).ravel()]) / len(xs) + 1e-4 * theta
+        grad = np.concatenate([every.T @ ((good - truth) * weight[owner]), (expected - pairs).ravel()]) / len(xs) + 1e-4 * theta
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)

@@ -1,8 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 NAMES = "doc_id long, text string, lang string, source string, n_chars long, tag int, words string, id string, bucket int, fp int"
+#: Names that operators use for results or on the way.
+CLASHES = "quality_score double, score double, __words string, n_words int, found string, left string, k1 int, key string, row string, label int, bin int, term string"
 
 
 @pytest.fixture(scope="session")
@@ -24,3 +27,11 @@ def odd_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], NAMES)
+
+
+@pytest.fixture(scope="session")
+def odd_table(odd_docs):
+    """The odd documents with string ids, one text of a million characters and more clashing names."""
+    clashing = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in CLASHES.split(", ")]
+    text = F.when(F.col("doc_id") == 31, F.repeat(F.lit("a long text of some words 日本語。\n"), 40_000)).otherwise(F.col("text"))
+    return odd_docs.select(F.concat(F.lit("d-"), "doc_id").alias("doc_id"), text.alias("text"), *odd_docs.columns[2:], *clashing)

@@ -1,12 +1,17 @@
 """Decontamination, packing, classifiers, media, shards and licences on small tables."""
 
 import hashlib
+import itertools
+import math
+import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontaminate, licenses, media, packing, quality, token_shards, toxicity
@@ -50,9 +55,10 @@ def test_decontamination(spark, odd_docs, no_docs):
     docs = [(r.doc_id, r.text) for r in odd_docs.collect()]
     items = items_for(docs)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.report(odd_docs, bench).collect()
     want = brute_hits(docs, items)
-    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
+    for limit in (None, 0):  # sides are broadcast, or all joins shuffle and hot terms are salted
+        got = decontaminate.report(odd_docs, bench, limit=limit).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
     assert sum(x[5] for x in want) > 5
     assert decontaminate.report(no_docs, bench).count() == 0
     clean = decontaminate.report(odd_docs, bench.limit(0)).collect()
@@ -69,14 +75,37 @@ def test_native_plan_has_no_python(spark, odd_docs):
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
 
 
-def test_proximity(spark):
-    docs = [(1, "red x x blue"), (2, "blue red"), (3, "red x x x x blue"), (4, "red red blue"), (None, "blue x red")]
+def test_index_holds_every_word_once(spark, odd_docs):
+    index = decontaminate.build_index(odd_docs)
+    got = sorted((str(r.doc_id), r.term, r.pos) for r in index.distinct().collect())
+    assert got == sorted({(str(r.doc_id), w, i) for r in odd_docs.collect() for i, w in enumerate(words(r.text))})
+    plan = decontaminate.build_index(odd_docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def brute_near(docs, phrases, slop):
+    freq, out = {}, []
+    for _, t in docs:
+        for w in words(t):
+            freq[w] = freq.get(w, 0) + 1
+    for p, x in phrases:
+        terms = sorted(set(words(x)), key=lambda w: (freq.get(w, 0), w))
+        for d, t in docs:
+            ws = words(t)
+            for i, w in enumerate(ws):
+                if terms and w == terms[0] and all(any(v == o and abs(i - j) <= slop for j, v in enumerate(ws)) for o in terms[1:]):
+                    out.append((str(d), p, i))
+    return sorted(set(out))
+
+
+def test_proximity(spark, odd_docs):
+    docs = [(1, "red x x blue"), (2, "blue red"), (3, "red x x x x blue"), (4, "red red blue"), (None, "blue x red"), (7, None), (1, "other red blue")]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    asked = spark.createDataFrame([(0, "red BLUE red"), (1, "x")], "phrase_id int, text string")
-    got = decontaminate.proximity_hits(frame, asked, 3).where("phrase_id = 0").select("doc_id", "pos").collect()
-    rare = "blue"  # five of each; ties by word
-    want = sorted((str(d), i) for d, t in docs for i, w in enumerate(t.split()) if w == rare and any(v == "red" and abs(i - j) <= 3 for j, v in enumerate(t.split())))
-    assert sorted((str(r.doc_id), r.pos) for r in got) == want
+    phrases = [(0, "red BLUE red"), (1, "x"), (2, "red x blue"), (3, "missing red"), (4, "!!")]
+    asked = spark.createDataFrame(phrases, "phrase_id int, text string")
+    for limit in (None, 0):
+        got = decontaminate.proximity_hits(decontaminate.build_index(frame), asked, 3, limit).collect()
+        assert sorted((str(r.doc_id), r.phrase_id, r.pos) for r in got) == brute_near(docs, phrases, 3)
 
 
 # -- packing
@@ -117,21 +146,41 @@ def test_packing_equals_item_by_item(seed):
         assert parts[0][0] == 0 and parts[-1][1] <= c and all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
 
 
-def test_packing_documents(odd_docs, no_docs):
-    rows = packing.pack_documents(odd_docs).collect()
-    need = sorted((str(r.doc_id), len([w for w in re.split(r"[\x20\x09-\x0D]+", r.text or "") if w]) + 1) for r in odd_docs.collect())
-    assert sum(n for _, n in need) == sum(r.n_tokens for r in rows)
-    bins = {}
+def all_ids(spark, docs):
+    """Token ids of every text by one call of the tokenizer each, and END."""
+    encoder = token_shards._encoder(token_shards.read_ranks(spark))
+    return [(str(r.doc_id), [*encoder.encode(r.text or "", disallowed_special=()), token_shards.END]) for r in docs.collect()]
+
+
+def test_packing_documents(spark, odd_docs, no_docs):
+    rows = packing.pack_documents(odd_docs, (64, 256, 1024)).collect()
+    want = all_ids(spark, odd_docs)
+    cut = sorted((i, k, tuple(ids[at : at + 1024])) for i, ids in want for k, at in enumerate(range(0, len(ids), 1024)))
+    got = []
     for r in rows:
-        bins.setdefault((r.bin, r.capacity), []).append((r.offset, r.offset + r.n_tokens))
-    assert len({b for b, _ in bins}) == len(bins)
-    for (_, c), parts in bins.items():
-        parts.sort()
-        assert c in packing.CAPACITIES and parts[-1][1] <= c
-        assert all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
+        ids = np.frombuffer(r.tokens, "<u2").tolist()
+        assert len(ids) == r.capacity in (64, 256, 1024) and set(ids[r.n_tokens :]) <= {token_shards.PAD}
+        edges = [*r.offsets, r.n_tokens]
+        assert edges[0] == 0 and edges == sorted(edges) and r.capacity == min(c for c in (64, 256, 1024) if c >= r.n_tokens)
+        got += [(str(d), k, tuple(ids[a:z])) for d, k, a, z in zip(r.doc_ids, r.pieces, edges[:-1], edges[1:], strict=True)]
+    assert sorted(got) == cut and sorted(r.bin for r in rows) == list(range(len(rows)))
+    assert sorted((r.capacity, r.n_tokens) for r in rows) == brute_pack([len(x) for _, _, x in cut], (64, 256, 1024))
     assert packing.pack_documents(no_docs).count() == 0
 
 
+def test_placing_follows_from_the_data_alone(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SALTED", 16)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (2, 4, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            found.append(sorted(map(tuple, packing.pack_documents(docs.repartition(n)).withColumn("tokens", F.md5("tokens")).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2] and len(found[0]) > 50
+
+
 # -- classifiers
 
 
@@ -170,8 +219,6 @@ def test_held_out_accuracy(spark, odd_docs, no_docs, module, label, cut):
 
 
 def test_forward_backward_by_enumeration():
-    import itertools
-
     rng = np.random.default_rng(1)
     trans = rng.normal(size=(2, 2))
     unary = [rng.normal(size=(n, 2)) for n in (4, 1, 3)]
@@ -192,25 +239,133 @@ def test_forward_backward_by_enumeration():
     assert np.allclose(expected, pairs) and np.isclose(logz, z_all)
 
 
-def test_block_max_is_exact():
+def test_quality_scores_by_brute_force(spark, odd_docs):
+    """Features line by line, marginals by enumeration over all paths, the weighted mean, the curve."""
+    rng = np.random.default_rng(6)
+    field = quality.LineField(rng.normal(size=quality.N_FEATURES), rng.normal(size=(2, 2)), 1.3, -0.2)
+    texts = ["One line.", "a b c\n\nAAA 99 %%%\na b c\nlast one!", None, "", "\n", "x\ny\nx\nx x x"]
+
+    def features(lines):
+        own, seen = [], set()
+        for x in lines:
+            b, ws = x.encode(), x.split()
+            n, m = len(b), max(1, len(ws))
+            plain = sum(c.islower() or c.isupper() or c.isdigit() or c in " \t\r\x0b\x0c.," or ord(c) > 127 for c in x)
+            distinct = len(set(ws))
+            own.append([0.0] * 11 if not n else [
+                min(1, math.log1p(n) / 8), min(1, m / 40), 2 * (n - plain) / n, sum(c.isupper() for c in x) / n, sum(c.isdigit() for c in x) / n, 1 - distinct / m,
+                sum(a == c for a, c in zip(ws, ws[1:], strict=False)) / m if distinct < 0.9 * m else 0, float(x in seen), min(2, n / m / 10), float(x[-1] in ".!?"), 1.0,
+            ])
+            if n:
+                seen.add(x)
+        zero = [0.0] * 11
+        return [own[i] + (own[i - 1] if i else zero) + (own[i + 1] if i + 1 < len(own) else zero) + [float(i == 0), float(i + 1 == len(own)), 1.0] for i in range(len(own))]
+
+    def brute(text):
+        lines = (text or "").split("\n")
+        good = [float(np.dot(field.weights, f)) for f in features(lines)]
+        size = [max(1, len(x.encode())) for x in lines]
+        total, share = 0.0, [0.0] * len(lines)
+        for path in itertools.product((0, 1), repeat=len(lines)):
+            w = math.exp(sum((s - 0.5) * g for s, g in zip(path, good, strict=True)) + sum(field.trans[a, b] for a, b in zip(path, path[1:], strict=False)))
+            total += w
+            share = [x + w * s for x, s in zip(share, path, strict=True)]
+        mean = min(max(sum(x / total * n for x, n in zip(share, size, strict=True)) / sum(size), 1e-6), 1 - 1e-6)
+        return 1 / (1 + math.exp(-(1.3 * math.log(mean / (1 - mean)) - 0.2)))
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.quality_score for r in quality.score(docs, field).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx([brute(t) for t in texts])
+
+
+def test_quality_is_fitted_on_whole_documents(spark):
+    """Junk that begins after line 400 counts: no document is cut."""
+    rows, labels = [], []
+    for i in range(60):
+        bad = i % 2
+        rows.append((i, "\n".join(["Some plain words here."] * 450 + (["%% ## $$ 99 %%"] if bad else ["Other plain words."]) * 200)))
+        labels.append((i, 1 - bad, 0))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels).collect()
+    assert all(r.predicted == 1 - r.doc_id % 2 for r in got)
+    assert quality.whole_within([(5, "a"), (9, "b"), (4, "c"), (2, "d")], 10) == ["a", "c"]
+
+
+def brute_index(examples, everything, linked_by, factor):
+    """{word: weight} unit vectors of texts over the examples' words, from the definition."""
+    split = lambda t: re.findall(r"[0-9a-z\u0080-\U0010ffff]+", lower(t))
+    n = len(everything)
+    df = Counter(w for t in everything for w in set(split(t)))
+    vocab = {w for t in examples for w in split(t)}
+
+    def vector(t):
+        v = {w: (1 + math.log(c)) * (math.log((n + 1) / (df[w] + 1)) + 1) * (factor if w in linked_by else 1) for w, c in Counter(split(t)).items() if w in vocab}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {w: x / size for w, x in v.items()}
+
+    return vector
+
+
+def test_toxicity_by_brute_force(spark):
+    docs, labels = labelled(spark)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    index = toxicity.fit(docs, labels)
+    rows = {r.doc_id: r for r in toxicity.score(docs, index).collect()}
+    train = [i for i in texts if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(index.ids) == sorted(train)
+    pick = [i for i in train if xxhash.xxh32_intdigest(str(i)) % toxicity.TUNE]
+    split = lambda t: set(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", lower(t)))
+    n1, n0 = sum(truth[i] for i in pick), sum(1 - truth[i] for i in pick)
+    tied = set()
+    for w in {w for i in pick for w in split(texts[i])}:
+        a, b = sum(truth[i] for i in pick if w in split(texts[i])), sum(1 - truth[i] for i in pick if w in split(texts[i]))
+        rate = (a + b + 1) / (n0 + n1)
+        z, ratio = abs(a / n1 - b / n0) / math.sqrt(rate * (1 / n0 + 1 / n1)), ((a + 0.5) / n1) / ((b + 0.5) / n0)
+        if a + b >= 3 and z >= 3 and (ratio >= 4 or ratio <= 0.25):
+            tied.add(w)
+    assert {"vileone", "vileman", "vilest"} <= tied
+    vector = brute_index([texts[i] for i in train], list(texts.values()), tied, toxicity.LINKED)
+    vectors = {i: vector(texts[i]) for i in train}
+    for i in list(texts)[::23]:
+        mine = vector(texts[i])
+        cosines = sorted((round(sum(x * v.get(w, 0) for w, x in mine.items()), 6) for v in vectors.values()), reverse=True)[:15]
+        found = rows[i].evidence
+        assert [e.cosine for e in found] == pytest.approx(cosines, abs=3e-6)
+        for e in found:
+            assert e.cosine == pytest.approx(sum(x * vectors[e.doc_id].get(w, 0) for w, x in mine.items()), abs=3e-6) and e.label == truth[e.doc_id]
+        vote = sum(e.cosine * e.label for e in found) / sum(e.cosine for e in found)
+        assert rows[i].score == pytest.approx(1 / (1 + math.exp(-(index.scale * vote + index.shift))), abs=1e-9)
+
+
+def test_block_max_is_exact_and_passes_blocks_by():
     rng = np.random.default_rng(2)
-    terms = {str(i).encode(): i for i in range(30)}
-    index = toxicity.BlockMaxIndex(terms, rng.random(31) + 0.5, [], np.zeros(0))
-    counts = [{int(t): int(n) for t, n in zip(rng.choice(31, k, replace=False), rng.integers(1, 5, k), strict=True)} for k in rng.integers(1, 6, 700)]
-    made = sorted((index.vector(c) for c in counts), key=lambda x: (x[0].tobytes(), x[1].tobytes()))
-    index.ids, index.labels = list(range(700)), rng.integers(0, 2, 700).astype(float)
-    index.add(made)
-    dense = np.zeros((700, 31))
-    for row, (at, w) in zip(dense, made, strict=True):
+    names = [f"t{i}".encode() for i in range(400)]
+    hashes = np.array([xxhash.xxh64_intdigest(x) for x in names], np.uint64)
+    words_ = np.sort(hashes)
+    found, counts = [], []
+    for g in rng.integers(0, 8, 1500):  # eight vocabularies that share a few words
+        pick = np.unique(np.concatenate([rng.integers(0, 8, 3), 8 + 48 * g + rng.integers(0, 48, rng.integers(1, 9))]))
+        found.append(hashes[pick])
+        counts.append(rng.integers(1, 5, len(pick)).astype(np.uint32))
+    found.append(np.zeros(0, np.uint64))
+    counts.append(np.zeros(0, np.uint32))
+    y = rng.integers(0, 2, len(found)).astype(float)
+    index = toxicity.build(list(range(len(found))), y, found, counts, words_, rng.random(400) + 0.5)
+    assert 0 < len(index.common) < 400 and len(index.labels) == 1500
+    dense = np.zeros((1500, 400))
+    for row, i in zip(dense, index.ids, strict=True):
+        at, w = index.vector(found[i], counts[i])
         row[at] = w
-    for c in counts[:60]:
-        at, w = index.vector(c)
-        q = np.zeros(31)
-        q[at] = w
-        s = (dense @ q).round(12)
-        want = sorted(((-x, i) for i, x in enumerate(s) if x > 0))[:15]
-        got = index.nearest(at, w, 15)
-        assert np.allclose([x for x, _ in got], [-x for x, _ in want])
+    index.looked = index.passed = 0
+    queries = [index.vector(found[i], counts[i]) for i in range(0, 1500, 9)]
+    got = index.nearest(queries, 15)
+    assert index.passed > index.looked / 4
+    for (at, w), best in zip(queries, got, strict=True):
+        s = dense[:, at] @ w
+        assert [x for x, _ in best] == pytest.approx(np.sort(s)[::-1][:15], abs=2e-6)
+        assert all(x == pytest.approx(s[i], abs=2e-6) for x, i in best) and len({i for _, i in best}) == 15
+    assert index.nearest([index.vector(np.array([5], np.uint64), np.array([1]))], 15) == [[]]
 
 
 # -- media
@@ -285,17 +440,15 @@ def test_shards_round_trip(spark, odd_docs, no_docs, tmp_path):
     rows = ordered.collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
     assert all(r.shard == r.slot // 50 and r.offset == r.slot % 50 * 128 and len(r.record) == 128 for r in rows)
-    encoder = token_shards._encoder(token_shards.read_ranks(spark))
-    texts = {}
-    for r in sorted(rows, key=lambda r: r.seq_no):
+    parts = {}
+    for r in rows:
         ids = np.frombuffer(r.record, "<u2")
         assert (ids[r.n_tokens :] == token_shards.PAD).all() and (ids[: r.n_tokens] != token_shards.PAD).all()
-        if r.doc_id not in (0, 7, None):
-            texts.setdefault(r.doc_id, []).extend(ids[: r.n_tokens].tolist())
-    for r in odd_docs.collect():
-        if r.doc_id in texts:
-            ids = texts[r.doc_id]
-            assert ids[-1] == token_shards.END and encoder.decode(ids[:-1]) == (r.text or "")
+        parts.setdefault(str(r.doc_id), []).append((r.seq_no, tuple(ids[: r.n_tokens].tolist())))
+    want = {}
+    for i, ids in all_ids(spark, odd_docs):  # null and repeated ids too
+        want.setdefault(i, []).extend((k, tuple(ids[at : at + 64])) for k, at in enumerate(range(0, len(ids), 64)))
+    assert {i: sorted(x) for i, x in parts.items()} == {i: sorted(x) for i, x in want.items()}
     files = token_shards.write_shards(ordered, str(tmp_path)).orderBy("shard").collect()
     assert [f.first_slot for f in files] == [50 * f.shard for f in files] and sum(f.records for f in files) == len(rows)
     by_slot = sorted(rows, key=lambda r: r.slot)
@@ -304,19 +457,79 @@ def test_shards_round_trip(spark, odd_docs, no_docs, tmp_path):
     assert token_shards.training_order(token_shards.sequences(no_docs)).count() == 0
 
 
+def test_slots_follow_from_the_data_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (2, 4, 8):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            rows = token_shards.training_order(token_shards.sequences(docs.repartition(n)), shard_records=50)
+            assert rows.rdd.getNumPartitions() <= 8  # many shards in a partition
+            found.append(sorted((r.slot, r.shard, r.doc_id, r.seq_no, bytes(r.record)) for r in rows.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2] and found[0][-1][1] > 8
+
+
+LONG = ["日本語の文章が続く" * 12_000, "日本語の文章。" * 12_000, "word\n" * 20_000, "tab\tseparated\twords\t" * 5000, "z" * 200_000, "a  b\n\n c" * 12_000, " " * 1_100_000 + "x", "don't 's 1234567 " * 6000]
+
+
+def test_long_texts_get_the_ids_of_the_whole_text(spark):
+    encoder = token_shards._encoder(token_shards.read_ranks(spark))
+    for text in LONG:
+        ids = token_shards.encode(text, encoder)
+        assert ids[-1] == token_shards.END and encoder.decode(ids[:-1].tolist()) == text
+        if len(text) < 1_000_000:
+            assert ids[:-1].tolist() == encoder.encode(text, disallowed_special=())
+
+
+def test_pieces_where_the_pattern_gives_up_are_the_same():
+    class Broken:
+        def encode_to_numpy(self, text, disallowed_special):
+            raise ValueError
+
+    with open(token_shards.RANKS, "rb") as f:
+        encoder = token_shards._encoder(f.read())
+    broken, rng = Broken(), random.Random(1)
+    broken._encode_single_piece = encoder._encode_single_piece
+    for _ in range(500):
+        text = "".join(rng.choice("ab 's\n\t\x0b\x1c\x1d\x85\u3000日本。é١٢12!?__ll ve") for _ in range(rng.randint(0, 60)))
+        assert token_shards.encode(text, broken).tolist()[:-1] == encoder.encode(text, disallowed_special=())
+
+
 # -- licences
 
 
 def test_licences(spark, no_docs):
-    mit = licenses.KNOWN[19][1]
+    mit = dict(licenses.known_texts())["MIT"]
+    body = mit.partition("\n\n")[2].partition("\n\n")[2]
+    wrapped = body.replace("AUTHORS OR COPYRIGHT", "AUTHORS OR\nCOPYRIGHT")
     rows = [
         (1, mit), (2, "Copyright (c) 2020 Someone\n" + mit.upper().replace(",", " ;")), (3, "words\n\n  released under the *MIT* licence!\nmore"),
         (4, "Licensed under the Apache License, v2.0"), (5, None), (6, ""), (7, mit + " and more"), (8, "(c) x\nLicensed under CC BY-NC 4.0."), (None, mit), (1, "other"),
+        (9, wrapped), (10, "The MIT License (MIT)\nCopyright 1999 A. Uthor\nAll rights reserved.\n" + body), (1, mit), (11, "x " * 300_000),
     ]
-    got = [(str(r.doc_id), r.license, tuple(r.notices)) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"license": F.lit("q"), "digest": F.lit(1), "unit": F.lit(2), "tag": F.lit(3)})
+    got = [(str(r.doc_id), r.license, tuple(r.notices)) for r in licenses.scan(docs).collect()]
     want = [
         ("1", "MIT", ()), ("2", "MIT", ()), ("3", None, ("MIT",)), ("4", "Apache-2.0", ("Apache-2.0",)), ("5", None, ()), ("6", None, ()), ("7", None, ()),
-        ("8", "CC-BY-NC-4.0", ("CC-BY-NC-4.0",)), ("None", "MIT", ()), ("1", None, ()),
+        ("8", "CC-BY-NC-4.0", ("CC-BY-NC-4.0",)), ("None", "MIT", ()), ("1", None, ()), ("9", "MIT", ()), ("10", "MIT", ()), ("1", "MIT", ()), ("11", None, ()),
     ]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert licenses.scan(no_docs).count() == 0
+    own = spark.createDataFrame([("House-1", "Ask first."), ("House-2", None), (None, "x")], "license string, text string")
+    asked = spark.createDataFrame([(1, "ASK, first!"), (2, mit)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.license) for r in licenses.scan(asked, own).collect()) == [(1, "House-1"), (2, None)]
+
+
+def test_every_known_licence_is_found_as_a_whole_text(spark):
+    known = licenses.known_texts()
+    assert len({name for name, _ in known}) >= 20 and sum(len(t) > 1000 for _, t in known) >= 20
+    rows = [(i, f"  {text.swapcase() if i % 2 else text}\n\n(c) 2001 x\n") for i, (_, text) in enumerate(known)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    named = {}
+    for name, text in known:
+        named.setdefault(licenses.canonical_text(text), set()).add(name)
+    for i, (_, text) in enumerate(known):
+        assert got[i].license == min(named[licenses.canonical_text(text)])
+        assert got[i].digest == hashlib.sha256(licenses.canonical_text(text).encode()).hexdigest()

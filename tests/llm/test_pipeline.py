@@ -1,14 +1,11 @@
 """The pipeline against brute-force versions of its stages, each on its own input."""
 
-import re
-
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from siltstone.llm import packing, simhash
+from siltstone.llm import packing, token_shards
 from test_exact_substring import covered
-from test_simhash import brute_print, classes
+from test_near_copies import kept_by_brute_force
 
 import corpus_pipeline
 
@@ -41,9 +38,7 @@ def test_columns_and_quality(spark, kept):
 
 def test_one_of_each_group(kept):
     before, after = rows(kept[1]), rows(kept[2])
-    fps = {i: brute_print(t) for i, t in before.items()}
-    near = [(i, j) for i in fps for j in fps if i < j and (fps[i] ^ fps[j]).bit_count() <= simhash.RADIUS]
-    assert set(after) == set(classes(near, list(fps)).values())
+    assert sorted(after) == kept_by_brute_force(list(before.items()))[0]
 
 
 def test_repeats_are_cut(kept):
@@ -64,8 +59,21 @@ def test_contaminated_documents_go(spark, kept):
     assert set(after) == set(before) - hit
 
 
-def test_everything_is_packed(kept):
-    got = kept[5].groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
-    want = {i: len([w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]) + 1 for i, t in rows(kept[4]).items()}
-    assert {r.doc_id: r.n for r in got} == want
-    assert {r.capacity for r in kept[5].collect()} <= set(packing.CAPACITIES)
+def test_everything_is_packed(spark, kept):
+    encoder = token_shards._encoder(token_shards.read_ranks(spark))
+    want = {i: [*encoder.encode(t or "", disallowed_special=()), token_shards.END] for i, t in rows(kept[4]).items()}
+    parts = {}
+    for r in kept[5].collect():
+        assert r.capacity in packing.CAPACITIES
+        ids, edges = np.frombuffer(r.tokens, "<u2").tolist(), [*r.offsets, r.n_tokens]
+        for d, k, a, z in zip(r.doc_ids, r.pieces, edges[:-1], edges[1:], strict=True):
+            parts.setdefault(d, []).append((k, ids[a:z]))
+    assert {d: [x for _, ids in sorted(p) for x in ids] for d, p in parts.items()} == want
+
+
+def test_stages_take_odd_tables(spark, odd_table, no_docs):
+    """Nulls, repeats, string ids, a long text and clashing names; and no rows at all."""
+    for docs in (odd_table, no_docs):
+        for name, stage in corpus_pipeline.STAGES:
+            docs = corpus_pipeline.materialize(stage(spark, docs, SF), "test-odd")
+            assert name == "best-fit packing" or docs.columns == corpus_pipeline.COLUMNS
