@@ -2,8 +2,9 @@
 
 The index stores a posting (term, doc_id, tag, pos) for every word of the corpus.  It is built
 in one pass without a shuffle: each task's documents are a shard whose postings are sorted by
-term, so a term's list lies in as many places as there are shards and no common word is in one
-task, while a shard's pages of a term stand together.  How frequent terms are is read from it.
+a hash of the term, so a term's list lies in as many places as there are shards and no common
+word is in one task, while a shard's postings of a term stand together.  How frequent terms are
+is read from it.
 
 A phrase is searched from its rarest terms: their positions, less each term's offset in the
 item, give the place where the item would have to start.  Places on which the two rarest terms
@@ -55,11 +56,14 @@ def _tag(text: str = "text") -> Column:
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """The stored index of all words: (term, doc_id, tag, pos), sorted by term within shards."""
-    # The outer form keeps the optimizer from splitting every text again to test its size.
-    rows = docs.select("doc_id", _tag().alias("tag"), F.posexplode_outer(_split(F.col("text"))).alias("pos", "word")).where("word <> ''")
-    rows = rows.select(_lowered(F.col("word")).alias("term"), "doc_id", "tag", "pos")
-    return materialize(rows.sortWithinPartitions("term", "doc_id", "tag", "pos"), "idx-postings")
+    """The stored index of all words: (term, doc_id, tag, pos), sorted by a hash of the term
+    within shards, so that a term's postings stand together."""
+    # What is made of the whole text is made before it is exploded, or it is made anew for every
+    # word.  The outer form keeps the optimizer from splitting texts again to test their size.
+    rows = docs.select("doc_id", _tag().alias("tag"), _split(F.col("text")).alias("words"))
+    rows = rows.select("doc_id", "tag", F.posexplode_outer("words").alias("pos", "word")).where("word <> ''")
+    rows = rows.select(_lowered(F.col("word")).alias("term"), "doc_id", "tag", "pos").withColumn("h", F.xxhash64("term"))
+    return materialize(rows.sortWithinPartitions("h").drop("h"), "idx-postings")
 
 
 def document_lengths(index: DataFrame) -> DataFrame:
