@@ -6,36 +6,53 @@ import hashlib
 import json
 import os
 import uuid
+from collections import OrderedDict
 from dataclasses import asdict
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from .config import Settings, load
 from .operators import search as S
-from .operators.embed import HashingEmbedder, embed, with_embedding
+from .operators.embed import backend, embed, with_embedding
+from .operators.rerank import OnnxCrossEncoder, scorer
 from .plans import store as K
 from .plans import sync as Y
 from .plans.catalog import Catalog, Project
 from .plans.deploy import ship
 from .plans.jobs import Jobs
 from .sources import tree
+from .streaming import watch as R
 
 INSTRUCTIONS = "Search first; fetch whole chunks by id only when a preview is not enough; ingest after large changes."
 PREVIEW = 400
+#: Search results that ``fetch_chunks`` can still find.
+CACHED = 10_000
 
 
 class Engine:
     """The engine of one project; ``key`` is checked on every call."""
 
-    def __init__(self, spark: SparkSession, base: str, embedder=HashingEmbedder, reranker=None) -> None:
+    def __init__(self, spark: SparkSession, base: str | None = None, embedder=None, reranker=None, settings: Settings | None = None) -> None:
+        """``settings`` (:func:`siltstone.config.load` if not given) say where the index is, how
+        texts are embedded and matches re-ranked, and which files are read; what is given here
+        goes before them."""
         ship(spark)
-        self.spark, self.embedder, self.reranker = spark, embedder, reranker
-        self.catalog, self.jobs = Catalog(spark, base), Jobs(spark)
-        self.cache: dict[str, dict[str, Any]] = {}
+        self.settings = s = load() if settings is None else settings
+        self.spark, self.base = spark, s.store if base is None else base
+        self.embedder = backend(s.embed_backend, s.embed_model, s.embed_tokenizer) if embedder is None else embedder
+        if reranker is None and s.rerank_model:
+            model = s.rerank_model
+            reranker = scorer(lambda: OnnxCrossEncoder(model, os.path.join(os.path.dirname(model), "tokenizer.json")))
+        self.reranker = reranker
+        self.catalog, self.jobs = Catalog(spark, self.base), Jobs(spark)
+        self.cache: OrderedDict[str, dict[str, Any]] = OrderedDict()
 
     def _pool(self, name: str) -> None:
-        """Searches and ingests run in pools of their own, where the session has fair ones."""
+        """Searches and ingests run in pools of their own; with ``spark.scheduler.mode`` FAIR a
+        search does not wait for an ingest's tasks (pools that no file describes share alike)."""
         self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
 
     # -- projects
@@ -64,10 +81,13 @@ class Engine:
         return project, K.ChunkStore(self.spark, project.store_path, project.key)
 
     def _sync(self, key: str, job: str | None = None) -> Y.Sync:
-        self._pool("ingest")
+        self._pool(self.settings.ingest_pool)
         project, store = self._store(key)
         more = {"progress": self.jobs.progress(job), "should_stop": self.jobs.stopping(job)} if job else {}
-        return Y.Sync(self.spark, store, project.project_root, self.embedder, **more)
+        s = self.settings
+        return Y.Sync(
+            self.spark, store, tree.local_path(project.project_root), self.embedder, max_file_bytes=s.max_file_bytes, extensions=s.extensions, includes=s.includes, **more
+        )
 
     def project_status(self, key: str, collection: str = "code") -> dict[str, Any]:
         project, store = self._store(key)
@@ -84,8 +104,10 @@ class Engine:
     # -- ingest
 
     def scan_project(self, key: str, includes: list[str] | None = None, limit: int | None = 5000) -> dict[str, Any]:
-        project, _ = self._store(key)
-        files = tree.list_files(self.spark, project.project_root, includes, limit=limit)
+        return self.jobs.call("scan_project", lambda: self._scan(key, includes, limit), includes=includes, limit=limit)
+
+    def _scan(self, key: str, includes: list[str] | None, limit: int | None) -> dict[str, Any]:
+        files = self._sync(key).snapshot(includes, limit)
         totals = Y.scan_totals(files).first().asDict()
         by = {r["ext"]: r["files"] for r in Y.scan_summary(files).collect()}
         sample = [r["path"] for r in files.select("path").orderBy("path").limit(20).collect()]
@@ -126,8 +148,8 @@ class Engine:
         schema = "n int, id string, text string, " + ", ".join(f"{c} string" for c in K.META) + ", extra map<string,string>"
         replaced = {}
         for collection, rows in by.items():
-            made = K.last_by_id(self.spark.createDataFrame(rows, schema), "n").drop("n")
-            store.upsert(collection, with_embedding(made, self.embedder), replace_by_path)
+            made = with_embedding(self.spark.createDataFrame(rows, schema), self.embedder)
+            store.upsert(collection, made, replace_by_path, order="n")
             if replace_by_path:
                 replaced[collection] = sorted({r[4] for r in rows if r[4]})
         return {"ok": True, "ingested": len(items), "by_collection": {c: len(r) for c, r in by.items()}, "replaced": replaced}
@@ -146,6 +168,17 @@ class Engine:
         sync.save_manifest(collection, rows)
         return sync.manifest(collection).count()
 
+    def watch(self, key: str, checkpoint: str, collection: str = "code", trigger: dict | None = None) -> StreamingQuery:
+        """Keep the collection equal to the project's tree until the query is stopped: changes of
+        one interval of ``debounce_seconds`` are ingested together, deletions too."""
+        sync = self._sync(key)
+        trigger = trigger or {"processingTime": f"{self.settings.debounce_seconds} seconds"}
+        return R.watch(self.spark, sync.root, lambda paths, _: sync.ingest_paths(collection, paths), checkpoint, trigger=trigger, options=sync.tree_options())
+
+    def ingest_errors(self, key: str, collection: str = "code") -> DataFrame:
+        """Files that the last ingest could not parse, and why."""
+        return self._sync(key).errors(collection)
+
     # -- search
 
     def search_frame(self, key: str, queries: DataFrame, k: int = 6, collection: str = "code", hybrid: bool = False, rerank: bool = False) -> DataFrame:
@@ -156,7 +189,7 @@ class Engine:
         vectors = rows.select("id", F.col("embedding").alias("vector"))
         found = S.vector_topk(vectors, asked, k)
         if hybrid:
-            found = S.rrf_fuse(found, S.bm25_topk(rows.select("id", "text"), queries, 3 * k), k)
+            found = S.rrf_fuse(found, S.bm25_topk(None, queries, 3 * k, store.lexical(collection)), k)
         meta = rows.select("id", F.col("text").alias("doc"), F.struct(*K.META).alias("meta"))
         hits = k * S.bounded(queries, S.BROADCAST_QUERIES)
         found = S.maybe_broadcast(found, hits, S.BROADCAST_QUERIES).join(meta, "id")
@@ -166,13 +199,20 @@ class Engine:
 
     def search(self, key: str, query: str, top_k: int = 6, collection: str = "code", hybrid: bool = False, rerank_results: bool = False) -> list[dict[str, Any]]:
         """Matches of one query with 400-character previews; whole chunks stay in the cache."""
-        self._pool("search")
+        work = lambda: self._search(key, query, top_k, collection, hybrid, rerank_results)
+        return self.jobs.call("search", work, query=query, top_k=top_k, collection=collection)
+
+    def _search(self, key: str, query: str, top_k: int, collection: str, hybrid: bool, rerank_results: bool) -> list[dict[str, Any]]:
+        self._pool(self.settings.search_pool)
         one = self.spark.createDataFrame([(0, query)], "qid int, text string")
         out = []
         for r in self.search_frame(key, one, top_k, collection, hybrid, rerank_results).collect():
             row = {"query": query, "rank": r["rank"], "doc": r["doc"], "meta": r["meta"].asDict(), "score": r["score"]}
             name = hashlib.sha1(json.dumps(row, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
             self.cache[name] = row
+            self.cache.move_to_end(name)
+            while len(self.cache) > CACHED:
+                self.cache.popitem(last=False)
             more = {c: r[c] for c in ("rrf_score", "rerank_score") if c in r}
             out.append({"id": name, "chunk_id": r["id"], "rank": r["rank"], "score": r["score"], "preview": r["doc"][:PREVIEW], "meta": row["meta"]} | more)
         return out
@@ -182,12 +222,13 @@ class Engine:
         return {"found": [{"id": i} | self.cache[i] for i in ids if i in self.cache], "missing": [i for i in ids if i not in self.cache]}
 
     def rerank(self, query: str, docs: list[str]) -> list[dict[str, Any]]:
-        if not docs:
-            return []
+        return self.jobs.call("rerank", lambda: self._rerank(query, docs), query=query) if docs else []
+
+    def _rerank(self, query: str, docs: list[str]) -> list[dict[str, Any]]:
         one = self.spark.createDataFrame([(0, query)], "qid int, text string")
         rows = self.spark.createDataFrame([(0, n, str(n), d) for n, d in enumerate(docs, 1)], "qid int, rank int, id string, doc string")
         found = S.rerank(one, rows, self.reranker).orderBy("new_rank").collect()
-        return [{"doc": r["doc"], "rank": r["new_rank"]} | ({"rerank_score": r["rerank_score"]} if "rerank_score" in r else {}) for r in found]
+        return [{"doc": r["doc"], "rank": r["new_rank"]} | ({"rerank_score": r["rerank_score"]} if "rerank_score" in r and r["rerank_score"] is not None else {}) for r in found]
 
     # -- jobs and resources
 

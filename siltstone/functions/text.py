@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Token pattern with portable classes, white space, and line ends.
 TOKEN = r"[a-zA-Z_][\p{L}\p{N}_]*|[а-яёА-ЯЁ]+|\p{Nd}+"
+#: Fixed value: the same pattern for Python, whose own classes are Unicode.
+PY_TOKEN = r"[a-zA-Z_]\w*|[а-яёА-ЯЁ]+|\d+"
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
@@ -65,13 +67,21 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def duration(seconds: Column) -> Column:
-    """``1h 02m``, ``3m 04s`` or ``5s``; null stays null, below zero counts as zero."""
+def duration(seconds: Column, style: str = "short") -> Column:
+    """Seconds as text; below zero counts as zero.
+
+    ``short``: ``1h 02m``, ``3m 04s`` or ``5s``, null for null.  ``long``: ``1h 02m 05s`` in the
+    first case, ``--`` for null.  ``clock``: ``01:02:05`` or ``03:04``, ``--:--`` for null.
+    """
     s = F.greatest(seconds, F.lit(0)).cast("long")
     hours, minutes, rest = F.floor(s / 3600), F.floor(s / 60) % 60, s % 60
+    if style == "clock":
+        shown = F.when(s >= 3600, F.format_string("%02d:%02d:%02d", hours, minutes, rest)).otherwise(F.format_string("%02d:%02d", minutes, rest))
+        return F.when(seconds.isNull(), F.lit("--:--")).otherwise(shown)
+    hourly = F.format_string("%dh %02dm %02ds", hours, minutes, rest) if style == "long" else F.format_string("%dh %02dm", hours, minutes)
     return (
-        F.when(seconds.isNull(), F.lit(None).cast("string"))
-        .when(s >= 3600, F.format_string("%dh %02dm", hours, minutes))
+        F.when(seconds.isNull(), F.lit("--" if style == "long" else None).cast("string"))
+        .when(s >= 3600, hourly)
         .when(s >= 60, F.format_string("%dm %02ds", minutes, rest))
         .otherwise(F.format_string("%ds", rest))
     )

@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from ..functions.text import PY_TOKEN
+
 #: Characters of a text that are embedded; the stored text stays whole.
 MAX_CHARS, BATCH, DIMENSION = 4000, 32, 256
-_WORD = re.compile(r"[a-zA-Z_]\w*|[а-яёА-ЯЁ]+|\d+")
+_WORD = re.compile(PY_TOKEN)
 
 
 class Embedder(Protocol):
@@ -31,12 +33,16 @@ class HashingEmbedder:
         self.dimension = dimension
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimension), np.float32)
-        for row, text in zip(out, texts, strict=True):
-            for word in _WORD.findall(text.lower()):
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                row[(h >> 1) % self.dimension] += 1.0 if h & 1 else -1.0
-        return normalize(out)
+        found = [_WORD.findall(x.lower()) for x in texts]
+        number: dict[str, int] = {}
+        code = np.array([number.setdefault(w, len(number)) for words in found for w in words], np.int64)
+        # A batch's different words are hashed once each; their places and signs are then looked up.
+        h = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in number], np.uint64)
+        place, sign = ((h >> np.uint64(1)) % np.uint64(self.dimension)).astype(np.int64), np.where(h & np.uint64(1), 1.0, -1.0)
+        row = np.repeat(np.arange(len(texts)), [len(words) for words in found])
+        cell = row * self.dimension + place[code] if len(code) else code
+        sums = np.bincount(cell, sign[code] if len(code) else None, len(texts) * self.dimension)
+        return normalize(sums.reshape(len(texts), self.dimension).astype(np.float32))
 
 
 class OnnxEmbedder:

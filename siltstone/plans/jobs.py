@@ -7,6 +7,7 @@ import threading
 import time
 import traceback
 import uuid
+from collections import deque
 from collections.abc import Callable
 from typing import Any
 
@@ -21,7 +22,7 @@ JOB_SCHEMA = (
     "message string, result string, error string"
 )
 EVENT_SCHEMA = "job_id string, t double, stage string, written long, total long, path string"
-RECENT = 200
+RECENT, EVENTS = 200, 10_000
 
 
 class Jobs:
@@ -30,7 +31,7 @@ class Jobs:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.rows: dict[str, dict[str, Any]] = {}
-        self.events: list[tuple] = []
+        self.events: deque[tuple] = deque(maxlen=EVENTS)
         self.stops: dict[str, threading.Event] = {}
         self.lock = threading.Lock()
 
@@ -38,6 +39,7 @@ class Jobs:
         """``work(job_id, **args)`` as a job; its id is returned."""
         job = uuid.uuid4().hex
         with self.lock:
+            self._forget()
             self.stops[job] = threading.Event()
             self.rows[job] = {"job_id": job, "action": action, "status": "running", "started_at": time.time(), "finished_at": None,
                               "args": args, "progress": None, "message": "", "result": None, "error": None}
@@ -59,6 +61,29 @@ class Jobs:
             threading.Thread(target=body, daemon=True).start()
         return job
 
+    def _forget(self) -> None:
+        """Of finished jobs the newest ``RECENT`` stay."""
+        done = [j for j, r in self.rows.items() if r["status"] != "running"]
+        for job in done[: max(0, len(done) - RECENT + 1)]:
+            del self.rows[job], self.stops[job]
+
+    def call(self, action: str, work: Callable[[], Any], **args: Any) -> Any:
+        """``work()`` as a job that is waited for; its value is returned, its error raised."""
+        held: list[Any] = []
+
+        def body(job: str, **_: Any) -> Any:
+            try:
+                held.append(work())
+            except Exception as e:
+                held.append(e)
+                raise
+            return {"rows": len(held[0])} if isinstance(held[0], list | dict) else None
+
+        self.run(action, body, True, **args)
+        if isinstance(held[0], Exception):
+            raise held[0]
+        return held[0]
+
     def progress(self, job: str) -> Callable[[str, dict], None]:
         def note(stage: str, payload: dict) -> None:
             self.rows[job]["progress"] = {"stage": stage} | payload
@@ -89,7 +114,7 @@ class Jobs:
         return recent_jobs(self.table(), limit)
 
     def progress_events(self) -> DataFrame:
-        return self.spark.createDataFrame(self.events, EVENT_SCHEMA)
+        return self.spark.createDataFrame(list(self.events), EVENT_SCHEMA)
 
 
 def recent_jobs(jobs: DataFrame, limit: int = RECENT) -> DataFrame:
@@ -115,6 +140,23 @@ def ingest_rate(events: DataFrame, samples: int = 12, least: float = 0.5) -> Dat
     return out.withColumn("rate", rate).withColumns({"percent": percent, "eta": left}).drop("span", "rise")
 
 
+def phase_rate(events: DataFrame, least: float = 0.5) -> DataFrame:
+    """``events`` with the mean rate since their stage began, percent and eta: for stages that
+    count files, such as preparing and deleting."""
+    phase = Window.partitionBy("job_id", "stage").orderBy("t", "written").rowsBetween(Window.unboundedPreceding, 0)
+    span = F.col("t") - F.first("t").over(phase)
+    out = events.withColumns({"span": span, "top": F.max("total").over(phase)})
+    out = out.withColumn("rate", F.when((F.col("span") > least) & (F.col("written") > 0), F.col("written") / F.col("span")))
+    left = F.greatest(F.col("top") - F.col("written"), F.lit(0)) / F.col("rate")
+    percent = F.when(F.col("top") > 0, F.round(F.col("written") / F.col("top") * 100, 1))
+    return out.withColumns({"percent": percent, "eta": left}).drop("span")
+
+
+def worker_rollup(workers: DataFrame) -> DataFrame:
+    """One row a group of ``workers`` (group, gpu): whether any has a GPU, and how many there are."""
+    return workers.groupBy("group").agg(F.bool_or("gpu").alias("any_gpu"), F.count("*").alias("workers"))
+
+
 def summary_line(jobs: DataFrame) -> DataFrame:
     """(job_id, line): one readable line a job."""
     took = T.duration(F.coalesce("finished_at", F.unix_timestamp().cast("double")) - F.col("started_at"))

@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import json
+import logging
+import os
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunk as C
+from ..operators.code import code_errors
 from ..operators.embed import HashingEmbedder, with_embedding
 from ..sources import tree
 from .files import Files
-from .store import ChunkStore
+from .store import BUCKETS, ChunkStore
 
+log = logging.getLogger(__name__)
+_ERRORS = "path string, stage string, exc_type string, message string"
 MANIFEST = "path string, mtime_ns long, size long"
+#: Files that a full ingest stores before it saves the manifest and may be stopped.
+FLUSH_FILES = 20_000
 Progress = Callable[[str, dict], None]
 
 
@@ -84,6 +94,9 @@ class Report:
     counts: dict = field(default_factory=dict)
     files: int = 0
     chunks: int = 0
+    seen: int = 0
+    skipped: int = 0
+    errors: int = 0
     seconds: float = 0.0
 
 
@@ -94,9 +107,15 @@ class Stopped(Exception):
 class Sync:
     """Sync of one project's collections with its tree."""
 
-    def __init__(self, spark: SparkSession, store: ChunkStore, root: str, embedder=HashingEmbedder, *, max_file_bytes: int = tree.MAX_FILE_BYTES, progress: Progress | None = None, should_stop: Callable[[], bool] = lambda: False) -> None:
+    def __init__(
+        self, spark: SparkSession, store: ChunkStore, root: str, embedder=HashingEmbedder, *, max_file_bytes: int = tree.MAX_FILE_BYTES,
+        extensions: list[str] | None = None, includes: list[str] | None = None, exclude_roots: list[str] | None = None,
+        flush_files: int = FLUSH_FILES, progress: Progress | None = None, should_stop: Callable[[], bool] = lambda: False,
+    ) -> None:
         self.spark, self.store, self.root, self.embedder = spark, store, root, embedder
         self.cap, self.files, self.should_stop = max_file_bytes, Files(spark), should_stop
+        self.extensions, self.includes, self.flush = extensions, includes, flush_files
+        self.exclude = list(exclude_roots or ()) + [x for x in [_local(store.root.rpartition("/")[0])] if x]
         self.progress = progress or (lambda stage, payload: None)
 
     def _side(self, collection: str, name: str) -> str:
@@ -106,16 +125,17 @@ class Sync:
         found = self.files.read_json(self._side(collection, "manifest") + "/_current.json")
         if not isinstance(found, dict):
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self._side(collection, 'manifest')}/g={found['generation']}")
+        return self.spark.read.schema(MANIFEST).parquet(f"{self._side(collection, 'manifest')}/{found['folder']}")
 
     def save_manifest(self, collection: str, rows: DataFrame) -> None:
         folder = self._side(collection, "manifest")
         found = self.files.read_json(f"{folder}/_current.json")
-        g = (int(found["generation"]) if isinstance(found, dict) else 0) + 1
-        rows.select("path", "mtime_ns", "size").write.mode("overwrite").parquet(f"{folder}/g={g}")
-        self.files.write_json(f"{folder}/_current.json", {"generation": g})
-        if g > 2:
-            self.files.delete(f"{folder}/g={g - 2}")
+        g, old = (int(found["generation"]), found.get("folder")) if isinstance(found, dict) else (0, None)
+        name = f"g={g + 1}-{uuid.uuid4().hex[:8]}"
+        rows.select("path", "mtime_ns", "size").write.parquet(f"{folder}/{name}")
+        self.files.write_json(f"{folder}/_current.json", {"generation": g + 1, "folder": name, "before": old})
+        if isinstance(found, dict) and found.get("before"):
+            self.files.delete(f"{folder}/{found['before']}")
 
     def pause(self, collection: str, **state) -> None:
         self.files.write_json(self._side(collection, "pause") + ".json", {"collection": collection, "paused": True, "paused_at": time.time()} | state)
@@ -128,18 +148,36 @@ class Sync:
         self.files.delete(self._side(collection, "pause") + ".json")
 
     def snapshot(self, includes: list[str] | None = None, limit: int | None = None, extensions: list[str] | None = None) -> DataFrame:
-        return tree.list_files(self.spark, self.root, includes, limit=limit, extensions=extensions)
+        return tree.list_files(self.spark, self.root, includes, limit=limit, extensions=extensions or self.extensions, exclude_roots=self.exclude)
 
-    def _items(self, collection: str, includes: list[str] | None, paths: DataFrame | None) -> DataFrame:
-        files = tree.list_files(self.spark, self.root, includes, content=True, max_file_bytes=self.cap)
-        if paths is not None:
-            files = files.join(paths.select("path").distinct(), "path", "left_semi")
+    def tree_options(self) -> dict[str, str]:
+        """What a change stream of the same files is opened with."""
+        return {"exclude_roots": json.dumps(self.exclude)} | ({"extensions": json.dumps(self.extensions)} if self.extensions else {})
+
+    def _items(self, collection: str, files: DataFrame) -> DataFrame:
+        """Rows of the store for ``files`` (path); those that cannot be parsed are noted beside."""
+        contents = tree.read_contents(files, self.root, self.cap)
         name = self.root.rstrip("/").rpartition("/")[2]
-        return with_embedding(prepare(files, collection, self.root, name), self.embedder)
+        return with_embedding(prepare(contents, collection, self.root, name), self.embedder)
+
+    def errors(self, collection: str) -> DataFrame:
+        """(path, stage, exc_type, message) of files that the last sync kept whole: the quarantine."""
+        place = self._side(collection, "errors")
+        if not self.files.exists(place):
+            return self.spark.createDataFrame([], _ERRORS)
+        return self.spark.read.schema(_ERRORS).parquet(place)
+
+    def _note_errors(self, collection: str, files: DataFrame) -> int:
+        python = files.where("lower(path) LIKE '%.py'")
+        code_errors(tree.read_contents(python, self.root, self.cap)).write.mode("overwrite").parquet(self._side(collection, "errors"))
+        found = self.errors(collection)
+        for r in found.limit(20).collect():
+            log.warning("[WARN] symbol=%s stage=%s message=%s exc=%s", r["path"], r["stage"], r["message"], r["exc_type"])
+        return found.count()
 
     def plan(self, collection: str = "code", includes: list[str] | None = None, limit: int | None = None) -> dict:
         """Dry run: what an ingest would read, skip and make, without embedding."""
-        listed = tree.list_files(self.spark, self.root, includes, limit=limit, content=True)
+        listed = tree.list_files(self.spark, self.root, includes, limit=limit, content=True, extensions=self.extensions, exclude_roots=self.exclude)
         small = listed.where(F.col("size") <= self.cap)
         scanned = listed.count()
         made = prepare(small.select("path", "content"), collection).agg(F.count("*").alias("chunks"), F.count_distinct("path").alias("files")).first()
@@ -148,9 +186,9 @@ class Sync:
     def ingest_paths(self, collection: str, paths: list[str], replace: bool = True) -> int:
         """Chunk these files anew; those that are gone lose chunks and manifest rows."""
         asked = self.spark.createDataFrame([(p,) for p in paths], "path string")
-        items = self._items(collection, paths, asked)
-        self.store.upsert(collection, items, replace, asked)
+        # The paths go through the tree's own rules, as the files of a full ingest do.
         now = self.snapshot(paths).join(asked, "path", "left_semi")
+        self.store.upsert(collection, self._items(collection, now), replace, asked)
         kept = self.manifest(collection).join(asked, "path", "left_anti")
         self.save_manifest(collection, kept.unionByName(now))
         return self.store.read(collection).join(asked, "path", "left_semi").count()
@@ -161,7 +199,7 @@ class Sync:
         With a limit nothing counts as deleted: files beyond it may still be there.
         """
         began = time.time()
-        includes = includes if includes is not None else tree.load_resources(self.root) or None
+        includes = includes if includes is not None else tree.load_resources(self.root) or self.includes or None
         self.progress("resource_manifest", {"includes": includes or []})
         # Stored once, so that every step of this run sees the same state of the tree.
         place = self._side(collection, "snapshot")
@@ -176,45 +214,76 @@ class Sync:
         stored = self.store.generation(collection) > 0 and not self.store.read(collection).isEmpty()
         reason = "force_full" if force_full else "missing_manifest" if counts["n_previous"] == 0 and before.isEmpty() else "empty_collection" if not stored else ""
         if reason:
-            report = self._full(collection, includes, limit, now, reason)
+            report = self._guarded(collection, lambda r: self._full(collection, now, r), Report("full", reason))
         elif not counts["n_new"] + counts["n_changed"] + counts["n_deleted"]:
             self.clear_pause(collection)
             report = Report("noop", "up_to_date")
         else:
-            report = self._incremental(collection, includes, changes, now, before if limit is not None else None)
+            kind = Report("incremental", "resume" if self.paused(collection) else "incremental")
+            report = self._guarded(collection, lambda r: self._incremental(collection, changes, now, before if limit is not None else None, r), kind)
         report.counts, report.seconds = counts, time.time() - began
         return report
 
-    def _check(self, collection: str, report: Report) -> bool:
-        if self.should_stop():
-            self.pause(collection, files_total=report.files)
+    def _guarded(self, collection: str, work: Callable[[Report], None], report: Report) -> Report:
+        """``work``, or a pause marker if it is stopped before, between parts or in the middle of one."""
+        try:
+            self._check()
+            work(report)
+        except Exception as e:
+            if not self.should_stop():
+                raise
+            self.pause(collection, files_done=report.files, files_total=report.seen, chunks_written=report.chunks, during=type(e).__name__)
             report.mode = "stopped"
-            return True
-        return False
+        else:
+            self.clear_pause(collection)
+        return report
 
-    def _full(self, collection: str, includes: list[str] | None, limit: int | None, now: DataFrame, reason: str) -> Report:
-        report = Report("full", reason)
-        if self._check(collection, report):
-            return report
+    def _check(self) -> None:
+        if self.should_stop():
+            raise Stopped
+
+    def _full(self, collection: str, now: DataFrame, report: Report) -> None:
+        """Store the tree in parts of ``flush_files`` files, about, and save the manifest after each:
+        what is stored is not done again if the run stops or breaks off.  The first part replaces
+        what the collection was."""
+        report.seen = now.count()
+        parts = 1
+        while parts < BUCKETS and parts * self.flush < report.seen:
+            parts *= 2  # a part's files fill buckets of their own
         self.progress("reset_collection", {"collection": collection})
-        self.store.write(collection, self._items(collection, includes, None if limit is None else now))
-        self.save_manifest(collection, now)
-        self.clear_pause(collection)
-        made = self.store.read(collection).agg(F.count("*").alias("chunks"), F.count_distinct("path").alias("files")).first()
+        done = None
+        for k in range(parts):
+            self._check()
+            files = now.where(F.pmod(F.xxhash64("path"), F.lit(parts)) == k)
+            items = self._items(collection, files)
+            if k == 0:
+                self.store.write(collection, items)
+            else:
+                self.store.upsert(collection, items, True, files)
+            done = files if done is None else done.unionByName(files)
+            self.save_manifest(collection, done)
+            self._count(collection, done, report)
+            self.progress("upsert_batch", {"written": report.files, "total": report.seen, "chunks": report.chunks})
+        report.errors = self._note_errors(collection, now)
+
+    def _count(self, collection: str, files: DataFrame, report: Report) -> None:
+        made = self.store.read(collection).join(files.select("path"), "path", "left_semi").agg(F.count("*").alias("chunks"), F.count_distinct("path").alias("files")).first()
         report.files, report.chunks = made["files"], made["chunks"]
-        self.progress("upsert_batch", {"written": report.chunks, "total": report.chunks})
-        return report
+        report.skipped = report.seen - report.files
 
-    def _incremental(self, collection: str, includes: list[str] | None, changes: DataFrame, now: DataFrame, keep: DataFrame | None) -> Report:
-        report = Report("incremental", "resume" if self.paused(collection) else "incremental")
-        if self._check(collection, report):
-            return report
+    def _incremental(self, collection: str, changes: DataFrame, now: DataFrame, keep: DataFrame | None, report: Report) -> None:
         touched = changes.where("change <> 'same'").select("path")
         fresh = changes.where("change IN ('new', 'changed')").select("path")
-        self.store.upsert(collection, self._items(collection, includes, fresh), True, touched)
+        report.seen = fresh.count()
+        self.store.upsert(collection, self._items(collection, fresh), True, touched)
         rest = now if keep is None else keep.join(now.select("path"), "path", "left_anti").unionByName(now)
         self.save_manifest(collection, rest)
-        self.clear_pause(collection)
-        made = self.store.read(collection).join(fresh, "path", "left_semi").agg(F.count("*").alias("chunks"), F.count_distinct("path").alias("files")).first()
-        report.files, report.chunks = made["files"], made["chunks"]
-        return report
+        self._count(collection, fresh, report)
+        report.errors = self._note_errors(collection, fresh)
+        self.progress("upsert_batch", {"written": report.files, "total": report.seen, "chunks": report.chunks})
+
+
+def _local(path: str) -> str | None:
+    """A folder on this machine that an index lies in, so that it is not itself indexed."""
+    url = urlparse(path)
+    return os.path.realpath(url.path) if url.scheme in ("", "file") and url.path else None

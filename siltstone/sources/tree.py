@@ -14,6 +14,7 @@ import os
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, LessThanOrEqual, SimpleDataSourceStreamReader
 
@@ -29,6 +30,7 @@ SKIP_DIRS = frozenset({
     ".idea", ".vscode", "chroma_db",
 })
 MAX_FILE_BYTES = 800_000
+#: Fixed value: the file in a tree that lists what to index.
 RESOURCES = "rag_index_resources.txt"
 _META = "path string, mtime_ns long, size long"
 
@@ -254,6 +256,46 @@ def list_files(
     return files if limit is None else files.orderBy("path").limit(limit)
 
 
+def read_contents(files: DataFrame, root: str, max_file_bytes: int | None = None, tasks: int | None = None) -> DataFrame:
+    """(path, content) of ``files`` (path, ...) that are still there and not too large.
+
+    Only these files are opened, in the tasks, and the tree is not walked again.
+    """
+    spark = files.sparkSession
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths, texts, size = [], [], 0
+            for path in b.column("path").to_pylist():
+                full = os.path.join(root, path)
+                try:
+                    if not os.path.isfile(full) or (max_file_bytes is not None and os.path.getsize(full) > max_file_bytes):
+                        continue
+                    with open(full, "rb") as f:
+                        text = f.read().decode("utf-8", "ignore")
+                except OSError:
+                    continue
+                paths.append(path)
+                texts.append(text)
+                size += len(text)
+                if size > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], ["path", "content"])
+                    paths, texts, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], ["path", "content"])
+
+    dealt = files.select("path").distinct().repartition(tasks or spark.sparkContext.defaultParallelism, "path")
+    return dealt.mapInArrow(run, "path string, content string")
+
+
+def local_path(path: str, drives: str = "/mnt") -> str:
+    """A drive path such as ``C:\\src\\x`` as ``/mnt/c/src/x`` where the system has no drives;
+    other paths as they are."""
+    if os.name != "nt" and len(path) > 2 and path[0].isalpha() and path[1] == ":" and path[2] in "\\/":
+        return f"{drives}/{path[0].lower()}/{path[3:].replace(chr(92), '/')}".rstrip("/")
+    return path
+
+
 def read_file(root: str, relative: str) -> str:
     """One file's text; a path that leaves the root is refused."""
     top = os.path.realpath(root)

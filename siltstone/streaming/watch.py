@@ -13,13 +13,13 @@ from ..sources import tree
 DEBOUNCE = "4 seconds"
 
 
-def changes(spark: SparkSession, root: str) -> DataFrame:
+def changes(spark: SparkSession, root: str, options: dict[str, str] | None = None) -> DataFrame:
     """Streaming (kind, path, mtime_ns, size): created, modified and deleted files."""
     tree.register(spark)
-    return spark.readStream.format("source_tree_changes").load(root)
+    return spark.readStream.format("source_tree_changes").options(**(options or {})).load(root)
 
 
-def watch(spark: SparkSession, root: str, apply: Callable[[list[str], DataFrame], None], checkpoint: str, *, trigger: dict | None = None) -> StreamingQuery:
+def watch(spark: SparkSession, root: str, apply: Callable[[list[str], DataFrame], None], checkpoint: str, *, trigger: dict | None = None, options: dict[str, str] | None = None) -> StreamingQuery:
     """Call ``apply(paths, batch)`` for each batch of changed paths, each path once.
 
     Events of one debounce interval are one batch.  ``apply`` must be idempotent: after a
@@ -34,7 +34,7 @@ def watch(spark: SparkSession, root: str, apply: Callable[[list[str], DataFrame]
             apply(paths, once)
 
     trigger = trigger or {"processingTime": DEBOUNCE}
-    return changes(spark, root).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return changes(spark, root, options).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def debounce(events: DataFrame, gap: str = DEBOUNCE, *keys: str) -> DataFrame:
