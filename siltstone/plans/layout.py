@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import shutil
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -13,3 +17,15 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, which only a
+    session on one machine may leave unset; what it then writes goes when Python ends."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{(folder or '/tmp/checkpoints').rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    if not folder:
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path

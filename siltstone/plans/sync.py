@@ -84,6 +84,17 @@ def prepare(files: DataFrame, collection: str, root: str = "", project: str = ""
     }).dropDuplicates(["id"])
 
 
+def plan_of(files: DataFrame, cap: int, *keys: str) -> DataFrame:
+    """Dry run over ``files`` (path, size, content): by ``keys`` the files scanned, planned and
+    skipped, and the chunks that an ingest would store; nothing is embedded."""
+    # Not as a plain comparison: the tree source would take it for both uses of ``files``.
+    made = C.chunk_files(files.where(-F.col("size") >= -cap).select("path", "content")).groupBy("path").agg(F.count("*").alias("made"))
+    return files.select("path", *keys).join(made, "path", "left").groupBy(*keys).agg(
+        F.count("*").alias("files_scanned"), F.count("made").alias("files_planned"), F.count_if(F.col("made").isNull()).alias("files_skipped"),
+        F.coalesce(F.sum("made"), F.lit(0)).alias("chunks"),
+    )
+
+
 # -- the driver's side ----------------------------------------------------------
 
 
@@ -178,10 +189,7 @@ class Sync:
     def plan(self, collection: str = "code", includes: list[str] | None = None, limit: int | None = None) -> dict:
         """Dry run: what an ingest would read, skip and make, without embedding."""
         listed = tree.list_files(self.spark, self.root, includes, limit=limit, content=True, extensions=self.extensions, exclude_roots=self.exclude)
-        small = listed.where(F.col("size") <= self.cap)
-        scanned = listed.count()
-        made = prepare(small.select("path", "content"), collection).agg(F.count("*").alias("chunks"), F.count_distinct("path").alias("files")).first()
-        return {"files_scanned": scanned, "files_planned": made["files"], "files_skipped": scanned - made["files"], "chunks": made["chunks"]}
+        return plan_of(listed, self.cap).first().asDict()
 
     def ingest_paths(self, collection: str, paths: list[str], replace: bool = True) -> int:
         """Chunk these files anew; those that are gone lose chunks and manifest rows."""

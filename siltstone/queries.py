@@ -23,7 +23,7 @@ from .plans import jobs as J
 from .plans import store as K
 from .plans import sync as Y
 from .plans.deploy import ship
-from .plans.layout import spread
+from .plans.layout import scratch, spread
 from .sources.tree import EXTENSIONS
 from .streaming import watch as R
 
@@ -86,8 +86,20 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stated query set: the first 20 vectors, against all rows."""
-    return vectors(spark, sf_dir).where("id < 20").select(F.col("id").alias("qid"), "vector")
+    """The stated query set: every vector whose id is divisible by 100, against all rows."""
+    return vectors(spark, sf_dir).where("id % 100 = 0").select(F.col("id").alias("qid"), "vector")
+
+
+_indexes: dict[tuple[str, str], S.Lexical] = {}
+
+
+def lexical(spark: SparkSession, sf_dir: str) -> S.Lexical:
+    """The stored index of ``documents``, written once a session, as a collection's is once a
+    generation; searches then read no text."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = S.stored_index(corpus(spark, sf_dir), scratch(spark, "bm25"))
+    return _indexes[key]
 
 
 def r6(x) -> F.Column:
@@ -209,12 +221,12 @@ _BATCH = "SELECT item_id AS qid, text FROM benchmark"
 @query("bm25_topk", _bm25(_ONE) + "SELECT CAST(rank AS INT) AS rank, id, round(score, 6) AS score FROM lex WHERE rank <= 12")
 def bm25_topk(spark, sf_dir):
     one = spark.createDataFrame([(0, "the thing and the idiot of the world, 2024")], "qid int, text string")
-    return S.bm25_topk(corpus(spark, sf_dir), one, 12).select("rank", "id", r6("score").alias("score"))
+    return S.bm25_topk(None, one, 12, lexical(spark, sf_dir)).select("rank", "id", r6("score").alias("score"))
 
 
 @query("bm25_topk_batch", _bm25(_BATCH) + "SELECT qid, CAST(rank AS INT) AS rank, id, round(score, 6) AS score FROM lex WHERE rank <= 10")
 def bm25_topk_batch(spark, sf_dir):
-    found = S.bm25_topk(corpus(spark, sf_dir), query_batch(spark, sf_dir), 10)
+    found = S.bm25_topk(None, query_batch(spark, sf_dir), 10, lexical(spark, sf_dir))
     return found.select("qid", "rank", "id", r6("score").alias("score"))
 
 
@@ -234,7 +246,7 @@ def vector_topk(spark, sf_dir):
 _VBATCH = f"""
 SELECT * FROM (SELECT q.vec_id AS qid, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - {_COS}, 12), a.vec_id) AS INT) AS rank,
   a.vec_id AS id, round(greatest(0.0, {_COS}), 6) AS score
-FROM embeddings a, embeddings q WHERE q.vec_id < 20 {{where}}) WHERE rank <= 10"""
+FROM embeddings a, embeddings q WHERE q.vec_id % 100 = 0 {{where}}) WHERE rank <= 10"""
 
 
 @query("vector_topk_batch", _VBATCH.format(where=""))
@@ -260,8 +272,8 @@ def l2_normalize_check(spark, sf_dir):
 # -- fusion and re-ranking ------------------------------------------------------
 
 
-@query("hybrid_rrf_topk", _bm25(_BATCH + " WHERE item_id < 20") + f""",
-vec AS (SELECT q.vec_id AS qid, a.vec_id AS id, {_COS} AS s FROM embeddings a, embeddings q WHERE q.vec_id < 20),
+@query("hybrid_rrf_topk", _bm25(_BATCH) + f""",
+vec AS (SELECT q.vec_id AS qid, a.vec_id AS id, {_COS} AS s FROM embeddings a, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
 vr AS (SELECT qid, id, greatest(0.0, s) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(1 - s, 12), id) AS rank FROM vec),
 u AS (
   SELECT qid, id, rank, 0 AS origin, score FROM vr WHERE rank <= 8
@@ -271,8 +283,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 12) DESC
 SELECT r.qid, CAST(r.rank AS INT) AS rank, r.id, round(rrf, 6) AS rrf_score, round(score, 6) AS score, substr(d.text, 1, 400) AS preview
 FROM r LEFT JOIN documents d ON d.doc_id = r.id WHERE r.rank <= 8""")
 def hybrid_rrf_topk(spark, sf_dir):
-    asked = query_batch(spark, sf_dir).where("qid < 20")
-    found = S.hybrid_topk(corpus(spark, sf_dir), asked, vectors(spark, sf_dir), query_vectors(spark, sf_dir), 8)
+    asked = query_batch(spark, sf_dir)
+    near = vectors(spark, sf_dir).select(F.col("id").alias("qid"), "vector").join(asked.select("qid"), "qid", "left_semi")
+    found = S.hybrid_topk(corpus(spark, sf_dir), asked, vectors(spark, sf_dir), near, 8, lexical(spark, sf_dir))
     return found.select("qid", "rank", "id", "rrf_score", r6("score").alias("score"), F.substring("doc", 1, 400).alias("preview"))
 
 
@@ -286,7 +299,7 @@ m AS (
 SELECT qid, id, CAST(overlap AS INT) AS overlap, CAST(row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, rank) AS INT) AS new_rank FROM m""")
 def rerank_lexical(spark, sf_dir):
     asked, docs = query_batch(spark, sf_dir), corpus(spark, sf_dir)
-    found = S.bm25_topk(docs, asked, 10)
+    found = S.bm25_topk(None, asked, 10, lexical(spark, sf_dir))
     hits = 10 * S.bounded(asked, S.BROADCAST_QUERIES)
     matches = S.maybe_broadcast(found, hits, S.BROADCAST_QUERIES).join(docs.withColumnRenamed("text", "doc"), "id")
     return S.rerank_lexical(asked, matches).select("qid", "id", "overlap", "new_rank")
@@ -319,10 +332,18 @@ def _fetch(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").join(F.broadcast(asked), "id", "right")
 
 
-@query("result_cache_ids", "SELECT doc_id, sha1(concat('{\"doc\":\"', substr(lang, 1, 2), '\",\"rank\":', doc_id, '}')) AS cache_id FROM documents")
+_CACHE_ROW = "{doc: d.text, meta: {path: " + _PATH + ", language: d.lang}, query: b.text, rank: 1, score: round(length(b.text) / 7, 4)}"
+
+
+@query("result_cache_ids", f"SELECT b.item_id, d.doc_id, sha1(CAST(to_json({_CACHE_ROW}) AS VARCHAR)) AS cache_id FROM benchmark b JOIN documents d ON d.doc_id % 1000 = b.item_id")
 def result_cache_ids(spark, sf_dir):
-    row = F.struct(F.substring("lang", 1, 2).alias("doc"), F.col("doc_id").alias("rank"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha1(F.to_json(row)).alias("cache_id"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
+    docs = virtual_files(spark, sf_dir).withColumn("item_id", F.col("doc_id") % 1000)
+    found = docs.join(asked, "item_id").select(
+        "item_id", "doc_id", F.lit(1).alias("rank"), F.col("text").alias("doc"), "query", F.round(F.length("query") / 7, 4).alias("score"),
+        F.struct("path", F.col("lang").alias("language")).alias("meta"),
+    )
+    return found.select("item_id", "doc_id", S.cache_id().alias("cache_id"))
 
 
 # -- sync and mutation ----------------------------------------------------------
@@ -365,15 +386,18 @@ def _rows(spark, sf_dir):
     return virtual_files(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "path", "text")
 
 
-_OLD = f"old AS (SELECT CAST(doc_id AS VARCHAR) AS id, {_PATH} AS path, text FROM documents WHERE doc_id % 2 = 0)"
-_NEW = f"new AS (SELECT CAST(doc_id AS VARCHAR) AS id, {_PATH} AS path, concat('v2 ', substr(text, 1, 20)) AS text FROM documents WHERE doc_id % 3 = 0)"
+#: All documents are stored; a third comes in a new version, and as many under new ids.
+_OLD = f"old AS (SELECT CAST(doc_id AS VARCHAR) AS id, {_PATH} AS path, text FROM documents)"
+_NEW = f"""new AS (SELECT CAST(doc_id AS VARCHAR) AS id, {_PATH} AS path, concat('v2 ', text) AS text FROM documents WHERE doc_id % 3 = 0
+ UNION ALL SELECT concat('n', doc_id) AS id, concat('new/', doc_id) AS path, text FROM documents WHERE doc_id % 3 = 0)"""
 
 
 def _old_new(spark, sf_dir):
     rows = _rows(spark, sf_dir)
-    n = F.try_to_number("id", F.lit("999999999999"))
-    new = rows.where(n % 3 == 0).withColumn("text", F.concat(F.lit("v2 "), F.substring("text", 1, 20)))
-    return rows.where(n % 2 == 0), new
+    third = virtual_files(spark, sf_dir).where("doc_id % 3 = 0")
+    changed = third.select(F.col("doc_id").cast("string").alias("id"), "path", F.concat(F.lit("v2 "), "text").alias("text"))
+    added = third.select(F.concat(F.lit("n"), "doc_id").alias("id"), F.concat(F.lit("new/"), "doc_id").alias("path"), "text")
+    return rows, changed.unionByName(added)
 
 
 @query("upsert_result", f"WITH {_OLD}, {_NEW} SELECT id, path, sha1(text) AS digest FROM (SELECT * FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT * FROM new)")
@@ -469,24 +493,70 @@ def file_chunks_html(spark, sf_dir):
     return C.chunk_files(files).select("path", "type", "language", F.sha1("text").alias("digest"))
 
 
-@query("plan_ingest", f"SELECT source, count(*) AS files, count(*) FILTER (n_chars <= 8000) AS planned, count(*) FILTER (n_chars > 8000) AS skipped FROM documents GROUP BY source")
+@query("plan_ingest", f"""WITH f AS (SELECT source, {_PATH} AS path, n_chars AS size, text AS content FROM documents),
+l AS (SELECT source, path, unnest({lines_sql('content')}) AS line, unnest(range(1, len({lines_sql('content')}) + 1)) AS n FROM f WHERE size <= 8000),
+s AS (SELECT *, sum(CASE WHEN {strip_sql('line')} = '' THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY n) AS sec FROM l),
+c AS (SELECT path, count(DISTINCT sec) AS chunks FROM s WHERE {strip_sql('line')} <> '' GROUP BY path)
+SELECT source, count(*) AS files_scanned, count(chunks) AS files_planned, count(*) - count(chunks) AS files_skipped, CAST(coalesce(sum(chunks), 0) AS BIGINT) AS chunks
+FROM f LEFT JOIN c USING (path) GROUP BY source""")
 def plan_ingest(spark, sf_dir):
-    small = F.col("size") <= 8000
-    return virtual_files(spark, sf_dir).groupBy("source").agg(F.count("*").alias("files"), F.count_if(small).alias("planned"), F.count_if(~small).alias("skipped"))
+    files = virtual_files(spark, sf_dir).withColumn("content", F.col("text"))
+    return Y.plan_of(files, 8000, "source")
+
+
+@query("kv_sections_json", """
+WITH f AS (SELECT c_custkey, concat('cust/', c_custkey, '.json') AS path, c_name, c_mktsegment FROM customer)
+SELECT path, symbol, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, sha1(concat('Document: ', path, chr(10), 'Section: ', symbol, chr(10), chr(10), body)) AS digest FROM (
+  SELECT path, 'root' AS symbol, 1 AS start_line, 1 AS end_line, '{' AS body FROM f
+  UNION ALL SELECT path, 'name', 2, 2, concat('"name": "', c_name, '",') FROM f
+  UNION ALL SELECT path, 'deep', 3, 5, concat('"deep": {', chr(10), '    "inner": "', c_mktsegment, '"', chr(10), '  },') FROM f
+  UNION ALL SELECT path, 'last one', 6, 7, concat('"last one" : 1', chr(10), '}') FROM f)""")
+def kv_sections_json(spark, sf_dir):
+    text = F.concat(F.lit('{\n  "name": "'), "c_name", F.lit('",\n  "deep": {\n    "inner": "'), "c_mktsegment", F.lit('"\n  },\n  "last one" : 1\n}\n'))
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("cust/"), "c_custkey", F.lit(".json")).alias("path"), text.alias("content"))
+    return C.chunk_files(files).select("path", "symbol", "start_line", "end_line", F.sha1("text").alias("digest"))
+
+
+def _symbol_rows(ending: str, language: str, rows: list[tuple[str, str | None, str | None, str | None, str]]) -> str:
+    """SQL of expected code chunks: (type, symbol, first and last line, text), SQL expressions."""
+    parts = [
+        f"SELECT concat('f', c_custkey, '{ending}') AS path, CAST({i} AS INT) AS ord, {text} AS text, '{kind}' AS type, '{language}' AS language, "
+        f"{symbol or chr(39) * 2} AS symbol, CAST({first or 0} AS INT) AS start_line, CAST({last or 0} AS INT) AS end_line FROM customer"
+        for i, (kind, symbol, first, last, text) in enumerate(rows)
+    ]
+    return " UNION ALL ".join(parts)
+
 
+def _whole(chunks: DataFrame) -> DataFrame:
+    return chunks.fillna({"symbol": "", "start_line": 0, "end_line": 0})
 
-@query("py_symbols")
+
+_F = "concat('f', c_custkey)"
+_LF = "' || chr(10) || '"
+
+
+@query("py_symbols", _symbol_rows(".py", "python", [
+    ("module", None, None, None, f"'Module: ' || {_F} || '.py{_LF}Language: python{_LF}ModuleDoc: doc{_LF}Imports:{_LF}import os{_LF}Globals: X{_LF}Classes: C{_LF}Functions: ' || {_F}"),
+    ("function", _F, "4", "5", f"'def ' || {_F} || '():{_LF}    def g(): pass'"),
+    ("function", f"{_F} || '.g'", "5", "5", "'    def g(): pass'"),
+    ("class", "'C'", "6", "7", f"'class C:{_LF}    async def m(self): pass'"),
+    ("function", "'C.m'", "7", "7", "'    async def m(self): pass'"),
+]))
 def py_symbols(spark, sf_dir):
     name = F.concat(F.lit("f"), F.col("c_custkey"))
     text = F.concat(F.lit('"""doc"""\nimport os\nX = 1\ndef '), name, F.lit("():\n    def g(): pass\nclass C:\n    async def m(self): pass\n"))
-    return code_chunks(table(spark, sf_dir, "customer").select(F.concat(name, F.lit(".py")).alias("path"), text.alias("content")))
+    return _whole(code_chunks(table(spark, sf_dir, "customer").select(F.concat(name, F.lit(".py")).alias("path"), text.alias("content"))))
 
 
-@query("js_symbols")
+@query("js_symbols", _symbol_rows(".ts", "typescript", [
+    ("module", None, None, None, f"'Module: ' || {_F} || '.ts{_LF}Language: javascript/typescript{_LF}Imports:{_LF}export function ' || {_F} || '() {{{_LF}Globals: z{_LF}Classes: B{_LF}Functions: ' || {_F}"),
+    ("function", _F, "1", "3", f"'export function ' || {_F} || '() {{{_LF}  return 1;{_LF}}}'"),
+    ("class", "'B'", "4", "4", "'class B { }'"),
+]))
 def js_symbols(spark, sf_dir):
     name = F.concat(F.lit("f"), F.col("c_custkey"))
     text = F.concat(F.lit("export function "), name, F.lit("() {\n  return 1;\n}\nclass B { }\nconst h = () => 1;\nlet z = 2;"))
-    return code_chunks(table(spark, sf_dir, "customer").select(F.concat(name, F.lit(".ts")).alias("path"), text.alias("content")))
+    return _whole(code_chunks(table(spark, sf_dir, "customer").select(F.concat(name, F.lit(".ts")).alias("path"), text.alias("content"))))
 
 
 @query("hash_embed")
@@ -516,12 +586,15 @@ w AS (SELECT *, t - first_value(t) OVER p AS span, written - first_value(written
 r AS (SELECT *, CASE WHEN span > 0.5 AND rise > 0 THEN rise / span END AS rate FROM w)
 SELECT written AS event_id, round(rate, 6) AS rate, CASE WHEN top > 0 THEN round(written / top * 100, 1) END AS percent, round(greatest(top - written, 0) / rate, 3) AS eta FROM r""")
 def ingest_rate_window(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select(
+    found = J.ingest_rate(_events(spark, sf_dir))
+    return found.select(F.col("written").alias("event_id"), r6("rate").alias("rate"), "percent", F.round("eta", 3).alias("eta"))
+
+
+def _events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("job_id"), (F.col("user_id") % 5).alias("stage"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0).alias("t"),
         F.col("event_id").alias("written"), (F.col("event_id") + F.col("user_id")).alias("total"),
     )
-    found = J.ingest_rate(events)
-    return found.select(F.col("written").alias("event_id"), r6("rate").alias("rate"), "percent", F.round("eta", 3).alias("eta"))
 
 
 @query("recent_jobs", "SELECT event_id, event_type, row_number() OVER (ORDER BY ts DESC, event_id) AS place FROM events ORDER BY ts DESC, event_id LIMIT 200")
@@ -539,6 +612,26 @@ def job_durations(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.duration((F.col("event_id") * 7 % 9000).cast("double")).alias("took"))
 
 
+@query("job_durations_styles", """
+SELECT event_id, CASE WHEN s >= 3600 THEN printf('%dh %02dm %02ds', s // 3600, s // 60 % 60, s % 60) WHEN s >= 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS long_form,
+ CASE WHEN s >= 3600 THEN printf('%02d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%02d:%02d', s // 60, s % 60) END AS clock
+FROM (SELECT event_id, CAST(event_id * 7 % 9000 AS BIGINT) AS s FROM events)""")
+def job_durations_styles(spark, sf_dir):
+    s = (F.col("event_id") * 7 % 9000).cast("double")
+    return table(spark, sf_dir, "events").select("event_id", T.duration(s, "long").alias("long_form"), T.duration(s, "clock").alias("clock"))
+
+
+@query("phase_rate", """
+WITH ev AS (SELECT event_type AS job_id, user_id % 5 AS stage, epoch_us(ts) / 1000000.0 AS t, event_id AS written, event_id + user_id AS total FROM events),
+w AS (SELECT *, t - first_value(t) OVER p AS span, max(total) OVER p AS top FROM ev WINDOW p AS (PARTITION BY job_id, stage ORDER BY t, written ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT *, CASE WHEN span > 0.5 AND written > 0 THEN written / span END AS rate FROM w)
+SELECT written AS event_id, round(rate, 6) AS rate, CASE WHEN top > 0 THEN round(written / top * 100, 1) END AS percent, round(greatest(top - written, 0) / rate, 3) AS eta FROM r""")
+def phase_rate(spark, sf_dir):
+    found = J.phase_rate(_events(spark, sf_dir))
+    return found.select(F.col("written").alias("event_id"), r6("rate").alias("rate"), "percent", F.round("eta", 3).alias("eta"))
+
+
 @query("worker_rollup", "SELECT label, bool_or(vec_id % 97 = 0) AS any_gpu, count(*) AS workers FROM embeddings GROUP BY label")
 def worker_rollup(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.bool_or(F.col("vec_id") % 97 == 0).alias("any_gpu"), F.count("*").alias("workers"))
+    workers = table(spark, sf_dir, "embeddings").select(F.col("label").alias("group"), (F.col("vec_id") % 97 == 0).alias("gpu"))
+    return J.worker_rollup(workers).withColumnRenamed("group", "label")

@@ -151,3 +151,140 @@ def test_debounce(spark):
     rows = [("2024-01-01 00:00:00", "a"), ("2024-01-01 00:00:03", "b"), ("2024-01-01 00:00:06", "a"), ("2024-01-01 00:00:20", "c")]
     events = spark.createDataFrame(rows, "ts string, path string").selectExpr("cast(ts as timestamp) ts", "path")
     assert [(r.paths, r.n) for r in R.debounce(events).orderBy("start").collect()] == [(["a", "b"], 3), (["c"], 1)]
+
+
+ROWS = "id string, text string, path string"
+
+
+def test_pointer_is_never_missing_and_writers_do_not_overwrite_each_other(spark, tmp_path, monkeypatch):
+    one, two = (K.ChunkStore(spark, str(tmp_path), "p") for _ in range(2))
+    frame = lambda *rows: spark.createDataFrame(list(rows), ROWS)
+    one.write("c", frame(("1", "a b", "x"), ("2", "b", "y"), ("3", "c c c", None)))
+    before = two._state("c")
+    monkeypatch.setattr(two, "_state", lambda c: before)  # the second writer began from the same state
+    one.upsert("c", frame(("2", "B", "y")))
+    with pytest.raises(K.ConcurrentWrite):
+        two.upsert("c", frame(("1", "lost", "x")))
+    monkeypatch.undo()
+    assert sorted((r.id, r.text) for r in one.read("c").collect()) == [("1", "a b"), ("2", "B"), ("3", "c c c")]
+    # A writer that breaks off before or while its pointer is made leaves the old state.
+    monkeypatch.setattr(one.files, "create_json", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        one.write("c", frame(("9", "x", "x")))
+    (tmp_path / "project=p/collection=c/_pointers/0000000009.json").write_text('{"generat')
+    assert two.generation("c") == 2 and two.count("c") == 3
+    for _ in range(3):
+        two.upsert("c", frame(("1", "again", "x")))
+    assert two.count("c") == 3 and two.lexical("c").n == 3
+    assert len(list((tmp_path / "project=p/collection=c").glob("rows-*/b=*"))) <= 3 + 2 + 3  # old buckets are gone
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    store = K.ChunkStore(spark, str(tmp_path), "p")
+    store.write("c", spark.createDataFrame([(str(i), f"word{i}", f"f{i}") for i in range(300)], ROWS))
+    before = store._state("c")["buckets"]
+    store.upsert("c", spark.createDataFrame([("5", "moved", "f5")], ROWS), replace=True)
+    after = store._state("c")["buckets"]
+    assert sum(before[k] != after[k] for k in before) == 1 and store.count("c") == 300
+    store.upsert("c", spark.createDataFrame([("7", "other place", "g7")], ROWS))  # the id leaves its old bucket
+    assert [(r.path, r.text) for r in store.get("c", ids=["7"]).collect()] == [("g7", "other place")]
+
+
+def test_last_of_equal_ids_wins(spark, tmp_path):
+    rows = [("1", f"v{i}", "p", i) for i in range(50)]
+    items = spark.createDataFrame(rows, ROWS + ", n int").repartition(7)
+    assert K.upsert(items.limit(0).drop("n"), items, "n").first().text == "v49"
+    first = {K.last_by_id(items.drop("n").repartition(n)).first().text for n in (1, 3, 8)}
+    assert len(first) == 1
+
+
+def test_full_ingest_goes_on_where_it_stopped(spark, tmp_path):
+    root = str(tmp_path / "proj")
+    for i in range(24):
+        put(root, f"f{i}.txt", f"text {i}")
+    store, stop, parts = K.ChunkStore(spark, str(tmp_path / "s"), "p"), [], []
+    note = lambda stage, x: stage == "upsert_batch" and (parts.append(x["written"]), len(parts) == 2 and stop.append(1))
+    sync = Y.Sync(spark, store, root, flush_files=6, progress=note, should_stop=lambda: bool(stop))
+    report = sync.run()
+    assert report.mode == "stopped" and 0 < report.files < 24 and report.seen == 24
+    paused = sync.paused("code")
+    assert paused["files_done"] == report.files == store.read("code").select("path").distinct().count() and paused["files_total"] == 24
+    assert sync.manifest("code").count() == report.files
+    stop.clear()
+    again = sync.run()
+    assert (again.mode, again.reason) == ("incremental", "resume") and again.counts["n_new"] == 24 - report.files
+    assert sync.paused("code") is None and store.read("code").select("path").distinct().count() == 24
+    assert sync.run().mode == "noop"
+
+
+def test_stop_in_the_middle_leaves_a_marker(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "proj")
+    put(root, "a.txt", "a")
+    stop = []
+    store = K.ChunkStore(spark, str(tmp_path / "s"), "p")
+    sync = Y.Sync(spark, store, root, should_stop=lambda: bool(stop))
+
+    def cancelled(*args):
+        stop.append(1)
+        raise RuntimeError("job cancelled")
+
+    monkeypatch.setattr(store, "write", cancelled)
+    assert sync.run().mode == "stopped" and sync.paused("code")["during"] == "RuntimeError"
+    stop.clear()
+    with pytest.raises(RuntimeError):  # a failure that is no stop stays one
+        monkeypatch.setattr(store, "write", lambda *a: (_ for _ in ()).throw(RuntimeError("disk")))
+        sync.run()
+
+
+def test_settings_and_an_index_inside_the_tree(spark, tmp_path):
+    from siltstone.config import Settings
+
+    root = str(tmp_path / "proj")
+    put(root, "a.py", "def f(:\n")
+    put(root, "b.txt", "some text")
+    put(root, "c.zz", "other")
+    put(root, "big.zz", "y" * 500)
+    engine = Engine(spark, settings=Settings(store=f"{root}/index", allowed_extensions=".py,.zz", max_file_bytes=100))
+    key = engine.register_project(root).key
+    run = lambda: engine.get_job_status(engine.ingest_project(key, wait=True))["result"]
+    first = run()
+    assert {p for p, _, _ in rows_of(engine, key)} == {"a.py", "c.zz"}  # nothing of the index itself
+    assert (first["seen"], first["files"], first["skipped"], first["errors"]) == (3, 2, 1, 1)
+    assert [(r.path, r.exc_type) for r in engine.ingest_errors(key).collect()] == [("a.py", "SyntaxError")]
+    assert [run()["mode"] for _ in range(2)] == ["noop", "noop"]
+    assert engine.plan_ingest(key) == {"files_scanned": 3, "files_planned": 2, "files_skipped": 1, "chunks": 3}
+
+
+def test_engine_watches(spark, tmp_path):
+    root = str(tmp_path / "proj")
+    put(root, "a.md", "# one\ntext")
+    engine = Engine(spark, str(tmp_path / "s"))
+    key = engine.register_project(root).key
+    engine.ingest_project(key, wait=True)
+    q = engine.watch(key, str(tmp_path / "ck"), trigger={"processingTime": "1 seconds"})
+    q.processAllAvailable()
+    put(root, "b.md", "# needle\nmore")
+    os.remove(os.path.join(root, "a.md"))
+    q.processAllAvailable()
+    q.stop()
+    assert {p for p, _, _ in rows_of(engine, key)} == {"b.md"}
+    engine.search(key, "needle", hybrid=True)
+    engine.rerank("needle", ["a", "needle"])
+    actions = [r.action for r in engine.list_recent_jobs(10).collect()]
+    assert {"search", "rerank", "ingest_project"} <= set(actions)
+
+
+def test_finished_jobs_are_bounded(spark):
+    from siltstone.plans.jobs import RECENT, Jobs
+
+    jobs = Jobs(spark)
+    for i in range(RECENT + 30):
+        jobs.call("x", lambda i=i: [i])
+    assert len(jobs.rows) <= RECENT + 1
+    with pytest.raises(ZeroDivisionError):
+        jobs.call("bad", lambda: 1 / 0)
+    assert [r["status"] for r in jobs.rows.values()][-1] == "failed"
+
+
+def test_drive_paths():
+    assert tree.local_path("C:\\src\\x") == "/mnt/c/src/x" and tree.local_path("/a/b") == "/a/b" and tree.local_path("d:/q", "/m") == "/m/d/q"
