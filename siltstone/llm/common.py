@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -82,9 +83,36 @@ def materialize(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
             spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are materialized within are deleted at its end, but for those handed to what it
+    gives: nothing lazy may read the others any more by then."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _open.append(made)
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        stay = {x.stored_at for x in kept}
+        if _open:
+            _open[-1].extend(kept)  # for an outer one to decide on
+        discard(*[x for x in made if x.stored_at not in stay])
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what :func:`materialize` wrote, once nothing lazy reads it any more."""
     for df in tables:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fits, fresh, materialize, small
+from .common import fits, fresh, materialize, small, temporary
 
 WINDOW = 10
 #: Rarest terms of a window whose lists must agree before the others are read.
@@ -181,14 +181,16 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, kee
     One row per row of ``docs``; ``found`` is null without a match, ``n_words`` without words.
     Kept columns of these two names give way; other names, also of ``benchmark``, are safe.
     """
-    index = build_index(docs)
-    items = materialize(items_of(benchmark), "idx-items")
-    hits = occurrences(index, items, window, limit)
-    listed = hits.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("item_id", "offset", "runs")).alias("found"))
+    with temporary() as stays:  # the index goes when it has been searched
+        index = build_index(docs)
+        items = materialize(items_of(benchmark), "idx-items")
+        hits = occurrences(index, items, window, limit)
+        listed = stays(materialize(hits.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("item_id", "offset", "runs")).alias("found")), "idx-found"))
+        lengths = stays(materialize(document_lengths(index), "idx-lengths"))
     keep = [c for c in (["doc_id"] if keep is None else keep) if c not in ("n_words", "found")]
     i, t = fresh("row_id", keep), fresh("row_tag", keep)
     rows = docs.select(*keep, F.col("doc_id").alias(i), _tag().alias(t))
-    for side in (document_lengths(index), materialize(listed, "idx-found")):
+    for side in (lengths, listed):
         side = side.withColumnsRenamed({"doc_id": "side_id", "tag": "side_tag"})
         same = F.col(i).eqNullSafe(F.col("side_id")) & (F.col(t) == F.col("side_tag"))
         value = side.columns[-1]
