@@ -19,6 +19,11 @@ class Files:
         where = self.jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
+    def qualified(self, path: str) -> str:
+        """``path`` with the scheme and host of the default file system where it names none."""
+        fs, where = self._at(path)
+        return fs.makeQualified(where).toString()
+
     def exists(self, path: str) -> bool:
         fs, where = self._at(path)
         return fs.exists(where)
