@@ -7,6 +7,8 @@ import shutil
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from threading import Lock
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -28,7 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, with the scheme of
+    the default file system where it names none.
 
     Only a session on one machine may leave it unset; on a cluster a local folder would put
     each executor's tables on its own disk.
@@ -36,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return found or DEFAULT_SHARED
+    return Files(spark).qualified(found) if found else DEFAULT_SHARED
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
@@ -72,29 +75,52 @@ def materialize(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     path = shared_path(spark, tag)
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
+    with _shuffles_released(spark):
         df.write.parquet(path, compression=codec)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
-    if _open:
-        _open[-1].append(out)
+    if _open.get():
+        _open.get()[-1].append(out)
     return out
 
 
-_open: list[list[DataFrame]] = []
+_lock = Lock()
+#: By session: how many writes hold the setting, and what it was before the first.
+_held: dict[int, tuple[int, str | None]] = {}
+
+
+@contextmanager
+def _shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with the query that made them; writes of several threads share the setting,
+    and the last to end restores it."""
+    key = id(spark._jsparkSession)
+    with _lock:
+        n, before = _held.get(key, (0, None))
+        if n == 0:
+            before = spark.conf.get(_CLEAN, None)
+            spark.conf.set(_CLEAN, "true")
+        _held[key] = (n + 1, before)
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _held.pop(key)
+            if n > 1:
+                _held[key] = (n - 1, before)
+            elif before is None:
+                spark.conf.unset(_CLEAN)
+            else:
+                spark.conf.set(_CLEAN, before)
+
+
+#: The tables of each open :func:`temporary`, the innermost last; every thread has its own.
+_open: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open tables", default=())
 
 
 @contextmanager
 def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables that are materialized within are deleted at its end, but for those handed to what it
-    gives: nothing lazy may read the others any more by then."""
+    """Tables that this thread materializes within are deleted at its end, but for those handed to
+    what it gives: nothing lazy may read the others any more by then."""
     made: list[DataFrame] = []
     kept: list[DataFrame] = []
 
@@ -102,14 +128,14 @@ def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.append(df)
         return df
 
-    _open.append(made)
+    token = _open.set((*_open.get(), made))
     try:
         yield keep
     finally:
-        _open.pop()
+        _open.reset(token)
         stay = {x.stored_at for x in kept}
-        if _open:
-            _open[-1].extend(kept)  # for an outer one to decide on
+        if _open.get():
+            _open.get()[-1].extend(kept)  # for an outer one to decide on
         discard(*[x for x in made if x.stored_at not in stay])
 
 

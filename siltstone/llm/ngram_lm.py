@@ -53,6 +53,8 @@ LARGE = 255
 BUCKET, TASK = 4 << 20, 16 << 20
 #: Texts in which common first words are looked for, about, and the share that makes one common.
 HOT_SAMPLE, HOT_SHARE = 2000, 0.0005
+#: Groups in which the figures of bigrams are summed before they are summed as a whole.
+FIGURE_GROUPS = 64
 #: Files that a worker maps at once, and bytes that it holds where files cannot be mapped.
 MAPPED, HELD = 8192, 256 << 20
 PAIR = np.dtype([("v", "<u8"), ("w", "<u8"), ("n", "<u4")])
@@ -165,6 +167,8 @@ class Model:
     tokens: int = 0
     words: int = 0
     pairs: int = 0
+    #: Files of words and of bigrams that were written; a reader that finds another number fails.
+    files: tuple[int, int] = (0, 0)
     discount: tuple[float, ...] = (0.5, 1.0, 1.5)
     word_discount: tuple[float, ...] = (0.5, 1.0, 1.5)
     word_kinds: tuple[int, ...] = (0, 0, 0)
@@ -247,37 +251,38 @@ def fit(texts: DataFrame) -> Model:
         order = np.argsort(bucket, kind="stable")
         heads, blocks = _split(bucket[order], parts[order])
         kinds = np.array([len(n), *[(n == i).sum() for i in range(1, 5)]], "<i8")
-        return pa.table({"bucket": pa.array([*heads.tolist(), -1], pa.int32()), "block": pa.array([*blocks, kinds.tobytes()], pa.binary())})
+        figures = -1 - key[0].as_py() % FIGURE_GROUPS
+        return pa.table({"bucket": pa.array([*heads.tolist(), figures], pa.int32()), "block": pa.array([*blocks, kinds.tobytes()], pa.binary())})
 
     def words(key: tuple, rows: pa.Table) -> pa.Table:
         found = rows.column("block").to_pylist()
         bucket = key[0].as_py()
         if bucket < 0:
             total = sum((np.frombuffer(x, "<i8") for x in found), np.zeros(5, np.int64))
-            return pa.table({"what": pa.array(["pairs"]), "figures": pa.array([total.tolist()], pa.list_(pa.int64()))})
+            return pa.table({"what": pa.array(["pairs"]), "figures": pa.array([[len(found), *total.tolist(), 0, 0]], pa.list_(pa.int64()))})
         a = _joined(found, PART)
         names, at = np.unique(a["word"], return_inverse=True)
         sums = {f: np.bincount(at, a[f], minlength=len(names)).astype(np.int64) for f in PART.names[1:]}
         kinds = np.stack([sums[f] for f in ("f1", "f2", "f3", "before")], axis=1)
         _write(folder, f"word-{bucket}", {"key": names, "n": sums["n"].astype("<u8"), "kinds": kinds.astype("<u4")})
         b = sums["before"]
-        figures = [sums["n"].sum(), (sums["n"] > 0).sum(), *[(b == i).sum() for i in range(1, 5)], (b >= 3).sum()]
+        figures = [1, sums["n"].sum(), (sums["n"] > 0).sum(), *[(b == i).sum() for i in range(1, 5)], (b >= 3).sum()]
         return pa.table({"what": pa.array(["words"]), "figures": pa.array([[int(x) for x in figures]], pa.list_(pa.int64()))})
 
     counted = texts.select("text").mapInArrow(count, "bucket int, block binary")
     parts = counted.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(pairs, "bucket int, block binary")
     made = parts.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(words, "what string, figures array<long>")
     model = Model(folder, buckets, hot=hot)
-    total = np.zeros(7, np.int64)
-    for r in made.collect():  # a few numbers for each bucket
-        if r["what"] == "pairs":
-            model.pairs = r["figures"][0]
-            model.discount = _discounts(r["figures"][1:])
-        else:
-            total += np.array(r["figures"])
-    model.tokens, model.words = int(total[0]), int(total[1])
-    model.word_discount = _discounts(total[2:6].tolist())
-    model.word_kinds = int(total[2]), int(total[3]), int(total[6])
+    summed = made.groupBy("what").agg(*[F.sum(F.col("figures")[i]).alias(str(i)) for i in range(8)])
+    found = {r["what"]: [int(x) for x in r[1:]] for r in summed.collect()}  # two rows
+    words_made, pairs_made = (found.get(x, [0] * 8) for x in ("words", "pairs"))
+    model.files = words_made[0], pairs_made[0]
+    model.tokens, model.words = words_made[1:3]
+    model.word_discount = _discounts(words_made[3:7])
+    model.word_kinds = words_made[3], words_made[4], words_made[7]
+    if pairs_made[0]:
+        model.pairs = pairs_made[1]
+        model.discount = _discounts(pairs_made[2:6])
     return model
 
 
@@ -292,7 +297,10 @@ class Reader:
             self.files = set(os.listdir(here)) if os.path.isdir(here) else set()
         else:
             fs, at = pafs.FileSystem.from_uri(model.folder)
-            self.files = {x.base_name for x in fs.get_file_info(pafs.FileSelector(at))}
+            self.files = {x.base_name for x in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True))}
+        there = tuple(sum(x.startswith(f"{what}-") and x.endswith(".key") for x in self.files) for what in ("word", "pair"))
+        if there != model.files:
+            raise FileNotFoundError(f"{model.folder} has {there} files of words and bigrams, the model wrote {model.files}")
 
     def _file(self, name: str, kind: str) -> np.ndarray:
         if name not in self.maps:

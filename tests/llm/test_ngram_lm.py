@@ -1,6 +1,7 @@
 """Scores against a dictionary-based bigram model written from the formulas."""
 
 import math
+import os
 import zlib
 from collections import Counter
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import ngram_lm
+from siltstone.llm.common import local_form
 
 
 def brute(train, texts):
@@ -119,3 +121,11 @@ def test_common_words_change_only_where_bigrams_lie(spark, odd_docs, monkeypatch
     monkeypatch.setattr(ngram_lm, "HOT_SHARE", 10.0)
     got = sorted(map(tuple, ngram_lm.score_corpus(odd_docs).drop("doc_id").collect()))
     assert got == [pytest.approx(x) for x in want]
+
+
+def test_missing_files_are_an_error(spark, odd_docs):
+    model = ngram_lm.fit(odd_docs)
+    folder = local_form(model.folder)
+    os.remove(next(f"{folder}/{x}" for x in sorted(os.listdir(folder)) if x.startswith("word-") and x.endswith(".key")))
+    with pytest.raises(FileNotFoundError):
+        ngram_lm.Reader(model)
