@@ -39,7 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return Files(spark).qualified(found) if found else DEFAULT_SHARED
+    if not found:
+        return DEFAULT_SHARED
+    whole = Files(spark).qualified(found)
+    return found if local_form(whole) == found.rstrip("/") else whole
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
