@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_substring, licenses, media, ngram_lm, packing, quality, sharding, simhash, token_shards, toxicity
+from . import decontaminate, exact_substring, licenses, media, ngram_lm, packing, quality, sharding, simhash, spelling, token_shards, toxicity
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.through_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"))
 
@@ -68,10 +72,11 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate, "op2_packing": op2_packing,
     "op3_quality": op3_quality, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_lm": op6_lm, "op7_token_shards": op7_token_shards,
     "op8_substring": op8_substring, "op9_simhash": op9_simhash,
-    "op10_licenses": op10_licenses, "op12_sharding": op12_sharding, "decontaminate_proximity": decontaminate_proximity,
+    "op10_licenses": op10_licenses, "op11_spelling": op11_spelling, "op12_sharding": op12_sharding,
+    "decontaminate_proximity": decontaminate_proximity,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE, "op8_substring": exact_substring.ORACLE, "op10_licenses": licenses.ORACLE,
-    "op12_sharding": sharding.ORACLE,
+    "op11_spelling": spelling.ORACLE, "op12_sharding": sharding.ORACLE,
     "decontaminate_proximity": decontaminate.PROXIMITY_ORACLE,
 }
