@@ -196,9 +196,9 @@ def postings_topterms(spark, sf_dir):
 
 
 _BM25 = f"""
-WITH q AS (QUERIES),
+WITH BEFORE q AS (QUERIES),
 qt AS (SELECT DISTINCT qid, unnest({tokens_sql('text')}) AS term FROM q),
-tok AS (SELECT doc_id AS id, {tokens_sql('text')} AS t FROM documents),
+tok AS (SELECT IDS AS id, {tokens_sql('text')} AS t FROM CORPUS),
 st AS (SELECT count(*) AS n, sum(len(t)) / greatest(1, count(*)) AS avgdl FROM tok),
 p AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM tok),
 tf AS (SELECT term, id, count(*) AS tf, max(dl) AS dl FROM p WHERE term IN (SELECT term FROM qt) GROUP BY term, id),
@@ -210,8 +210,13 @@ lex AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY roun
 """
 
 
+def bm25_sql(queries: str, corpus: str, ids: str, before: str = "") -> str:
+    """(qid, id, score, rank) as the table ``lex``: ``queries`` (qid, text) ranked over a ``corpus`` (ids, text)."""
+    return _BM25.replace("BEFORE", f"{before}," if before else "").replace("QUERIES", queries).replace("CORPUS", corpus).replace("IDS", ids)
+
+
 def _bm25(queries: str) -> str:
-    return _BM25.replace("QUERIES", queries)
+    return bm25_sql(queries, "documents", "doc_id")
 
 
 _ONE = "SELECT 0 AS qid, 'the thing and the idiot of the world, 2024' AS text"
