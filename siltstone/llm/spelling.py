@@ -325,15 +325,14 @@ def follow(steps: DataFrame) -> DataFrame:
     Each round takes steps of twice the length.  A form is ``LEAST_RATIO`` times as frequent as its
     word, so chains and rounds are few, and there are no circles.
     """
-    now = materialize(steps, "trie-root")
+    now = steps
     while True:
         up = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        longer = materialize(now.join(up, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "trie-root")
-        discard(now)
-        now = longer.drop("moved")
-        now.stored_at = longer.stored_at
-        if longer.where("moved").isEmpty():
+        if now.join(up, "root", "left_semi").isEmpty():
             return now
+        longer = materialize(now.join(up, "root", "left").select("word", F.coalesce("further", "root").alias("root")), "trie-root")
+        discard(now)
+        now = longer
 
 
 _WORD = f"CASE WHEN h % {DELETED} = 0 THEN substr(r, 1, CAST(h % length(r) AS INTEGER)) || substr(r, CAST(h % length(r) AS INTEGER) + 2) ELSE r END"
