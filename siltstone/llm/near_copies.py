@@ -7,14 +7,18 @@ of the least values of its shingles under ``ROWS`` random orders, and a pair of
 a key with probability 1 - (1 - s^ROWS)^BANDS: 0.9993 at 0.8 and more above, 0.02 at 0.3.  Every
 proposed pair is compared shingle by shingle, so what is linked is alike without exception.
 
-Texts that share a key are never paired with each other: they are compared with one of them, the
-centre, first a text with one centre only, then with those from which the links so far leave it
-apart, and so on with the next of the group as centre until that links nothing more.
+Texts that share a key are a group, and which of them are linked is settled for every group: until
+all its texts are connected or have been compared.  First, a few keys at a time, one text of each
+connected part of a group is compared with one centre, which settles most groups of copies in
+linear work.  Where a group is still in several parts, its texts are compared with one, two,
+four, ... of them in turn, but for those that are connected by then.  A group that is not settled
+after ``MOST`` centres is cut by what its texts have in common: by the shingles that are rarest
+in the group, a fifth of each text's and one more, of which two alike texts share one at least.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -33,6 +37,8 @@ SHINGLE, SIMILARITY, SEED = 5, Fraction(4, 5), 43
 RADIUS = 3
 #: Keys of a text, and least values that a key is made of.
 BANDS, ROWS = 24, 6
+#: Keys that are gone through at once, and centres of a group after which it is cut.
+KEYS, MOST = 8, 64
 #: Bits of the bitmaps that sift proposed pairs.
 BITS = 2048
 
@@ -106,6 +112,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, printed: DataFrame) -> DataFra
 
     both = pairs.distinct().join(sides[0], "u").join(sides[1], "v").select("bits_u", "n_u", "bits_v", "n_v", "u", "v")
     pairs = materialize(both.mapInArrow(sift, "u long, v long"), "copies-pairs")
+    if pairs.isEmpty():
+        return pairs
     ends = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
     texts = materialize(texts.join(ends, "key", "left_semi"), "copies-few")
     left = texts.select(F.col("key").alias("u"), F.col("text").alias("a"))
@@ -126,6 +134,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, printed: DataFrame) -> DataFra
 
 def copy_links(texts: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(key, text) of distinct long keys -> (u, v) links that connect texts that are alike."""
+    return linked(texts, radius)[0]
+
+
+def linked(texts: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """The links of :func:`copy_links`, and (key, root) of every text: the least key that they reach."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -136,40 +149,74 @@ def copy_links(texts: DataFrame, radius: int = RADIUS) -> DataFrame:
             bands = pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("key"), *columns, bands], ["key", "fp", "n", "bits", "bands"])
 
+    ship(texts.sparkSession)
     printed = materialize(texts.mapInArrow(prints, "key long, fp long, n int, bits binary, bands array<long>"), "copies-fp")
     least = materialize(printed.groupBy("fp").agg(F.min("key").alias("key")), "copies-class")
     links = hamming_links(least.select("fp"), radius)
     ends = [least.select(F.col("fp").alias(x), F.col("key").alias(f"key_{x}")) for x in "uv"]
     near = links.join(ends[0], "u").join(ends[1], "v").select(F.col("key_u").alias("a"), F.col("key_v").alias("b"))
     same = printed.join(least.withColumnRenamed("key", "a"), "fp").select("a", F.col("key").alias("b"))
-
-    # (h, key, place): texts that share a band key, by their place among them.
-    bands = printed.select("key", F.explode("bands").alias("h"))
-    several = bands.groupBy("h").agg(F.count("*").alias("size")).where("size > 1").select("h")
-    place = F.row_number().over(Window.partitionBy("h").orderBy("key"))
-    made = materialize(bands.join(several, "h").withColumn("place", place), "copies-groups")
-
-    def stars(rows: DataFrame, centre: int) -> DataFrame:
-        """(a, b): texts with the group's text at the place ``centre``, if both may still be linked."""
-        middle = rows.where(F.col("place") == centre).select("h", F.col("key").alias("a"), F.col("root").alias("to"))
-        return rows.where(F.col("place") > centre).join(middle, "h").where("root <> to").select("a", F.col("key").alias("b"))
-
-    nearest = stars(made.withColumn("root", F.col("key")), 1).groupBy("b").agg(F.min("a").alias("a"))
-    found = _verified(_ordered(near.unionByName(same).unionByName(nearest.select("a", "b"))), texts, printed)
-    centre = 1
+    compare = lambda pairs: _verified(_ordered(pairs), texts, printed)
+
+    found = compare(near.unionByName(same))
+    roots = _merged(printed.select("key", F.col("key").alias("root")), found)
+    for at in range(0, BANDS, KEYS):
+        keyed = printed.join(roots, "key").select("root", "key", F.explode(F.slice("bands", at + 1, KEYS)).alias("h"))
+        parts = materialize(keyed.groupBy("h", "root").agg(F.min("key").alias("key")), "copies-parts")
+        centres = parts.groupBy("h").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1")
+        more = compare(parts.join(centres, "h").select("a", F.col("key").alias("b")))
+        found, roots = found.unionByName(more), _merged(roots, more)
+    groups = printed.select("key", F.explode("bands").alias("h"))
+    return _settled(groups, found, roots, compare, lambda groups: _cut(groups, texts))
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (key, root) of all texts once ``links`` (u, v) are made."""
+    if links.isEmpty():
+        return roots
+    ends = [roots.select(F.col("key").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv"]
+    apart = links.join(ends[0], "u").join(ends[1], "v").where("root_u <> root_v").select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
+    joined = connected_components(materialize(apart.distinct(), "copies-apart")).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return materialize(roots.join(joined, "root", "left").select("key", F.coalesce("to", "root").alias("root")), "copies-roots")
+
+
+def _settled(groups: DataFrame, found: DataFrame, roots: DataFrame, compare: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame] | None) -> tuple[DataFrame, DataFrame]:
+    """``found`` and ``roots`` with the links that are missing until each two texts of a group of ``groups``
+    (h, key) are connected or have been compared.  ``cut``: groups in place of one that would take
+    many centres; without it centres go on until none is left."""
+    centres = 1
     while True:
-        roots = connected_components(found).withColumnRenamed("node", "key")
-        rooted = made.join(roots, "key", "left").select("h", "key", "place", F.coalesce("root", "key").alias("root"))
-        group = Window.partitionBy("h")
-        rooted = rooted.withColumns({"lo": F.min("root").over(group), "hi": F.max("root").over(group), "last": F.max("place").over(group)})
-        rooted = materialize(rooted.where(f"lo <> hi AND last > {centre}").drop("lo", "hi", "last"), "copies-apart")
+        rooted = groups.join(roots, "key").select("h", "key", "root")
+        apart = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+        rooted = materialize(rooted.join(apart, "h", "left_semi"), "copies-groups")
         if rooted.isEmpty():
-            return found
-        more = _verified(_ordered(stars(rooted, centre)), texts, printed)
-        if more.isEmpty() and centre > 1:
-            return found
-        found = materialize(found.unionByName(more), "copies-found")
-        centre += 1
+            return found, roots
+        if cut is not None and centres > MOST:
+            return _settled(cut(rooted), found, roots, compare, None)
+        place = F.row_number().over(Window.partitionBy("h").orderBy("key"))
+        first = materialize(rooted.withColumn("place", place).where(F.col("place") <= centres).select("h", F.col("key").alias("a"), F.col("root").alias("to")), "copies-centres")
+        more = compare(rooted.join(first, "h").where("root <> to").select("a", F.col("key").alias("b")))
+        found, roots = found.unionByName(more), _merged(roots, more)
+        groups = rooted.join(first.select("h", F.col("a").alias("key")), ["h", "key"], "left_anti").select("h", "key")
+        centres *= 2
+
+
+def _cut(rooted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h, key): for each group of ``rooted`` (h, key), groups of the texts that have one of their
+    rarest shingles in common.  Of n shingles of a text at most a fifth are missing in one alike,
+    so by any order that both share, each has one of the other's among its first n / 5 and one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([_hashes(t) for t in utf8_list(b.column("text"))], pa.list_(pa.int64()))], ["key", "e"])
+
+    held = texts.join(rooted.select("key").distinct(), "key", "left_semi").select("key", "text").mapInArrow(run, "key long, e array<long>")
+    rows = materialize(rooted.select("h", "key").join(held, "key").select("h", "key", F.size("e").alias("n"), F.explode("e").alias("e")), "copies-shingles")
+    often = rows.groupBy("h", "e").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("h", "key").orderBy("df", "e"))
+    ratio = SIMILARITY.denominator - SIMILARITY.numerator, SIMILARITY.denominator
+    first = rows.join(often, ["h", "e"]).withColumn("place", place).where(F.col("place") <= F.floor(F.col("n") * ratio[0] / ratio[1]) + 1)
+    return materialize(first.where("df > 1").select(F.xxhash64("h", "e").alias("h"), "key").distinct(), "copies-cut")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -198,8 +245,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     with temporary() as stays:
         classes = keyed.groupBy("key").agg(F.min(best).alias("least"), F.min_by("text", best).alias("text"))
         classes = materialize(classes.withColumn("key", F.monotonically_increasing_id()), "copies-texts")  # short keys; stored, so they stay
-        roots = connected_components(copy_links(classes.select("key", "text"))).withColumnRenamed("node", "key")
-        rooted = classes.select("key", "least").join(roots, "key", "left").select("least", F.coalesce("root", "key").alias("root"))
+        _, roots = linked(classes.select("key", "text"))
+        rooted = classes.select("key", "least").join(roots, "key").select("least", "root")
         tops = rooted.groupBy("root").agg(F.min("least").alias("top"))
         firsts = stays(materialize(tops.select("top.id", "top.tag").distinct(), "copies-first"))
     return only_rows(docs, firsts, id_col, text_col)

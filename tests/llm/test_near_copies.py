@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
-from siltstone.llm import simhash
+from siltstone.llm import near_copies, simhash
 from test_simhash import classes
 
 
@@ -50,3 +53,43 @@ def test_near_copies_of_the_test_tables(spark):
     want, near = kept_by_brute_force([(r.doc_id, r.text) for r in docs.collect()])
     assert near
     assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, "").collect()) == want
+
+
+def linked_classes(spark, texts, **_):
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    links = [(r.u, r.v) for r in near_copies.copy_links(df).collect()]
+    sets = [brute_set(t) for t in texts]
+    assert all(len(sets[u] & sets[v]) * 5 >= 4 * len(sets[u] | sets[v]) for u, v in links)
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j])]
+    return classes(links, range(len(texts))), classes(near, range(len(texts)))
+
+
+def unlike(rng, n):
+    """Texts that are not alike, then pairs that are, further apart than SimHash proposes."""
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = [" ".join(word() for _ in range(60)) for _ in range(n)]
+    for _ in range(3):
+        base = [word() for _ in range(120)]
+        texts += [" ".join(base), " ".join([*base[:60], word(), *base[61:]])]
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("most", [1, 2, 1000])
+def test_groups_are_settled_whole(spark, monkeypatch, most):
+    """All texts in all groups together: no pair may be passed over, however many are not alike."""
+    monkeypatch.setattr(near_copies, "band_keys", lambda h: np.arange(3, dtype=np.int64) + 7)
+    monkeypatch.setattr(near_copies, "MOST", most)
+    got, want = linked_classes(spark, unlike(random.Random(3), 20))
+    assert got == want and len(set(want.values())) == 23
+
+
+def test_recall_of_band_keys():
+    """Share of pairs of a similarity just above the threshold that have a key in common."""
+    rng = np.random.default_rng(4)
+    met = 0
+    for _ in range(1500):
+        both = rng.integers(0, 2**62, 90)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**62, 11)])) for _ in range(2))
+        met += bool(set(near_copies.band_keys(a)) & set(near_copies.band_keys(b)))
+    assert met / 1500 > 0.995
