@@ -51,7 +51,7 @@ PIECE = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(2024).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _ODD = [np.uint64(int(x) | 1) for x in np.random.default_rng(77).integers(2**32, 2**63, 16, dtype=np.uint64)]
-ANCHOR = np.dtype([("name", "<u8"), ("phrase", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1"), ("hot", "u1")])
+ANCHOR = np.dtype([("name", "<u8"), ("phrase", "<u8"), ("check", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1"), ("hot", "u1")])
 #: Different phrases of one boundary name beyond which they are dealt by ``STEP`` starts.
 WIDE, STEP = 4096, 16
 #: Bytes of text for one bucket.
@@ -74,8 +74,8 @@ def _grow(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(boundary, first start, last start, boundary name, phrase name) of one text.
+def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(boundary, first start, last start, boundary name) of one text.
 
     Starts p run over all windows p .. p + length that fit; each belongs to the boundary
     with the least hash among the WINDOW grams from p on (the last of equals).
@@ -101,14 +101,9 @@ def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
         first = np.concatenate([[0], edge])
         last = np.concatenate([edge, [n]]) - 1
         at = best[first]
-        end = last + length - 64
-        name = _stir(h[at])
-        phrase = _stir(h[first] + (last - first).astype(np.uint64) * _ODD[9])
-        for k in range(1, (length + WINDOW) // 64 + 1):
-            phrase = _stir(phrase * _ODD[8] + h[np.minimum(first + 64 * k, end)])
-        found.append((at + begin, first + begin, last + begin, name, phrase))
+        found.append((at + begin, first + begin, last + begin, _stir(h[at])))
     if not found:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -129,15 +124,23 @@ def _blocks(rows: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
 
 
 def _rows(text: bytes, k1: int, k2: int, length: int) -> np.ndarray:
-    at, lo, hi, name, phrase = anchors(text, length)
+    at, lo, hi, name = anchors(text, length)
     rows = np.zeros(len(at), ANCHOR)
-    rows["name"], rows["phrase"], rows["k1"], rows["k2"] = name, phrase, k1, k2
+    digest = hashlib.blake2b
+    phrases = b"".join([digest(text[a:z], digest_size=16).digest() for a, z in zip(lo.tolist(), (hi + length).tolist(), strict=True)])
+    rows["phrase"], rows["check"] = np.frombuffer(phrases, "<u8").reshape(-1, 2).T
+    rows["name"], rows["k1"], rows["k2"] = name, k1, k2
     rows["at"], rows["lo"], rows["hi"] = at, at - lo, at - hi
     return rows
 
 
-def frequent(docs: DataFrame, n_docs: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Frequent names, frequent phrases and over how many buckets each phrase goes, sorted.
+#: Frequent names, frequent phrases, the other halves of their digests and over how many buckets
+#: each phrase goes.
+Hot = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def frequent(docs: DataFrame, n_docs: int, length: int = LENGTH) -> Hot:
+    """Frequent names and phrases, sorted.
 
     All of them occur twice at least.  What is missing here costs balance, never a repeat.
     """
@@ -148,13 +151,15 @@ def frequent(docs: DataFrame, n_docs: int, length: int = LENGTH) -> tuple[np.nda
             for text, k1, k2 in zip(utf8_list(b.column("text")), b.column("k1").to_pylist(), b.column("k2").to_pylist(), strict=True):
                 rows = _rows(text, k1, k2, length)
                 both = np.concatenate([rows["name"], rows["phrase"]]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(np.repeat([False, True], len(rows)))], ["h", "phrase"])
+                check = np.concatenate([np.zeros(len(rows), np.uint64), rows["check"]]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(check), pa.array(np.repeat([False, True], len(rows)))], ["h", "c", "phrase"])
 
-    sampled = docs.where(F.pmod("k1", F.lit(1 << 30)) < cut).mapInArrow(run, "h long, phrase boolean")
-    found = sampled.groupBy("h", "phrase").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_COUNT).toArrow()  # the sample's anchors / HOT_COUNT
-    h, n, phrase = found["h"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy(), found["phrase"].to_numpy()
+    sampled = docs.where(F.pmod("k1", F.lit(1 << 30)) < cut).mapInArrow(run, "h long, c long, phrase boolean")
+    found = sampled.groupBy("h", "c", "phrase").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_COUNT).toArrow()  # the sample's anchors / HOT_COUNT
+    h, c = (found[x].to_numpy().astype(np.int64).view(np.uint64) for x in "hc")
+    n, phrase = found["n"].to_numpy(), found["phrase"].to_numpy()
     phrases, order = h[phrase], np.argsort(h[phrase])
-    return np.sort(h[~phrase]), phrases[order], (n[phrase][order] // HOT_COUNT).astype(np.uint64)
+    return np.sort(h[~phrase]), phrases[order], c[phrase][order], (n[phrase][order] // HOT_COUNT).astype(np.uint64)
 
 
 def _among(x: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,15 +170,16 @@ def _among(x: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return listed[at] == x, at
 
 
-def deal(rows: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray], buckets: int) -> np.ndarray:
+def deal(rows: np.ndarray, hot: Hot, buckets: int) -> np.ndarray:
     """The bucket of each boundary; marks ``hot`` of it: 1 by name, 2 by phrase."""
-    names, phrases, spread = hot
+    names, phrases, checks, spread = hot
     to = rows["name"].copy()
     by_name, _ = _among(rows["name"], names)
     to[by_name] = _stir(rows["name"][by_name] ^ rows["phrase"][by_name] * _ODD[5])
     by_phrase, at = _among(rows["phrase"], phrases)
     by_phrase &= by_name
     if by_phrase.any():
+        by_phrase &= checks[at] == rows["check"]
         own = rows[by_phrase]
         salt = _stir(own["k1"].view(np.uint64) + own["at"].astype(np.uint64) * _ODD[6]) % np.maximum(spread[at[by_phrase]], np.uint64(1))
         to[by_phrase] = _stir(to[by_phrase] + salt * _ODD[7])
@@ -181,7 +187,7 @@ def deal(rows: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray], bucke
     return _bucket(to, buckets)
 
 
-def parse(docs: DataFrame, buckets: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray], length: int = LENGTH, flush: int = 1 << 19) -> DataFrame:
+def parse(docs: DataFrame, buckets: int, hot: Hot, length: int = LENGTH, flush: int = 1 << 19) -> DataFrame:
     """(bucket, block) of packed boundaries of (k1, k2, text) rows."""
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -222,9 +228,9 @@ def repeated_names(blocks: DataFrame, parts: int, wide: int = WIDE) -> DataFrame
         count = np.diff(np.append(np.flatnonzero(new), len(a)))
         a = a[np.repeat(count > 1, count) | (a["hot"] > 0)]
         if len(a):
-            a = a[np.lexsort((a["at"], a["k2"], a["k1"], a["phrase"], a["name"]))]
+            a = a[np.lexsort((a["at"], a["k2"], a["k1"], a["check"], a["phrase"], a["name"]))]
             group = np.concatenate([[True], a["name"][1:] != a["name"][:-1]])
-            sub = group | np.concatenate([[True], a["phrase"][1:] != a["phrase"][:-1]])
+            sub = group | np.concatenate([[True], (a["phrase"][1:] != a["phrase"][:-1]) | (a["check"][1:] != a["check"][:-1])])
             size = np.diff(np.append(np.flatnonzero(sub), len(a)))
             once = np.repeat(size == 1, size) & (a["hot"] < 2)
             which = np.cumsum(group) - 1

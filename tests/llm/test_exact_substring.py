@@ -88,7 +88,7 @@ def test_frequent_names_are_dealt_and_nothing_is_lost(spark, monkeypatch, count)
     rows = [(i, prose(rng.randint(0, 150)) + rng.choice(ends) + line + rng.choice(ends) + prose(rng.randint(0, 90))) for i in range(50)]
     rows += [(100 + i, rows[0][1]) for i in range(12)] + [(200 + i, line * 3 + prose(i)) for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    names, phrases, _ = X.frequent(docs.select(*X._key("doc_id", "text"), "text"), len(rows))
+    names, phrases, *_ = X.frequent(docs.select(*X._key("doc_id", "text"), "text"), len(rows))
     assert len(names) > 3 and len(phrases) > 3
     check(spark, rows, docs)
 
@@ -105,7 +105,7 @@ def test_pieces_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(X, "PIECE", 700)
     rng = random.Random(4)
     text = bytes(rng.choice(b"abc") for _ in range(5000)) + b"z" * 3000
-    at, lo, hi, _, _ = X.anchors(text)
+    at, lo, hi, _ = X.anchors(text)
     starts = [p for a, b in zip(lo, hi, strict=True) for p in range(a, b + 1)]
     assert starts == list(range(len(text) - 199))
     assert ((at - lo < X.WINDOW) & (at >= hi)).all()
