@@ -35,7 +35,7 @@ from .common import materialize, ship, slices, utf8_list
 from .labelled import held_out, labelled_sample
 
 #: Labelled documents that examples are drawn from at most.
-MAX_EXAMPLES = 10_000
+MAX_EXAMPLES = 20_000
 K, BLOCK, THRESHOLD = 15, 64, 0.7
 #: Of so many examples one fits the curve, and does not tie words to labels.
 TUNE = 5
