@@ -5,6 +5,9 @@ is fitted by conditional likelihood on lines that inherit their document's label
 Scoring runs forward-backward and averages the marginals of "good", weighted by line
 length; a logistic curve fitted on the same sample turns the mean into a probability.
 
+A text of very many lines is scored in windows of lines: features become one number a line at
+once, and messages are carried over all lines as products of two-by-two matrices.
+
 Labels are those of whole documents, so no fitted chain steps from bad to good: transitions
 are learned as far as they smooth, and it is the neighbours' features and marginals that tell
 a bad line among good ones.
@@ -17,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -27,8 +31,10 @@ from .labelled import held_out, labelled_sample
 #: Labelled documents that fitting reads at most, and lines of all of them together: documents
 #: are taken whole, or passed over where they would go beyond it.
 MAX_DOCS, MAX_LINES = 4000, 200_000
-#: Documents that one forward-backward pass holds together.
-_TOGETHER = 512
+#: Documents, and lines of all of them, that one forward-backward pass holds together.
+_TOGETHER, _LINES = 512, 100_000
+#: Lines beyond which a text is scored by itself, and bytes whose lines get features at once then.
+_LONG, _WINDOW = 20_000, 1 << 18
 _LOWER = bytes(range(97, 123))
 _UPPER = bytes(range(65, 91))
 _DIGIT = bytes(range(48, 58))
@@ -37,7 +43,7 @@ _PLAIN = 11  # features of a line itself
 N_FEATURES = 3 * _PLAIN + 3
 
 
-def _line(line: bytes, seen: set[bytes]) -> tuple[float, ...]:
+def _line(line: bytes, again: bool) -> tuple[float, ...]:
     n = len(line)
     if n == 0:
         return (0.0,) * _PLAIN
@@ -46,8 +52,6 @@ def _line(line: bytes, seen: set[bytes]) -> tuple[float, ...]:
     symbols = len(line.translate(None, _WORDY))
     upper = n - len(line.translate(None, _UPPER))
     digits = n - len(line.translate(None, _DIGIT))
-    again = line in seen
-    seen.add(line)
     distinct = len(set(words))
     stutter = sum(map(bytes.__eq__, words, words[1:])) if distinct < 0.9 * m else 0
     return (
@@ -59,14 +63,74 @@ def _line(line: bytes, seen: set[bytes]) -> tuple[float, ...]:
 def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(lines x N_FEATURES, line lengths); an empty text is one empty line."""
     lines = text.split(b"\n")
+    again = []
     seen: set[bytes] = set()
-    own = np.array([_line(x, seen) for x in lines], np.float64)
-    before, after = np.zeros_like(own), np.zeros_like(own)
-    before[1:], after[:-1] = own[:-1], own[1:]
-    edge = np.zeros((len(lines), 3))
-    edge[0, 0] = edge[-1, 1] = 1
+    for x in lines:
+        again.append(x in seen)
+        seen.add(x)
+    own = np.array([_line(x, a) for x, a in zip(lines, again, strict=True)], np.float64)
+    return _with_neighbours(np.concatenate([_NO_LINE, own, _NO_LINE]), True, True), np.array([max(1, len(x)) for x in lines], np.float64)
+
+
+_NO_LINE = np.zeros((1, _PLAIN))
+
+
+def _with_neighbours(own: np.ndarray, begins: bool, ends: bool) -> np.ndarray:
+    """All features of the lines between the first and the last of ``own``; whether they begin and
+    end the text."""
+    edge = np.zeros((len(own) - 2, 3))
+    edge[0, 0], edge[-1, 1] = begins, ends
     edge[:, 2] = 1
-    return np.concatenate([own, before, after, edge], axis=1), np.array([max(1, len(x)) for x in lines], np.float64)
+    return np.concatenate([own[1:-1], own[:-2], own[2:], edge], axis=1)
+
+
+class _Seen:
+    """Which hashes came before: sorted arrays, of which two of like size become one."""
+
+    def __init__(self) -> None:
+        self.held: list[np.ndarray] = []
+
+    def again(self, hashes: np.ndarray) -> np.ndarray:
+        names, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+        known = np.zeros(len(names), bool)
+        for x in self.held:
+            known |= x[np.minimum(np.searchsorted(x, names), len(x) - 1)] == names
+        out = known[where]
+        out |= np.arange(len(hashes)) != first[where]
+        if not known.all():
+            self.held.append(names[~known])
+        while len(self.held) > 1 and 2 * len(self.held[-1]) >= len(self.held[-2]):
+            self.held.append(np.sort(np.concatenate([self.held.pop(), self.held.pop()])))
+        return out
+
+
+def _stretches(text: bytes, size: int) -> Iterator[list[bytes]]:
+    """The lines of ``text`` in order, of about ``size`` bytes at a time, or one longer line."""
+    at = 0
+    while at <= len(text):
+        end = text.rfind(b"\n", at, at + size)
+        if len(text) - at <= size:
+            end = len(text)
+        elif end < 0:
+            end = text.find(b"\n", at + size)
+            end = len(text) if end < 0 else end
+        yield text[at:end].split(b"\n")
+        at = end + 1
+
+
+def windows(text: bytes, size: int = _WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What :func:`line_features` gives, a stretch of the text at a time."""
+    seen = _Seen()
+    last, waits, length = _NO_LINE, np.zeros((0, _PLAIN)), np.zeros(0)
+    begins = True
+    for part in _stretches(text, size):
+        again = seen.again(np.fromiter(map(xxhash.xxh3_64_intdigest, part), np.uint64, len(part)))
+        own = np.array([_line(x, bool(y)) for x, y in zip(part, again, strict=True)], np.float64)
+        if len(waits):
+            yield _with_neighbours(np.concatenate([last, waits, own[:1]]), begins, False), length
+            last, begins = waits[-1:], False
+        waits, length = own, np.array([max(1, len(x)) for x in part], np.float64)
+    yield _with_neighbours(np.concatenate([last, waits, _NO_LINE]), begins, True), length
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -115,6 +179,46 @@ def forward_backward(unary: list[np.ndarray], trans: np.ndarray, weight: np.ndar
     return out, expected, float(logz.sum())
 
 
+def carried(good: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Log-odds of "good" at each line of one chain, given all lines up to it.
+
+    A step multiplies the odds, as a vector, by a matrix.  Lines are cut into stretches of equal
+    length that are gone through together: first their products, then the odds at which each
+    begins, then the odds within.
+    """
+    n = len(good)
+    size = max(1, int(np.sqrt(n)))
+    rows = -(-(n - 1) // size)
+    out = np.zeros(rows * size + 1)
+    out[:n] = good
+    held = out[1:].reshape(rows, size)  # overwritten column by column
+    step = np.exp(trans.T - trans.max())  # to state by from state
+
+    def advance(v: np.ndarray, j: int) -> np.ndarray:
+        """``v``: rows x 2 x any number of columns; states bad, good."""
+        half = np.clip(held[:, j, None] / 2, -300, 300)
+        v = step @ v
+        v[:, 0] *= np.exp(-half)
+        v[:, 1] *= np.exp(half)
+        return v / v.max(axis=(1, 2), keepdims=True)
+
+    product = np.tile(np.eye(2), (rows, 1, 1))
+    for j in range(size):
+        product = advance(product, j)
+    begin = np.empty((rows, 2, 1))
+    half = min(max(good[0] / 2, -300), 300)
+    v = np.array([[np.exp(-half)], [np.exp(half)]])
+    for k in range(rows):
+        begin[k] = v
+        v = product[k] @ v
+        v = v / v.max()
+    tiny = np.finfo(np.float64).tiny
+    for j in range(size):
+        begin = advance(begin, j)
+        held[:, j] = np.log(np.maximum(begin[:, 1, 0], tiny)) - np.log(np.maximum(begin[:, 0, 0], tiny))
+    return out[:n]
+
+
 @dataclass
 class LineField:
     """weights: score of "good" against "bad" for a line; trans: state to state; scale,
@@ -135,14 +239,52 @@ class LineField:
         for k in range(0, len(features), _TOGETHER):
             part = features[k : k + _TOGETHER]
             marginals, _, _ = forward_backward([self._unary(x) for x, _ in part], self.trans)
-            mean = np.array([(m[:, 1] * n).sum() / n.sum() for m, (_, n) in zip(marginals, part, strict=True)])
-            mean = np.clip(mean, 1e-6, 1 - 1e-6)
-            out[k : k + _TOGETHER] = np.log(mean / (1 - mean))
+            out[k : k + _TOGETHER] = [_log_odds((m[:, 1] * n).sum() / n.sum()) for m, (_, n) in zip(marginals, part, strict=True)]
         return out
 
+    def mean_of_long(self, text: bytes) -> float:
+        """As :meth:`means`, for one text, with some numbers a line in place of all features."""
+        made = [(x @ self.weights, n.astype(np.float32)) for x, n in windows(text)]
+        good, n = np.concatenate([x for x, _ in made]), np.concatenate([x for _, x in made])
+        del made
+        odds = carried(good, self.trans)
+        odds += carried(good[::-1], self.trans.T)[::-1]
+        odds -= good
+        total = 0.0
+        for k in range(0, len(odds), 1 << 20):
+            total += float((n[k : k + (1 << 20)].astype(np.float64) / (1 + np.exp(-np.clip(odds[k : k + (1 << 20)], -700, 700)))).sum())
+        return _log_odds(total / float(n.sum(dtype=np.float64)))
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        features = [line_features(t) for t in texts]
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.means(features) + self.shift, -500, 500)))
+        found = np.empty(len(texts))
+        held: list[int] = []
+        features: list[tuple[np.ndarray, np.ndarray]] = []
+        lines = 0
+
+        def settle() -> None:
+            if held:
+                found[held] = self.means(features)
+                held.clear()
+                features.clear()
+
+        for i, text in enumerate(texts):
+            count = text.count(b"\n") + 1
+            if count > _LONG:
+                found[i] = self.mean_of_long(text)
+                continue
+            if lines + count > _LINES:
+                settle()
+                lines = 0
+            held.append(i)
+            features.append(line_features(text))
+            lines += count
+        settle()
+        return 1 / (1 + np.exp(-np.clip(self.scale * found + self.shift, -500, 500)))
+
+
+def _log_odds(mean: float) -> float:
+    mean = min(max(mean, 1e-6), 1 - 1e-6)
+    return float(np.log(mean / (1 - mean)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
