@@ -28,7 +28,7 @@ def test_windows_give_the_features_of_the_whole(n, size):
     want, lengths = quality.line_features(text)
     got = list(quality.windows(text, size))
     assert np.array_equal(np.concatenate([x for x, _ in got]), want) and np.array_equal(np.concatenate([x for _, x in got]), lengths)
-    assert abs(field().means([(want, lengths)])[0] - field().mean_of_long(text)) < 1e-9
+    assert abs(field().means([(want, lengths)])[0] - field().mean_of_long(text)) < 1e-7  # sums of logarithms over all lines lose some digits
 
 
 def test_long_and_short_texts_together(monkeypatch):
