@@ -34,7 +34,7 @@ MAX_DOCS, MAX_LINES = 4000, 200_000
 #: Documents, and lines of all of them, that one forward-backward pass holds together.
 _TOGETHER, _LINES = 512, 100_000
 #: Lines beyond which a text is scored by itself, and bytes whose lines get features at once then.
-_LONG, _WINDOW = 20_000, 1 << 18
+_LONG, _WINDOW = 20_000, 1 << 16
 _LOWER = bytes(range(97, 123))
 _UPPER = bytes(range(65, 91))
 _DIGIT = bytes(range(48, 58))
