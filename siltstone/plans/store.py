@@ -125,9 +125,9 @@ class ChunkStore:
         dealt = rows.select(*COLUMNS, bucket().alias("b")).hint("rebalance", "b").sortWithinPartitions("b", "path")
         dealt.write.partitionBy("b").parquet(f"{folder}/rows-{tag}")
         stored = self.spark.read.schema(f"{SCHEMA}, b int").parquet(f"{folder}/rows-{tag}")
-        S.write_index(stored, f"{folder}/index-{tag}", "b")
+        S.write_index(stored, f"{folder}/index-{tag}", "b", BUCKETS)
         index = self.spark.read.schema(f"{S.INDEX}, b int").parquet(f"{folder}/index-{tag}")
-        tokens = {r["b"]: r["n"] for r in index.groupBy("b").agg(F.sum("tf").alias("n")).collect()}  # BUCKETS rows
+        tokens = {r["b"]: r["n"] for r in index.groupBy("b").agg(S.tokens_of().alias("n")).collect()}  # BUCKETS rows
         buckets = {} if touched is None else {k: v for k, v in state["buckets"].items() if int(k) not in touched}
         for r in stored.groupBy("b").count().collect():
             b = r["b"]
