@@ -10,9 +10,9 @@ proposed pair is compared shingle by shingle, so what is linked is alike without
 Texts that share a key are a group, and which of them are linked is settled for every group: until
 all its texts are connected or have been compared.  First, a few keys at a time, one text of each
 connected part of a group is compared with one centre, which settles most groups of copies in
-linear work.  Where a group is still in several parts, its texts are compared with one, two,
-four, ... of them in turn, but for those that are connected by then.  A group that is not settled
-after ``MOST`` centres is cut by what its texts have in common: by the shingles that are rarest
+linear work.  Where a group is still in several parts, its texts are compared with ``CENTRES`` of
+them and then with ``TIMES`` as many in turn, but for those that are connected by then.  A group
+that is not settled after rounds of ``MOST`` centres is cut by what its texts have in common: by the shingles that are rarest
 in the group, a fifth of each text's and one more, of which two alike texts share one at least.
 """
 
@@ -38,7 +38,9 @@ RADIUS = 3
 #: Keys of a text, and least values that a key is made of.
 BANDS, ROWS = 24, 6
 #: Keys that are gone through at once, and centres of a group after which it is cut.
-KEYS, MOST = 8, 64
+KEYS, MOST = 12, 32
+#: Centres of a group at first, and how many times more in each round.
+CENTRES, TIMES = 4, 8
 #: Bits of the bitmaps that sift proposed pairs.
 BITS = 2048
 
@@ -184,7 +186,7 @@ def _settled(groups: DataFrame, found: DataFrame, roots: DataFrame, compare: Cal
     """``found`` and ``roots`` with the links that are missing until each two texts of a group of ``groups``
     (h, key) are connected or have been compared.  ``cut``: groups in place of one that would take
     many centres; without it centres go on until none is left."""
-    centres = 1
+    centres = CENTRES
     while True:
         rooted = groups.join(roots, "key").select("h", "key", "root")
         apart = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
@@ -198,7 +200,7 @@ def _settled(groups: DataFrame, found: DataFrame, roots: DataFrame, compare: Cal
         more = compare(rooted.join(first, "h").where("root <> to").select("a", F.col("key").alias("b")))
         found, roots = found.unionByName(more), _merged(roots, more)
         groups = rooted.join(first.select("h", F.col("a").alias("key")), ["h", "key"], "left_anti").select("h", "key")
-        centres *= 2
+        centres *= TIMES
 
 
 def _cut(rooted: DataFrame, texts: DataFrame) -> DataFrame:
