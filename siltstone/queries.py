@@ -17,6 +17,7 @@ from .functions import text as T
 from .functions import vector as V
 from .operators import chunk as C
 from .operators import search as S
+from .operators import vector_index as X
 from .operators.code import code_chunks
 from .operators.embed import HashingEmbedder, embed, truncate
 from .plans import jobs as J
@@ -102,6 +103,17 @@ def lexical(spark: SparkSession, sf_dir: str) -> S.Lexical:
     return _indexes[key]
 
 
+_vector_indexes: dict[tuple[str, str], X.VectorIndex] = {}
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> X.VectorIndex:
+    """The stored index of ``embeddings``, written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _vector_indexes:
+        _vector_indexes[key] = X.build(vectors(spark, sf_dir), scratch(spark, "vectors"))
+    return _vector_indexes[key]
+
+
 def r6(x) -> F.Column:
     return F.round(x, 6)
 
@@ -244,7 +256,7 @@ _COS = "list_cosine_similarity(a.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 SELECT CAST(row_number() OVER (ORDER BY round(1 - s, 12), id) AS INT) AS rank, id, round(greatest(0.0, s), 6) AS score
 FROM (SELECT a.vec_id AS id, {_COS} AS s FROM embeddings a, embeddings q WHERE q.vec_id = 0) ORDER BY rank LIMIT 10""")
 def vector_topk(spark, sf_dir):
-    found = S.vector_topk(vectors(spark, sf_dir), query_vectors(spark, sf_dir).where("qid = 0"), 10)
+    found = vector_index(spark, sf_dir).search(query_vectors(spark, sf_dir).where("qid = 0"), 10)
     return found.select("rank", "id", r6("score").alias("score"))
 
 
@@ -256,13 +268,13 @@ FROM embeddings a, embeddings q WHERE q.vec_id % 100 = 0 {{where}}) WHERE rank <
 
 @query("vector_topk_batch", _VBATCH.format(where=""))
 def vector_topk_batch(spark, sf_dir):
-    found = S.vector_topk(vectors(spark, sf_dir), query_vectors(spark, sf_dir), 10)
+    found = vector_index(spark, sf_dir).search(query_vectors(spark, sf_dir), 10)
     return found.select("qid", "rank", "id", r6("score").alias("score"))
 
 
 @query("vector_filtered_topk", _VBATCH.format(where="AND a.label = 1"))
 def vector_filtered_topk(spark, sf_dir):
-    found = S.vector_topk(vectors(spark, sf_dir).where("label = 1"), query_vectors(spark, sf_dir), 10)
+    found = vector_index(spark, sf_dir).where("label = 1").search(query_vectors(spark, sf_dir), 10)
     return found.select("qid", "rank", "id", r6("score").alias("score"))
 
 
@@ -290,7 +302,7 @@ FROM r LEFT JOIN documents d ON d.doc_id = r.id WHERE r.rank <= 8""")
 def hybrid_rrf_topk(spark, sf_dir):
     asked = query_batch(spark, sf_dir)
     near = vectors(spark, sf_dir).select(F.col("id").alias("qid"), "vector").join(asked.select("qid"), "qid", "left_semi")
-    found = S.hybrid_topk(corpus(spark, sf_dir), asked, vectors(spark, sf_dir), near, 8, lexical(spark, sf_dir))
+    found = S.hybrid_topk(corpus(spark, sf_dir), asked, vector_index(spark, sf_dir), near, 8, lexical(spark, sf_dir))
     return found.select("qid", "rank", "id", "rrf_score", r6("score").alias("score"), F.substring("doc", 1, 400).alias("preview"))
 
 
