@@ -200,7 +200,7 @@ class ChunkStore:
         return rows if limit is None else rows.orderBy("id").limit(limit)
 
     def count(self, collection: str) -> int:
-        return self.read(collection).count()
+        return sum(v["n"] for v in self._state(collection)["buckets"].values())
 
     def paths(self, collection: str) -> DataFrame:
         return self.read(collection).where("path IS NOT NULL AND path <> ''").select("path").distinct()

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -24,6 +24,8 @@ from .store import BUCKETS, ChunkStore
 
 log = logging.getLogger(__name__)
 _ERRORS = "path string, stage string, exc_type string, message string"
+#: Ranges of path hashes that a level of digests has.
+RANGES = 1024
 MANIFEST = "path string, mtime_ns long, size long"
 #: Files that a full ingest stores before it saves the manifest and may be stopped.
 FLUSH_FILES = 20_000
@@ -33,16 +35,43 @@ Progress = Callable[[str, dict], None]
 # -- plans ----------------------------------------------------------------------
 
 
+def _range(n: int) -> Column:
+    return F.pmod(F.xxhash64("path"), F.lit(n))
+
+
+def _unequal(current: DataFrame, previous: DataFrame, ranges: int) -> DataFrame:
+    """(r): ranges of path hashes whose rows differ, by digests of all rows of a range."""
+
+    def digests(rows: DataFrame) -> DataFrame:
+        row = F.xxhash64("path", "mtime_ns", F.col("mtime_ns").isNull(), "size", F.col("size").isNull())
+        made = rows.select(_range(ranges).alias("r"), row.alias("h"))
+        return made.groupBy("r").agg(F.struct(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.pmod("h", F.lit(1 << 32))).alias("s")).alias("d"))
+
+    both = digests(current).join(digests(previous).withColumnRenamed("d", "e"), "r", "full_outer")
+    return both.where(~F.col("d").eqNullSafe(F.col("e"))).select("r")
+
+
 def diff(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """(path, change) with change ``new``, ``changed``, ``deleted`` or ``same``: one full
-    outer join of the snapshot and the manifest on the path."""
-    a = current.select("path", F.struct("mtime_ns", "size").alias("now"))
-    b = previous.select("path", F.struct("mtime_ns", "size").alias("then"))
+    """(path, change) with change ``new``, ``changed``, ``deleted`` or ``same``.
+
+    A tree of digests over ranges of path hashes says where the snapshot and the manifest differ:
+    first over ``RANGES``, then over as many within each of those that differ.  Only rows of ranges
+    that differ are joined on the path; of a tree that is as it was nothing but digests is shuffled.
+    """
+    top = [r["r"] for r in _unequal(current, previous, RANGES).collect()]  # RANGES numbers at most
+    if not top:
+        return current.select("path", F.lit("same").alias("change"))
+    within = lambda rows: rows.where(_range(RANGES).isin(top)) if len(top) < RANGES else rows
+    leaves = F.broadcast(_unequal(within(current), within(previous), RANGES * RANGES))  # RANGES squared numbers at most
+    leaf = lambda rows, how: rows.withColumn("r", _range(RANGES * RANGES)).join(leaves, "r", how)
+    a = leaf(within(current), "left_semi").select("path", F.struct("mtime_ns", "size").alias("now"))
+    b = leaf(within(previous), "left_semi").select("path", F.struct("mtime_ns", "size").alias("then"))
     change = (
         F.when(F.col("then").isNull(), "new").when(F.col("now").isNull(), "deleted")
         .when(F.col("now").eqNullSafe(F.col("then")), "same").otherwise("changed")
     )
-    return a.join(b, "path", "full_outer").select("path", change.alias("change"))
+    joined = a.join(b, "path", "full_outer").select("path", change.alias("change"))
+    return joined.unionByName(leaf(current, "left_anti").select("path", F.lit("same").alias("change")))
 
 
 def change_counts(changes: DataFrame) -> DataFrame:

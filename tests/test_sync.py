@@ -288,3 +288,28 @@ def test_finished_jobs_are_bounded(spark):
 
 def test_drive_paths():
     assert tree.local_path("C:\\src\\x") == "/mnt/c/src/x" and tree.local_path("/a/b") == "/a/b" and tree.local_path("d:/q", "/m") == "/m/d/q"
+
+
+def test_difference_by_digests(spark):
+    import random
+
+    from siltstone.plans import sync as Y
+
+    rng = random.Random(4)
+    rows = [(f"d{i % 7}/f{i}", rng.choice([i, None]), rng.choice([i, None])) for i in range(3000)]
+    then = dict((p, (m, s)) for p, m, s in rows)
+    now = dict(then)
+    for p in rng.sample(sorted(now), 6):
+        del now[p]
+    for p in rng.sample(sorted(now), 7):
+        now[p] = (now[p][1], 99)
+    now |= {"new/a": (1, 2), "new/b": (None, None)}
+    table = lambda x: spark.createDataFrame([(p, *v) for p, v in x.items()], Y.MANIFEST)
+    want = {p: "new" if p not in then else "deleted" if p not in now else "same" if now[p] == then[p] else "changed" for p in then | now}
+    got = Y.diff(table(now), table(then)).collect()
+    assert {r.path: r.change for r in got} == want and len(got) == len(want)
+    same = Y.diff(table(then), table(then))
+    assert "Exchange" not in same._jdf.queryExecution().executedPlan().toString()  # digests were all that was shuffled
+    assert {r.change for r in same.collect()} == {"same"} and same.count() == 3000
+    assert {r.change for r in Y.diff(table(now), table({})).collect()} == {"new"}
+    assert {r.change for r in Y.diff(table({}), table(now)).collect()} == {"deleted"}
