@@ -138,10 +138,11 @@ class Engine:
         """Rows of (text, id, metadata, collection); what is not a known field goes to extra."""
         if not items or not all(isinstance(x, dict) and isinstance(x.get("text"), str) for x in items):
             raise ValueError("every item needs a text")
-        _, store = self._store(key)
+        project, store = self._store(key)
+        ours = {"repo_root": tree.local_path(project.project_root), "project": project.key}  # where an item does not say
         by: dict[str, list[tuple]] = {}
         for n, x in enumerate(items):
-            meta = x.get("metadata") or {}
+            meta = ours | {k: v for k, v in (x.get("metadata") or {}).items() if k not in ours or v is not None}
             known = tuple(None if meta.get(c) is None else str(meta[c]) for c in K.META)
             extra = {str(k): str(v) for k, v in meta.items() if k not in K.META and v is not None}
             by.setdefault(x.get("collection") or "docs", []).append((n, x.get("id") or str(uuid.uuid4()), x["text"], *known, extra))

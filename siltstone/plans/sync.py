@@ -207,9 +207,17 @@ class Sync:
             return self.spark.createDataFrame([], _ERRORS)
         return self.spark.read.schema(_ERRORS).parquet(place)
 
-    def _note_errors(self, collection: str, files: DataFrame) -> int:
+    def _note_errors(self, collection: str, files: DataFrame, touched: DataFrame | None = None) -> int:
+        """Replace what is known of the ``touched`` paths (None: of all) by what fails in ``files``; a
+        file that failed before stays listed until it is read again or gone."""
         python = files.where("lower(path) LIKE '%.py'")
-        code_errors(tree.read_contents(python, self.root, self.cap)).write.mode("overwrite").parquet(self._side(collection, "errors"))
+        found = code_errors(tree.read_contents(python, self.root, self.cap))
+        if touched is not None:
+            found = found.unionByName(self.errors(collection).join(touched.select("path"), "path", "left_anti"))
+        beside = self._side(collection, "errors-next")
+        found.write.mode("overwrite").parquet(beside)  # it reads the table that it replaces
+        self.spark.read.schema(_ERRORS).parquet(beside).write.mode("overwrite").parquet(self._side(collection, "errors"))
+        self.files.delete(beside)
         found = self.errors(collection)
         for r in found.limit(20).collect():
             log.warning("[WARN] symbol=%s stage=%s message=%s exc=%s", r["path"], r["stage"], r["message"], r["exc_type"])
@@ -228,6 +236,7 @@ class Sync:
         self.store.upsert(collection, self._items(collection, now), replace, asked)
         kept = self.manifest(collection).join(asked, "path", "left_anti")
         self.save_manifest(collection, kept.unionByName(now))
+        self._note_errors(collection, now, asked)
         return self.store.read(collection).join(asked, "path", "left_semi").count()
 
     def run(self, collection: str = "code", *, includes: list[str] | None = None, limit: int | None = None, force_full: bool = False) -> Report:
@@ -316,7 +325,7 @@ class Sync:
         rest = now if keep is None else keep.join(now.select("path"), "path", "left_anti").unionByName(now)
         self.save_manifest(collection, rest)
         self._count(collection, fresh, report)
-        report.errors = self._note_errors(collection, fresh)
+        report.errors = self._note_errors(collection, fresh, touched)
         self.progress("upsert_batch", {"written": report.files, "total": report.seen, "chunks": report.chunks})
 
 

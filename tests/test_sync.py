@@ -313,3 +313,33 @@ def test_difference_by_digests(spark):
     assert {r.change for r in same.collect()} == {"same"} and same.count() == 3000
     assert {r.change for r in Y.diff(table(now), table({})).collect()} == {"new"}
     assert {r.change for r in Y.diff(table({}), table(now)).collect()} == {"deleted"}
+
+
+def test_failures_stay_listed_until_the_file_is_mended_or_gone(spark, tmp_path):
+    root = str(tmp_path / "proj")
+    put(root, "a.py", "def f(:\n")
+    put(root, "b.py", "x = 1\n")
+    engine = Engine(spark, str(tmp_path / "s"))
+    key = engine.register_project(root).key
+
+    def listed():
+        engine.ingest_project(key, wait=True)
+        return sorted(r.path for r in engine.ingest_errors(key).collect())
+
+    assert listed() == ["a.py"]
+    put(root, "d.py", "class :\n")
+    assert listed() == ["a.py", "d.py"]  # a.py was not read again
+    put(root, "a.py", "def f(): pass\n")
+    assert listed() == ["d.py"]
+    os.remove(f"{root}/d.py")
+    assert listed() == []
+
+
+def test_items_belong_to_their_project(spark, tmp_path):
+    root = str(tmp_path / "proj")
+    put(root, "a.md", "text")
+    engine = Engine(spark, str(tmp_path / "s"))
+    key = engine.register_project(root).key
+    engine.ingest_items(key, [{"text": "z", "id": "1"}, {"text": "y", "id": "2", "metadata": {"project": "other", "repo_root": None}}])
+    _, store = engine._store(key)
+    assert sorted((r.id, r.project, r.repo_root) for r in store.read("docs").collect()) == [("1", key, root), ("2", "other", root)]
