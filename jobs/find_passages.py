@@ -47,8 +47,9 @@ def run(spark: SparkSession, settings: Settings) -> dict[str, int]:
     asked = spark.read.parquet(settings["questions"]).select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("text"))
     pieces = passages(docs, settings)
     found = S.bm25_topk(pieces.select("id", "text"), asked, settings["candidates"])
-    # A join by id in place of a second search: only texts of found passages go further.
-    hits = found.join(pieces.withColumnRenamed("text", "doc"), "id")
+    # A join by id in place of a second search: only texts of found passages go further, and none is shuffled for it.
+    n_hits = settings["candidates"] * S.bounded(asked, S.BROADCAST_HITS)
+    hits = S.maybe_broadcast(found, n_hits, S.BROADCAST_HITS).join(pieces.withColumnRenamed("text", "doc"), "id")
     ranked = S.rerank_lexical(asked, hits).where(F.col("new_rank") <= settings["k"])
     out = ranked.select(
         "qid", F.col("new_rank").alias("rank"), F.col("rank").alias("bm25_rank"), F.round("score", 6).alias("score"), "overlap", "id", "doc_id",
