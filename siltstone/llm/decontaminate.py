@@ -1,4 +1,5 @@
-"""Benchmark decontamination over a positional inverted index, in DataFrame functions only.
+"""Benchmark decontamination over a positional inverted index, in DataFrame functions only; the search
+for words that stand near each other looks documents through in Arrow batches.
 
 The index stores a posting (term, doc_id, tag, pos) for every word of the corpus.  It is built
 in one pass without a shuffle: each task's documents are a shard whose postings are sorted by
@@ -18,11 +19,16 @@ windows it carries.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fits, fresh, materialize, small, temporary
+from .common import fits, fresh, materialize, slices, small, temporary
 
 WINDOW = 10
 #: Rarest terms of a window whose lists must agree before the others are read.
@@ -235,30 +241,95 @@ def proximity_hits(index: DataFrame, phrases: DataFrame, slop: int, limit: int |
 
     ``index``: of :func:`build_index`; ``phrases``: (phrase_id, text).  ``pos`` is each position
     of a phrase's rarest word for which every other word of it occurs at most ``slop`` words
-    away, in any order.  Lists are intersected from the rarest word on, so a common word's list
-    meets only documents that the rarest one left.  A repeated word of a phrase counts once.
+    away, in any order.  Of the index only the asked words are read; they are brought together by document
+    once, however many phrases ask for them.  A repeated word of a phrase counts once.
     """
-    listed = phrases.select("phrase_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    listed, terms = _asked(phrases)
+    held = index.join(small(terms, limit), "term", "left_semi").groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(F.struct("pos", "term"))).alias("p"))
+    rows = held.select("doc_id", "tag", F.col("p.term").alias("words"), F.col("p.pos").alias("at"))
+    found = _near(rows, listed.join(term_frequency(index, terms), "term"), slop)
+    return found.select("doc_id", "tag", "phrase_id", F.explode("places").alias("pos"))
+
+
+def _asked(phrases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(phrase_id, term) and (term), stored."""
+    listed = phrases.select("phrase_id", F.explode(words(F.col("text"))).alias("term")).distinct()
     listed = materialize(listed, "near-terms")
-    freq = term_frequency(index, materialize(listed.select("term").distinct(), "near-distinct"))
+    return listed, materialize(listed.select("term").distinct(), "near-distinct")
+
+
+#: Words of phrases that one pass takes, about, and documents that are looked through at once.
+PASS_WORDS, AT_ONCE = 50_000, 4096
+
+
+def _near(rows: DataFrame, listed: DataFrame, slop: int) -> DataFrame:
+    """(doc_id, tag, phrase_id, places) for each of ``rows`` (doc_id, tag, words[, at]) and phrase whose words
+    stand together; ``listed``: (phrase_id, term, freq).  ``at``: where the words stand, by default one after another.
+
+    A document is looked through within its row: nothing is shuffled, and no row is made of a place and a phrase.
+    Phrases go in passes of some ``PASS_WORDS`` words.
+    """
     rank = F.row_number().over(Window.partitionBy("phrase_id").orderBy("freq", "term"))
-    ranked = materialize(listed.join(freq, "term").withColumn("rank", rank), "near-rank")
-    key = ["doc_id", "tag", "phrase_id"]
-    rarest = materialize(ranked.where("rank = 1").select("term", "phrase_id"), "near-rarest")
-    places = materialize(lists_of(index, rarest, limit).select(*key, "pos"), "near-places")
-    lengths = ranked.groupBy("phrase_id").agg(F.max("rank").alias("n"))
-    others = materialize(ranked.where("rank > 1").select("term", "phrase_id", "rank"), "near-others")
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")) & (F.col("phrase_id") == F.col("p"))
-    left = small(materialize(places.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), F.col("phrase_id").alias("p")).distinct(), "near-docs"), limit)
-    other = lists_of(index, others, limit).join(left, same, "left_semi")
-    near = other.select(
-        F.col("doc_id").alias("d"), F.col("tag").alias("t"), F.col("phrase_id").alias("p"), "rank", F.col("pos").alias("q"),
-        F.explode(F.sequence(F.floor(F.col("pos") / (slop + 1)) - 1, F.floor(F.col("pos") / (slop + 1)) + 1)).alias("cell"),
-    )
-    mine = places.distinct().withColumn("cell", F.floor(F.col("pos") / (slop + 1)))
-    met = mine.join(near, same & (mine["cell"] == near["cell"]) & (F.abs(F.col("pos") - F.col("q")) <= slop), "left")
-    counted = met.groupBy(*key, "pos").agg(F.count_distinct("rank").alias("others")).join(lengths, "phrase_id")
-    return counted.where(F.col("others") == F.col("n") - 1).select(*key, "pos")
+    ranked = materialize(listed.withColumn("rank", rank), "near-rank")
+    n = ranked.count()
+    passes = 1 if n <= PASS_WORDS else -(-2 * n // PASS_WORDS)
+    found = None
+    for k in range(passes):
+        some = ranked if passes == 1 else ranked.where(F.pmod(F.xxhash64("phrase_id"), F.lit(passes)) == k)
+        part = _near_pass(rows, some, slop)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _near_pass(rows: DataFrame, ranked: DataFrame, slop: int) -> DataFrame:
+    asked = ranked.select("phrase_id", "term", "rank").toArrow()  # of one pass
+    who = asked.column("phrase_id").combine_chunks().dictionary_encode(null_encoding="encode")
+    what = asked.column("term").combine_chunks().dictionary_encode()
+    names, vocabulary = who.dictionary, what.dictionary
+    order = np.lexsort((asked.column("rank").to_numpy(), who.indices.to_numpy()))
+    terms = np.split(what.indices.to_numpy()[order], np.cumsum(np.bincount(who.indices.to_numpy(), minlength=len(names)))[:-1])  # rarest first
+    rarest = np.array([x[0] for x in terms if len(x)], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, AT_ONCE):
+            listed = b.column("words")
+            size = pa.compute.list_value_length(listed).fill_null(0).to_numpy().astype(np.int64)
+            first = np.cumsum(size) - size
+            at = np.arange(size.sum()) - np.repeat(first, size) if "at" not in b.schema.names else b.column("at").flatten().to_numpy().astype(np.int64)
+            # Documents lie one after another on a line, so far apart that no stretch reaches from one to the next.
+            room = np.zeros(b.num_rows, np.int64)
+            np.maximum.at(room, np.repeat(np.arange(b.num_rows), size), at + 1)
+            start = np.cumsum(room + slop + 1) - (room + slop + 1)
+            term = pa.compute.index_in(pa.compute.ascii_lower(listed.flatten()), value_set=vocabulary).fill_null(-1).to_numpy()
+            on = np.flatnonzero(term >= 0)
+            place = (at + np.repeat(start, size))[on]
+            by = np.lexsort((place, term[on]))
+            place, ends = place[by], np.cumsum(np.bincount(term[on], minlength=len(vocabulary)))
+            stand = np.split(place, ends[:-1]) if len(vocabulary) else []
+            docs, which, places = [], [], []
+            for p in np.flatnonzero(np.diff(ends, prepend=0)[rarest]):
+                mine = stand[terms[p][0]]
+                for t in terms[p][1:]:
+                    other = stand[t]
+                    if not len(mine) or not len(other):
+                        mine = mine[:0]
+                        break
+                    near = np.searchsorted(other, mine - slop)
+                    mine = mine[(near < len(other)) & (other[np.minimum(near, len(other) - 1)] <= mine + slop)]
+                if len(mine):
+                    doc = np.searchsorted(start, mine, side="right") - 1
+                    docs.append(doc)
+                    which.append(np.full(len(mine), p))
+                    places.append(mine - start[doc])
+            if docs:
+                doc, p, pos = np.concatenate(docs), np.concatenate(which), np.concatenate(places).astype(np.int32)
+                new = np.flatnonzero(np.diff(doc, prepend=-1) | np.diff(p, prepend=-1))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(doc)).astype(np.int32)), pa.array(pos))
+                columns = [b.column("doc_id").take(pa.array(doc[new])), b.column("tag").take(pa.array(doc[new])), names.take(pa.array(p[new])), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "phrase_id", "places"])
+
+    kind = lambda df, name: df.schema[name].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind(rows, 'doc_id')}, tag long, phrase_id {kind(ranked, 'phrase_id')}, places array<int>")
 
 
 #: Of the registered proximity query: words of an item that are looked for, and their stretch.
@@ -271,8 +342,14 @@ def loose_openings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     taken by id; nulls are left out."""
     opening = F.array_join(F.slice(words(F.col("text")), 1, OPENING), " ")
     asked = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").alias("phrase_id"), opening.alias("text"))
-    found = proximity_hits(build_index(docs.where("doc_id IS NOT NULL")), asked, SLOP)
-    return found.groupBy(F.col("phrase_id").alias("item_id"), "doc_id").agg(F.count("*").alias("n_places"))
+    listed, terms = _asked(asked)
+    docs = docs.where("doc_id IS NOT NULL")
+    freq = term_frequency(docs.select(F.explode_outer(_split(F.col("text"))).alias("word")).select(_lowered(F.col("word")).alias("term")), terms)
+    rows = docs.select("doc_id", _tag().alias("tag"), _split(F.col("text")).alias("words"))
+    found = _near(rows, listed.join(freq, "term"), SLOP)
+    # Rows equal in id and text are one document.
+    once = found.groupBy("phrase_id", "doc_id", "tag").agg(F.max(F.size("places")).alias("n"))
+    return once.groupBy(F.col("phrase_id").alias("item_id"), "doc_id").agg(F.sum("n").alias("n_places"))
 
 
 ORACLE = r"""
