@@ -204,21 +204,22 @@ def _settled(groups: DataFrame, found: DataFrame, roots: DataFrame, compare: Cal
 
 
 def _cut(rooted: DataFrame, texts: DataFrame) -> DataFrame:
-    """(h, key): for each group of ``rooted`` (h, key), groups of the texts that have one of their
+    """(h, key): in place of the groups of ``rooted`` (h, key), groups of the texts that have one of their
     rarest shingles in common.  Of n shingles of a text at most a fifth are missing in one alike,
-    so by any order that both share, each has one of the other's among its first n / 5 and one."""
+    so by any order that both share, each has one of the other's among its first n / 5 and one.
+    One order serves all groups, so a text has its rarest shingles once, however many groups it is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([_hashes(t) for t in utf8_list(b.column("text"))], pa.list_(pa.int64()))], ["key", "e"])
 
     held = texts.join(rooted.select("key").distinct(), "key", "left_semi").select("key", "text").mapInArrow(run, "key long, e array<long>")
-    rows = materialize(rooted.select("h", "key").join(held, "key").select("h", "key", F.size("e").alias("n"), F.explode("e").alias("e")), "copies-shingles")
-    often = rows.groupBy("h", "e").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("h", "key").orderBy("df", "e"))
+    rows = materialize(held.select("key", F.size("e").alias("n"), F.explode("e").alias("e")), "copies-shingles")
+    often = rows.groupBy("e").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("df", "e"))
     ratio = SIMILARITY.denominator - SIMILARITY.numerator, SIMILARITY.denominator
-    first = rows.join(often, ["h", "e"]).withColumn("place", place).where(F.col("place") <= F.floor(F.col("n") * ratio[0] / ratio[1]) + 1)
-    return materialize(first.where("df > 1").select(F.xxhash64("h", "e").alias("h"), "key").distinct(), "copies-cut")
+    first = rows.join(often, "e").withColumn("place", place).where(F.col("place") <= F.floor(F.col("n") * ratio[0] / ratio[1]) + 1)
+    return materialize(first.where("df > 1").select(F.col("e").alias("h"), "key"), "copies-cut")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
