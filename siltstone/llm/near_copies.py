@@ -10,10 +10,11 @@ proposed pair is compared shingle by shingle, so what is linked is alike without
 Texts that share a key are a group, and which of them are linked is settled for every group: until
 all its texts are connected or have been compared.  First, a few keys at a time, one text of each
 connected part of a group is compared with one centre, which settles most groups of copies in
-linear work.  Where a group is still in several parts, its texts are compared with ``CENTRES`` of
-them and then with ``TIMES`` as many in turn, but for those that are connected by then.  A group
-that is not settled after rounds of ``MOST`` centres is cut by what its texts have in common: by the shingles that are rarest
-in the group, a fifth of each text's and one more, of which two alike texts share one at least.
+linear work.  Of a group that is still in several parts, all pairs of different parts are compared
+if it has ``MOST`` texts or fewer.  Texts of larger groups are cut by what they have in common: by
+the shingles that are rarest among them, a fifth of each text's and one more, of which two alike
+texts share one at least.  A shingle proposes a pair only where as many follow it in both as the
+two must share, and texts are dealt by length first, so what is like in part only hardly meets.
 """
 
 from __future__ import annotations
@@ -37,10 +38,10 @@ SHINGLE, SIMILARITY, SEED = 5, Fraction(4, 5), 43
 RADIUS = 3
 #: Keys of a text, and least values that a key is made of.
 BANDS, ROWS = 24, 6
-#: Keys that are gone through at once, and centres of a group after which it is cut.
-KEYS, MOST = 12, 32
-#: Centres of a group at first, and how many times more in each round.
-CENTRES, TIMES = 4, 8
+#: Keys that are gone through at once, and texts of a group that is compared outright; larger ones are cut.
+KEYS, MOST = 12, 8
+#: Ratio of lengths (in shingles) of one class of lengths in a cut.
+LENGTHS = 1.1
 #: Bits of the bitmaps that sift proposed pairs.
 BITS = 2048
 
@@ -169,7 +170,7 @@ def linked(texts: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame
         more = compare(parts.join(centres, "h").select("a", F.col("key").alias("b")))
         found, roots = found.unionByName(more), _merged(roots, more)
     groups = printed.select("key", F.explode("bands").alias("h"))
-    return _settled(groups, found, roots, compare, lambda groups: _cut(groups, texts))
+    return _settled(groups, found, roots, compare, texts)
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -182,30 +183,26 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(roots.join(joined, "root", "left").select("key", F.coalesce("to", "root").alias("root")), "copies-roots")
 
 
-def _settled(groups: DataFrame, found: DataFrame, roots: DataFrame, compare: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame] | None) -> tuple[DataFrame, DataFrame]:
+def _settled(groups: DataFrame, found: DataFrame, roots: DataFrame, compare: Callable[[DataFrame], DataFrame], texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``found`` and ``roots`` with the links that are missing until each two texts of a group of ``groups``
-    (h, key) are connected or have been compared.  ``cut``: groups in place of one that would take
-    many centres; without it centres go on until none is left."""
-    centres = CENTRES
-    while True:
-        rooted = groups.join(roots, "key").select("h", "key", "root")
-        apart = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-        rooted = materialize(rooted.join(apart, "h", "left_semi"), "copies-groups")
-        if rooted.isEmpty():
-            return found, roots
-        if cut is not None and centres > MOST:
-            return _settled(cut(rooted), found, roots, compare, None)
-        place = F.row_number().over(Window.partitionBy("h").orderBy("key"))
-        first = materialize(rooted.withColumn("place", place).where(F.col("place") <= centres).select("h", F.col("key").alias("a"), F.col("root").alias("to")), "copies-centres")
-        more = compare(rooted.join(first, "h").where("root <> to").select("a", F.col("key").alias("b")))
-        found, roots = found.unionByName(more), _merged(roots, more)
-        groups = rooted.join(first.select("h", F.col("a").alias("key")), ["h", "key"], "left_anti").select("h", "key")
-        centres *= TIMES
+    (h, key) are connected or have been compared, or cannot be alike by their lengths and rarest shingles."""
+    rooted = groups.join(roots, "key").select("h", "key", "root")
+    apart = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("h", "n")
+    rooted = materialize(rooted.join(apart, "h"), "copies-groups")
+    if rooted.isEmpty():
+        return found, roots
+    few, many = (rooted.where(F.col("n") <= MOST), rooted.where(F.col("n") > MOST))
+    ends = [few.select("h", F.col("key").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
+    pairs = ends[0].join(ends[1], "h").where("a < b AND root_a <> root_b").select("a", "b")
+    if not many.isEmpty():
+        pairs = pairs.unionByName(_met(_cut(many, texts), roots))
+    more = compare(pairs)
+    return found.unionByName(more), _merged(roots, more)
 
 
 def _cut(rooted: DataFrame, texts: DataFrame) -> DataFrame:
-    """(h, key): in place of the groups of ``rooted`` (h, key), groups of the texts that have one of their
-    rarest shingles in common.  Of n shingles of a text at most a fifth are missing in one alike,
+    """(h, key, n, place): in place of the groups of ``rooted`` (h, key), groups of the texts that have one of
+    their rarest shingles in common; a text has ``n``, and the one of the group is its ``place``-th by rarity.  Of n shingles of a text at most a fifth are missing in one alike,
     so by any order that both share, each has one of the other's among its first n / 5 and one.
     One order serves all groups, so a text has its rarest shingles once, however many groups it is in."""
 
@@ -219,7 +216,33 @@ def _cut(rooted: DataFrame, texts: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("key").orderBy("df", "e"))
     ratio = SIMILARITY.denominator - SIMILARITY.numerator, SIMILARITY.denominator
     first = rows.join(often, "e").withColumn("place", place).where(F.col("place") <= F.floor(F.col("n") * ratio[0] / ratio[1]) + 1)
-    return materialize(first.where("df > 1").select(F.col("e").alias("h"), "key"), "copies-cut")
+    return materialize(first.where("df > 1").select(F.col("e").alias("h"), "key", "n", "place"), "copies-cut")
+
+
+def _met(cut: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b) of texts of different roots in one group of ``cut`` (h, key, n, place); all that are alike are among them.
+
+    Sets of n and m shingles are alike if they share (n + m) * p / (q + p) of them (p / q: ``SIMILARITY``).
+    The first one that they share leaves n - place in the one and m - place in the other, so
+    a text of n has partners up to a certain m there; those not longer than itself it visits, by
+    classes of lengths.  Texts of the largest root of a class do not visit each other."""
+    p, q = SIMILARITY.numerator, SIMILARITY.denominator
+    length = lambda n: F.floor(F.log(LENGTHS, n)).cast("int")
+    rows = cut.join(roots, "key").withColumn("left", (F.col("n") - F.col("place") + 1) * (q + p))
+    home = rows.where(F.col("left") >= F.col("n") * (2 * p)).withColumn("class", length(F.col("n")))
+    home = materialize(home.select("h", "class", "key", "root", "n", "left"), "copies-home")
+    most = home.groupBy("h", "class", "root").agg(F.count("*").alias("rows")).groupBy("h", "class").agg(F.max(F.struct("rows", "root")).alias("most"))
+    most = most.select("h", "class", F.col("most.root").alias("most"))
+    lo = F.ceil(F.col("n") * p / q)
+    hi = F.least(F.col("n").cast("long"), F.floor((F.col("left") - F.col("n") * p) / p))
+    visits = rows.where(lo <= hi).withColumn("class", F.explode(F.sequence(length(lo), length(hi)))).join(most, ["h", "class"])
+    sides = F.when(F.col("root") == F.col("most"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    visits = visits.select("h", "class", F.explode(sides).alias("of_most"), F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"))
+    home = home.join(most, ["h", "class"]).withColumn("of_most", F.col("root") == F.col("most"))
+    home = home.select("h", "class", "of_most", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
+    shorter = (F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))
+    enough = F.least("left_a", "left_b", F.col("n_b") * (q + p)) >= (F.col("n_a") + F.col("n_b")) * p
+    return visits.join(home, ["h", "class", "of_most"]).where((F.col("root_a") != F.col("root_b")) & shorter & enough).select("a", "b")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
