@@ -11,10 +11,13 @@ Texts that share a key are a group, and which of them are linked is settled for
 all its texts are connected or have been compared.  First, a few keys at a time, one text of each
 connected part of a group is compared with one centre, which settles most groups of copies in
 linear work.  Of a group that is still in several parts, all pairs of different parts are compared
-if it has ``MOST`` texts or fewer.  Texts of larger groups are cut by what they have in common: by
-the shingles that are rarest among them, a fifth of each text's and one more, of which two alike
-texts share one at least.  A shingle proposes a pair only where as many follow it in both as the
-two must share, and texts are dealt by length first, so what is like in part only hardly meets.
+if it has ``MOST`` texts or fewer.  Of a larger group with one large part all other texts are compared
+with the most central one of that part.  Those that are left are told by the shingles in which they
+differ from it, and two of them meet only in a rare difference that both have: so many copies of one
+original do not meet in what all have from it.  Texts of other groups are cut by what they have in
+common: by the shingles that are rarest among them, a fifth of each text's and one more, of which
+two alike texts share one at least.  A shingle proposes a pair only where as many follow it in both as
+the two must share, and texts are dealt by length first, so what is like in part only hardly meets.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, ship, slices, temporary, utf8_list
+from .common import materialize, ship, slices, small, temporary, utf8_list
 from .components import connected_components
 from .simhash import fingerprint, hamming_links, only_rows, row_tag
 
@@ -186,31 +189,101 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 def _settled(groups: DataFrame, found: DataFrame, roots: DataFrame, compare: Callable[[DataFrame], DataFrame], texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``found`` and ``roots`` with the links that are missing until each two texts of a group of ``groups``
     (h, key) are connected or have been compared, or cannot be alike by their lengths and rarest shingles."""
-    rooted = groups.join(roots, "key").select("h", "key", "root")
-    apart = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("h", "n")
-    rooted = materialize(rooted.join(apart, "h"), "copies-groups")
+    rooted = _open(groups, roots)
     if rooted.isEmpty():
         return found, roots
     few, many = (rooted.where(F.col("n") <= MOST), rooted.where(F.col("n") > MOST))
     ends = [few.select("h", F.col("key").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
     pairs = ends[0].join(ends[1], "h").where("a < b AND root_a <> root_b").select("a", "b")
-    if not many.isEmpty():
-        pairs = pairs.unionByName(_met(_cut(many, texts), roots))
+    centres = _centres(many, texts)
+    to_centres = many.join(centres.join(roots.select(F.col("key").alias("c"), F.col("root").alias("most")), "c"), "h")
+    more = compare(pairs.unionByName(to_centres.where("root <> most").select(F.col("c").alias("a"), F.col("key").alias("b"))))
+    found, roots = found.unionByName(more), _merged(roots, more)
+    many = _open(many.select("h", "key"), roots)
+    if many.isEmpty():
+        return found, roots
+    near, loose = many.join(centres, "h").select("c", "key").distinct(), many.join(centres, "h", "left_anti")
+    pairs = _about(materialize(near, "copies-near"), texts, roots)
+    if not loose.isEmpty():
+        pairs = pairs.unionByName(_met(_cut(loose, texts), roots))
     more = compare(pairs)
     return found.unionByName(more), _merged(roots, more)
 
 
-def _cut(rooted: DataFrame, texts: DataFrame) -> DataFrame:
-    """(h, key, n, place): in place of the groups of ``rooted`` (h, key), groups of the texts that have one of
-    their rarest shingles in common; a text has ``n``, and the one of the group is its ``place``-th by rarity.  Of n shingles of a text at most a fifth are missing in one alike,
-    so by any order that both share, each has one of the other's among its first n / 5 and one.
-    One order serves all groups, so a text has its rarest shingles once, however many groups it is in."""
+def _open(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """(h, key, root, n) of the groups of ``groups`` (h, key) that are in several parts; ``n``: texts of the group."""
+    rooted = groups.join(roots, "key").select("h", "key", "root")
+    apart = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("h", "n")
+    return materialize(rooted.join(apart, "h"), "copies-groups")
+
+
+def _sets(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, e) of the texts of ``keys`` (key): the hashes of all shingles of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([_hashes(t) for t in utf8_list(b.column("text"))], pa.list_(pa.int64()))], ["key", "e"])
 
-    held = texts.join(rooted.select("key").distinct(), "key", "left_semi").select("key", "text").mapInArrow(run, "key long, e array<long>")
+    return texts.join(keys.distinct(), "key", "left_semi").select("key", "text").mapInArrow(run, "key long, e array<long>")
+
+
+def _centres(rooted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h, c) of the groups of ``rooted`` (h, key, root) of which one part has more than ``MOST`` texts:
+    that text of the largest part whose shingles are most common in such parts."""
+    sizes = rooted.groupBy("h", "root").agg(F.count("*").alias("rows")).groupBy("h").agg(F.max(F.struct("rows", "root")).alias("most"))
+    inner = rooted.join(sizes.where(F.col("most.rows") > MOST).select("h", F.col("most.root").alias("root")), ["h", "root"]).select("h", "key")
+    inner = materialize(inner, "copies-inner")
+    rows = materialize(_sets(inner.select("key"), texts).select("key", F.explode("e").alias("e")), "copies-shingles")
+    often = rows.groupBy("e").agg(F.count("*").alias("df"))
+    core = rows.join(often, "e").groupBy("key").agg((F.sum("df") / F.count("*")).alias("core"))
+    best = inner.join(core, "key").groupBy("h").agg(F.max(F.struct("core", "key")).alias("best"))
+    return materialize(best.select("h", F.col("best.key").alias("c")), "copies-centres")
+
+
+def _about(near: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b) of texts of different roots that have a ``c`` of ``near`` (c, key) in common; all that are alike are
+    among them, if every text that is like its ``c`` has the root of it.  Every ``c`` is among the keys, too.
+
+    Sets of n and m shingles are alike if no more than (n + m) * (q - p) / (q + p) are in one only (p / q: ``SIMILARITY``).
+    A set is told by the shingles in which it differs from ``c``, v and w of them: then as many are in one only as in one
+    of these differences only, so alike ones share (v + w - (n + m) * (q - p) / (q + p)) / 2 differences.  If that is
+    nothing, both are like ``c``.  Else they meet in the first difference that they share, by an order from the rarest on,
+    if it leaves enough in both.  What all have from one original is no difference, so it brings nobody together."""
+    p, q = SIMILARITY.numerator, SIMILARITY.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            sets, about = ([np.asarray(x, np.int64) for x in b.column(name).to_pylist()] for name in ("e", "of_c"))
+            differ = pa.array([np.setxor1d(x, y, assume_unique=True) for x, y in zip(sets, about, strict=True)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("c"), b.column("key"), pa.array([len(x) for x in sets], pa.int32()), differ], ["c", "key", "n", "e"])
+
+    sets = materialize(_sets(near.select("key"), texts), "copies-sets")
+    centres = materialize(sets.join(near.select(F.col("c").alias("key")).distinct(), "key").select(F.col("key").alias("c"), F.col("e").alias("of_c")), "copies-of")
+    differ = near.join(sets, "key").join(small(centres), "c").select("c", "key", "e", "of_c").mapInArrow(run, "c long, key long, n int, e array<long>")
+    rows = materialize(differ.select("c", "key", "n", F.size("e").alias("w"), F.explode("e").alias("e")), "copies-differ")
+    often = rows.groupBy("c", "e").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("c", "key").orderBy("df", "e"))
+    rows = rows.join(often, ["c", "e"]).withColumn("place", place).where((F.col("df") > 1) & ((F.col("place") - 1) * p <= F.col("n") * (q - p)))
+    inner = roots.select(F.col("key").alias("c"), F.col("root").alias("most"))
+    rows = rows.join(roots, "key").join(inner, "c").select("c", "e", "key", "root", "n", "w", (F.col("w") - F.col("place") + 1).alias("left"), (F.col("root") == F.col("most")).alias("of_most"))
+    rows = materialize(rows, "copies-about")
+    side = lambda x: [F.col(y).alias(f"{y}_{x}") for y in ("root", "n", "w", "left")] + [F.col("key").alias(x)]
+    # The one of more differences visits the other, which has its place among the first n / 8; texts of the root of c do not visit each other.
+    home = rows.where((F.col("w") - F.col("left")) * (2 * p) <= F.col("n") * (q - p)).select("c", "e", "of_most", *side("b"))
+    sides = F.when(F.col("of_most"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    visits = rows.select("c", "e", F.explode(sides).alias("of_most"), *side("a"))
+    fewer = (F.col("w_b") < F.col("w_a")) | ((F.col("w_b") == F.col("w_a")) & (F.col("b") < F.col("a")))
+    lengths = F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p
+    enough = F.least("left_a", "left_b") * (2 * (q + p)) >= (F.col("w_a") + F.col("w_b")) * (q + p) - (F.col("n_a") + F.col("n_b")) * (q - p)
+    return visits.join(home, ["c", "e", "of_most"]).where((F.col("root_a") != F.col("root_b")) & fewer & lengths & enough).select("a", "b")
+
+
+def _cut(rooted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h, key, n, place): in place of the groups of ``rooted`` (h, key), groups of the texts that have one of
+    their rarest shingles in common; a text has ``n``, and the one of the group is its ``place``-th by rarity.  Of n shingles of a text at most a fifth are missing in one alike,
+    so by any order that both share, each has one of the other's among its first n / 5 and one.
+    One order serves all groups, so a text has its rarest shingles once, however many groups it is in."""
+    held = _sets(rooted.select("key"), texts)
     rows = materialize(held.select("key", F.size("e").alias("n"), F.explode("e").alias("e")), "copies-shingles")
     often = rows.groupBy("e").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("key").orderBy("df", "e"))
